@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, media, secret_scan
+from . import bpe, media, mixing, near_dup, pii, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op2_near_dup": near_dup.op2_near_dup,
+    "op3_pii": pii.op3_pii,
+    "op5_warc": warc.op5_warc,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op8_secrets": secret_scan.op8_secrets,
+    "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_mixing": mixing.oracle()}
