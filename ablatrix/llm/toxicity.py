@@ -1,7 +1,9 @@
 """Toxicity (operator 6): maximum-scoring segments over token log-odds, calibrated by extreme values.
 
-Tokens are runs of letters of the lower-cased text, hashed to 2^`BITS` buckets, so that every table below has a fixed size.
-1. Counts: one pass over all documents counts buckets, and for the labelled training documents also by label and fold.
+Tokens are runs of letters of the lower-cased text. Words, and the stems of longer words, are hashed to 2^`BITS` buckets, so that
+every table below has a fixed size; a stem speaks for words that are too rare to be sure of.
+1. Counts: one pass over all documents counts the occurrences of each bucket, and the labelled training documents that hold it, by
+   label and fold (once per document: repeated words are no evidence of their own).
 2. Log-odds: log-odds of each bucket in toxic against clean training documents, with a Dirichlet prior proportional to the
    bucket's frequency in the whole corpus; values within `Z` standard errors of 0 count as 0, and a drift is taken off each token.
 3. Passages: a linear scan finds every maximal scoring segment of a text. With lambda the root of E[exp(lambda s)] = 1 over the
@@ -31,15 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import map_rows, stored, table
 
-BITS = 18
+BITS = 20
 SIZE = 1 << BITS
 MAX_LABELS = 200_000
 PRIOR = 2000.0
-Z = 2.5
+Z = 3.0
 DRIFT = 0.4
 CLIP = 8.0
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
+#: Letters of a stem.
+STEM = 5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 300_000
 KINDS = ("corpus", "toxic0", "clean0", "toxic1", "clean1")
@@ -49,16 +53,37 @@ _BUCKETS: dict[str, int] = {}
 
 
 def _bucket(word: str) -> int:
+    """Both buckets of a word in one number: its own, and that of its stem (its own again if it is short)."""
     found = _BUCKETS.get(word)
     if found is None:
         if len(_BUCKETS) >= CACHE_WORDS:
             _BUCKETS.clear()
-        found = _BUCKETS[word] = zlib.crc32(word.encode("utf-8", "replace")) & (SIZE - 1)
+        own = zlib.crc32(word.encode("utf-8", "replace")) & (SIZE - 1)
+        stem = zlib.crc32((word[:STEM] + "*").encode("utf-8", "replace")) & (SIZE - 1) if len(word) > STEM else own
+        found = _BUCKETS[word] = stem << BITS | own
     return found
 
 
-def buckets(text: str | None) -> np.ndarray:
-    return np.array([_bucket(w) for w in WORD.findall((text or "").lower())], dtype=np.int64)
+def buckets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words and of their stems."""
+    both = np.array([_bucket(w) for w in WORD.findall((text or "").lower())], dtype=np.int64)
+    return both & (SIZE - 1), both >> BITS
+
+
+def token_scores(odds: np.ndarray, b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A word's log-odds, or its stem's where the word's are not sure, less the drift.
+
+    The k-th occurrence of a positive word counts a k-th of its log-odds: a text that repeats a word is no more toxic for it."""
+    own = odds[b[0]]
+    scores = np.where(own != 0, own, odds[b[1]])
+    ups = np.flatnonzero(scores > 0)
+    if len(ups) > 1:
+        order = np.argsort(b[0][ups], kind="stable")
+        words = b[0][ups][order]
+        first = np.flatnonzero(np.diff(words, prepend=-1))
+        turn = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words)))) + 1
+        scores[ups[order]] /= turn
+    return scores - DRIFT
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -78,37 +103,37 @@ def count_buckets(docs: DataFrame, train: DataFrame) -> DataFrame:
     """bucket and a count per kind: summed within each task first, so a task hands on at most SIZE rows."""
 
     def run(batches):
-        counts = np.zeros((len(KINDS), SIZE), np.int64)
+        counts = np.zeros((len(KINDS), SIZE), np.int32)
         for batch in batches:
             for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
-                b = buckets(text)
-                found, n = np.unique(b, return_counts=True)
+                own, stem = buckets(text)
+                found, n = np.unique(np.concatenate([own, stem[stem != own]]), return_counts=True)
                 counts[0, found] += n
                 if toxic is not None:
-                    counts[1 + 2 * fold + (1 - toxic), found] += n
+                    counts[1 + 2 * fold + (1 - toxic), found] += 1
         some = np.nonzero(counts[0])[0]
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(c[some]) for c in counts]], names=["bucket", *KINDS])
+            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(c[some].astype(np.int64)) for c in counts]], names=["bucket", *KINDS])
 
     rows = _with_labels(docs, train, "left").select("text", "toxic", "fold")
     found = rows.mapInArrow(run, "bucket bigint, " + ", ".join(f"{k} bigint" for k in KINDS))
     return found.groupBy("bucket").agg(*[F.sum(k).alias(k) for k in KINDS])
 
 
-def log_odds(corpus: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Token scores, the drift included. corpus: prior counts; toxic, clean: counts of the training classes."""
-    prior = PRIOR * (corpus + 0.5) / (corpus.sum() + 0.5 * len(corpus))
+def log_odds(corpus: np.ndarray, unseen: float, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Log-odds of each bucket, 0 where they are not sure. corpus: prior counts, unseen: their sum over buckets that no training
+    document holds; toxic, clean: counts of the training classes."""
+    prior = PRIOR * (corpus + 0.5) / (corpus.sum() + unseen + 0.5 * len(corpus))
     a, b = toxic + prior, clean + prior
     odds = np.log(a / (toxic.sum() + PRIOR - a)) - np.log(b / (clean.sum() + PRIOR - b))
     sure = np.abs(odds) >= Z * np.sqrt(1 / a + 1 / b)
-    return np.clip(np.where(sure & (toxic + clean > 0), odds, 0.0), -CLIP, CLIP) - DRIFT
+    return np.clip(np.where(sure & (toxic + clean > 0), odds, 0.0), -CLIP, CLIP)
 
 
-def scale(scores: np.ndarray, corpus: np.ndarray) -> float:
+def scale(odds: np.ndarray, corpus: np.ndarray, unseen: float) -> float:
     """The positive root lambda of sum p exp(lambda s) = 1; 1 where no score is positive."""
-    p = corpus / max(1, corpus.sum())
-    use = p > 0
-    s, p = scores[use], p[use]
+    use = corpus > 0
+    s, p = np.append(odds[use], 0.0) - DRIFT, np.append(corpus[use], unseen) / max(1, corpus.sum() + unseen)
     if not len(s) or s.max() <= 0 or (s * p).sum() >= 0:
         return 1.0
     low, high = 0.0, 1.0
@@ -147,30 +172,22 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass(frozen=True)
 class Model:
-    scores: np.ndarray
+    odds: np.ndarray
     lam: float
     log_k: float
     weights: tuple[float, ...]
 
-    def passages(self, b: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """(start, end, score, ln E) of the significant segments, in tokens."""
-        if not len(b):
-            return []
-        base = self.log_k + math.log(len(b))
-        return [(a, z, s, e) for a, z, s in segments(self.scores[b]) if (e := base - self.lam * s) <= math.log(SIGNIFICANT)]
-
-    def features(self, b: np.ndarray) -> tuple[float, float, float]:
-        if not len(b):
-            return 0.0, 0.0, 0.0
-        base = self.log_k + math.log(len(b))
-        evidence = [self.lam * s - base for *_, s in segments(self.scores[b])]
-        strong = [e for e in evidence if e >= -math.log(SIGNIFICANT)]
-        return min(30.0, max([0.0, *evidence])), math.log1p(sum(strong)), math.log1p(len(strong))
-
-    def score(self, b: np.ndarray) -> float:
-        w = self.weights
-        odds = w[0] + sum(x * y for x, y in zip(w[1:], self.features(b)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+    def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """The score, and (start, end, score, ln E) of the significant segments, in tokens."""
+        b, w = buckets(text), self.weights
+        evidence, strong = [], []
+        if n := len(b[0]):
+            base = self.log_k + math.log(n)
+            evidence = [(a, z, s, base - self.lam * s) for a, z, s in segments(token_scores(self.odds, b))]
+            strong = [x for x in evidence if x[3] <= math.log(SIGNIFICANT)]
+        features = min(30.0, max([0.0, *(-x[3] for x in evidence)])), math.log1p(-sum(x[3] for x in strong)), math.log1p(len(strong))
+        odds = w[0] + sum(x * y for x, y in zip(w[1:], features))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))), strong
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
@@ -189,25 +206,27 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     sample = stored(training_labels(labels), "toxicity-labels")
-    counts = np.zeros((len(KINDS), SIZE))
-    table_ = count_buckets(docs, sample).toArrow().to_pydict()  # SIZE rows at most
+    counts, total = np.zeros((len(KINDS), SIZE)), F.sum("corpus")
+    found = stored(count_buckets(docs, sample), "toxicity-counts")
+    seen = found.filter("toxic0 + clean0 + toxic1 + clean1 > 0").toArrow()  # SIZE rows at most; the others' log-odds are 0
     for i, k in enumerate(KINDS):
-        counts[i, table_["bucket"]] = table_[k]
+        counts[i, seen["bucket"].to_numpy()] = seen[k].to_numpy()
     corpus = counts[0]
+    unseen = (found.agg(total).first()[0] or 0) - corpus.sum()
     toxic, clean = counts[1] + counts[3], counts[2] + counts[4]
     if not toxic.sum() or not clean.sum():
         n = sample.agg(F.avg("toxic")).first()[0] or 0.0
-        return Model(np.full(SIZE, -DRIFT), 1.0, 0.0, (math.log((n + 1e-9) / (1 - n + 1e-9)), 0.0, 0.0, 0.0))
-    crossed = [log_odds(corpus, counts[3 - 2 * f], counts[4 - 2 * f]) for f in (0, 1)]  # fold f is scored by the other fold
-    lams = [scale(s, corpus) for s in crossed]
-    shipped = spark.sparkContext.broadcast((np.stack(crossed), lams))  # 4 MB
+        return Model(np.zeros(SIZE, np.float32), 1.0, 0.0, (math.log((n + 1e-9) / (1 - n + 1e-9)), 0.0, 0.0, 0.0))
+    crossed = [log_odds(corpus, unseen, counts[3 - 2 * f], counts[4 - 2 * f]) for f in (0, 1)]  # fold f is scored by the other fold
+    lams = [scale(s, corpus, unseen) for s in crossed]
+    shipped = spark.sparkContext.broadcast((np.stack(crossed).astype(np.float32), lams))  # 8 MB
 
     def run(columns):
-        scores, lam = shipped.value
+        odds, lam = shipped.value
         out = []
         for text, toxic_, fold in zip(*columns):
             b = buckets(text)
-            out.append((toxic_, len(b), [lam[fold] * s for *_, s in segments(scores[fold][b])] if len(b) else []))
+            out.append((toxic_, len(b[0]), [lam[fold] * s for *_, s in segments(token_scores(odds[fold], b))]))
         return list(zip(*out)) if out else [[], [], []]
 
     rows = _with_labels(docs, sample, "inner").select("text", "toxic", "fold")
@@ -225,8 +244,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     )
     data = data.groupBy("toxic", "a", "b", "c").count().orderBy("toxic", "a", "b", "c").toArrow()  # a grid of rounded features
     x = np.column_stack([data[c].to_numpy() for c in "abc"])
-    scores = log_odds(corpus, toxic, clean)
-    return Model(scores, scale(scores, corpus), log_k, fit_logistic(x, data["toxic"].to_numpy(), data["count"].to_numpy()))
+    odds = log_odds(corpus, unseen, toxic, clean)
+    return Model(odds.astype(np.float32), scale(odds, corpus, unseen), log_k, fit_logistic(x, data["toxic"].to_numpy(), data["count"].to_numpy()))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,9 +255,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(columns):
         model, scores, found = shipped.value, [], []
         for text in columns[1]:
-            b = buckets(text)
-            scores.append(model.score(b))
-            found.append([{"start": s, "end": e, "score": x, "log_e": y} for s, e, x, y in model.passages(b)])
+            score, passages = model.judge(text)
+            scores.append(score)
+            found.append([{"start": s, "end": e, "score": x, "log_e": y} for s, e, x, y in passages])
         return columns[0], scores, [len(x) for x in found], found
 
     schema = "doc_id bigint, score double, n_passages bigint, passages array<struct<start:int,end:int,score:double,log_e:double>>"
@@ -253,7 +272,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         model = shipped.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = pa.array([model.score(buckets(t)) < threshold for t in texts], pa.bool_())
+            keep = pa.array([model.judge(t)[0] < threshold for t in texts], pa.bool_())
             yield batch.filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
