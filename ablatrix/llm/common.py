@@ -6,12 +6,21 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did, if it lies outside their path."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,11 +46,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns of the input can't clash with computed ones."""
-    return df.select(*names)
-
-
 def map_rows(
     df: DataFrame, schema: str, fn: Callable[[Sequence[list]], list[Sequence]], chunk_bytes: int = 8 << 20, size_column: int | None = None
 ) -> DataFrame:
