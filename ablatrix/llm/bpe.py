@@ -16,7 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
-import pyarrow as pa
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -162,8 +162,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     spec = _spec(docs.sparkSession, vocabulary)
 
     def run(columns):
-        bpe = _loaded(spec.value)
-        ids = [bpe.encode(t or "") for t in columns[1]]
+        bpe, ids = _loaded(spec.value), []
+        for text in columns[1]:
+            joined = " ".join([x[1] for x in bpe.pieces(text or "")])
+            ids.append(np.array(joined.split(), np.int32))
         return columns[0], [len(x) for x in ids], ids
 
     return map_rows(docs.select("doc_id", "text"), "doc_id bigint, n_tokens bigint, ids array<int>", run, size_column=1)

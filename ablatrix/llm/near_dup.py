@@ -315,11 +315,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each class, all columns kept: that of the class's smallest doc_id (of rows that share it, one)."""
-    found = near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("_nd_key")).withColumnRenamed("class_id", "_nd_id")
+    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "key").count()
+    keep = found.groupBy("class_id").agg(F.min(F.struct("key", "count")).alias("k"))
+    keep = stored(keep.select(F.col("class_id").alias("_nd_id"), F.col("k.key").alias("_nd_key"), F.col("k.count").alias("_nd_rows")), "kept")
     key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_nd_id")) & (key == F.col("_nd_key"))).select(*[docs[c] for c in docs.columns])
-    return kept.dropDuplicates(["doc_id"])
+    own = docs["doc_id"].eqNullSafe(F.col("_nd_id")) & (key == F.col("_nd_key"))
+    if not keep.filter("_nd_rows > 1").limit(1).count():
+        return docs.join(keep, own, "left_semi")
+    more = docs.join(keep.filter("_nd_rows > 1"), own, "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(keep.filter("_nd_rows = 1"), own, "left_semi").union(more)
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, near_dup, pii, secret_scan, toxicity, warc
+from . import ann, bpe, media, mixing, near_dup, pii, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op8_secrets": secret_scan.op8_secrets,
+    "op9_neighbours": ann.op9_neighbours,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_mixing": mixing.oracle()}

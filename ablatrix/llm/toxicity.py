@@ -37,7 +37,7 @@ BITS = 20
 SIZE = 1 << BITS
 MAX_LABELS = 200_000
 PRIOR = 2000.0
-Z = 3.0
+Z = 2.0
 DRIFT = 0.4
 CLIP = 8.0
 SIGNIFICANT = 0.05
