@@ -1,0 +1 @@
+"""Evidence analysis is a batch computation over finished patches; it has no streaming operators."""
