@@ -6,7 +6,8 @@ refer to it; smaller ones are all responses. Writing:
 2. Ranges: page ids are cut into at most `BINS` equal bins, whose bytes are summed (a table of bounded size on the driver).
    Consecutive bins fill a shard up to `SHARD_BYTES`; a bin with more is cut into several shards by hash. So shards follow from
    the rows alone, not from a sample or the number of tasks, and no shard holds more than a few rows above the target.
-3. Writing: a task sorts the shard's records by page_id, digest and url, compresses each as a gzip member without a time stamp,
+3. Writing: payloads move once, to their shard, where rows with their digest's first page come right before them. A task sorts
+   the shard's records by page_id, digest and url, compresses each as a gzip member without a time stamp,
    starts a new file when `FILE_BYTES` compressed bytes are reached, and regenerates all headers, lengths, digests and record ids.
    Files get a temporary name that is unique to the attempt.
 4. Commit: the rows the tasks return (shard, number, temporary name, sizes, SHA-256) are committed by Spark as a manifest table,
@@ -39,6 +40,8 @@ BINS = 4096
 SHARD_BYTES = 48 << 20
 FILE_BYTES = 16 << 20
 LEVEL = 4
+#: Bytes that are handed to a decompressor at once.
+STEP = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("5b1f7d0e-8f5b-4c7e-9b53-6d1f0f7f2b11")
 EMPTY_BLOCK_DIGEST = "sha1:" + base64.b32encode(hashlib.sha1(b"").digest()).decode()
@@ -76,14 +79,20 @@ def packed(data: bytes) -> bytes:
 
 def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record of a gzip or plain WARC file; lengths and digests are checked."""
-    rest = memoryview(archive)
-    while len(rest):
-        if bytes(rest[:2]) == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            data = z.decompress(rest)
-            rest = memoryview(z.unused_data)
+    whole, at = memoryview(archive), 0
+    while at < len(whole):
+        if bytes(whole[at : at + 2]) == b"\x1f\x8b":
+            z, parts = zlib.decompressobj(31), []
+            while not z.eof:
+                piece = whole[at : at + STEP]
+                if not len(piece):
+                    raise ValueError("a member is cut short")
+                parts.append(z.decompress(piece))
+                at += len(piece)
+            at -= len(z.unused_data)  # within the last piece, so nothing is copied again and again
+            data = b"".join(parts)
         else:
-            data, rest = bytes(rest), memoryview(b"")
+            data, at = bytes(whole[at:]), len(whole)
         while data:
             head, _, tail = data.partition(b"\r\n\r\n")
             lines = head.decode().split("\r\n")
@@ -126,14 +135,13 @@ def _shards(pages: DataFrame) -> tuple[list[tuple[int, int, int]], int, int, int
     return runs, low, width, shard + 1
 
 
-def classify(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, n, first: the smallest page_id with that payload (null: the payload is too small or has no id).
+def repeated(rows: DataFrame) -> DataFrame:
+    """page_id, digest, first: for rows of payloads that occur more than once, the smallest page_id with the payload.
 
-    Counted before the join: a hot payload is summed within each task, and payloads of one row never get to the join's right side."""
-    rows = _digests(pages)
-    firsts = rows.filter(F.col("n") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    firsts = firsts.filter("copies > 1 and first is not null").select("digest", "first")
-    return rows.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", "n", "first")
+    Without the payloads, so only digests move; a hot payload is summed within each task before it does."""
+    rows = rows.filter(F.col("n") >= LEAST).select("page_id", "digest")
+    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    return rows.join(firsts.filter("copies > 1 and first is not null").select("digest", "first"), "digest").select("page_id", "digest", "first")
 
 
 def write_warc(pages: DataFrame, directory: str) -> DataFrame:
@@ -141,13 +149,16 @@ def write_warc(pages: DataFrame, directory: str) -> DataFrame:
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
     runs, low, width, n_shards = _shards(pages)
-    rows = classify(pages)
+    rows = _digests(pages)
     starts, shards, counts = (F.array(*map(F.lit, x)) for x in (zip(*runs) if runs else ([0], [0], [1])))
     at = F.expr(f"coalesce((page_id - {low}L) div {width}L, 0L)")
     run_ = F.size(F.filter(starts, lambda s: s <= at))
     hashed = F.pmod(F.xxhash64("page_id", "digest"), F.element_at(counts, run_))
-    shard = (F.element_at(shards, run_) + hashed).cast("int")
-    rows = rows.withColumn("shard", shard).repartitionById(max(1, n_shards), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
+    shard = (F.element_at(shards, run_) + hashed).cast("int").alias("shard")
+    # the rows of repeated payloads come once more, without payload, right before the pages they speak of: so pages move once
+    told = repeated(rows).select(shard, "page_id", "digest", F.lit(0).alias("what"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
+    told = told.distinct().union(rows.select(shard, "page_id", "digest", F.lit(1), "url", "html", F.lit(None).cast("bigint")))
+    rows = told.repartitionById(max(1, n_shards), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "what", "url")
     schema = "shard int, number int, temporary string, name string, records bigint, raw_bytes bigint, bytes bigint, sha256 string"
     manifest = rows.mapInArrow(_writer(directory), schema)
     manifest.write.parquet(f"{directory}/_manifest")
@@ -169,8 +180,8 @@ def _writer(directory: str):
         attempt, done = uuid.uuid4().hex, []
         out = name = None
         shard = number = -1
-        before = None
-        turn = 0
+        before = first_of = None
+        first, turn = None, 0
 
         def close():
             nonlocal out
@@ -180,7 +191,12 @@ def _writer(directory: str):
                 out = None
 
         for batch in batches:
-            for page_id, url, html, digest, n, first, to in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "digest", "n", "first", "shard"))):
+            for to, page_id, digest, what, url, html, told in zip(*(c.to_pylist() for c in batch.columns)):
+                if not what:
+                    first_of, first = (page_id, digest), told
+                    continue
+                if first_of != (page_id, digest):
+                    first = None
                 payload = (html or "").encode("utf-8")
                 turn = turn + 1 if before == (page_id, digest) else 0
                 before = page_id, digest
