@@ -1,0 +1,139 @@
+"""Media columns, BPE and secrets against plain versions of the same definitions."""
+
+import hashlib
+import io
+import random
+import re
+import wave
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from ablatrix.llm import bpe, media, secret_scan
+
+from .helpers import DATA, TEXTS, no_documents, odd_documents, texts_of
+
+
+def test_media_columns(spark):
+    rows = media.media_columns(odd_documents(spark), keep_media=True).collect()
+    assert len(rows) == len(TEXTS) + 4
+    by_text = {}
+    for r in rows:
+        text = "no id" if r.doc_id is None else TEXTS[r.doc_id]
+        raw = (text or "").encode()
+        want = raw + b" " * ((-len(raw)) % 192 if raw else 192)
+        with wave.open(io.BytesIO(bytes(r.media))) as w:
+            assert (w.getsampwidth(), w.readframes(w.getnframes())) == (1, want)
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(want), len(r.media))
+        assert (r.payload_sha256, r.media_sha256, r.tail_crc32) == (hashlib.sha256(want).hexdigest(), hashlib.sha256(r.media).hexdigest(), zlib.crc32(want[-16:]))
+        assert by_text.setdefault(text or "", r.feature) == r.feature
+        assert list(r.fp_times) == sorted(r.fp_times) and r.n_pairs == len(r.fp_codes)
+    assert media.media_columns(no_documents(spark)).count() == 0
+
+
+def test_peaks_do_not_depend_on_blocks(monkeypatch):
+    x = np.random.default_rng(3).integers(0, 255, 192 * 400).astype(np.uint8)
+    whole = media.fingerprint(x)
+    monkeypatch.setattr(media, "BLOCK", 37)
+    for a, b in zip(whole, media.fingerprint(x)):
+        assert np.array_equal(a, b)
+
+
+def test_a_tone_is_a_peak():
+    t = np.arange(192 * 40)
+    x = (128 + 100 * np.sin(2 * np.pi * 20 * t / media.FRAME)).astype(np.uint8)
+    _, _, bins = media.peaks(x)
+    assert 20 in bins
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(bpe.default_vocabulary())
+
+
+def random_texts(n, seed):
+    rng = random.Random(seed)
+    pool = ["hello", "World", "'s", "don't", "é", "ß", "ΣΑΣ", "İ", "½", "２", "!!", "<|endoftext|>", "<|startoftext|>x", "\x1c", "\x85", " ", "　", "́", "ﬁ", "漢字", "🙂", "a" * 300, "abcabc" * 60, "\t", "\n", "_", "'ll'", "x'RE"]
+    return ["".join(rng.choice(pool) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(0, 25))) for _ in range(n)]
+
+
+def test_bpe_equals_the_library(spark, library):
+    texts = [t for t in TEXTS if t] + random_texts(400, 1) + [t for _, t in texts_of()[:150]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = {r.doc_id: r for r in bpe.encode(docs).collect()}
+    words = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs)).collect()}
+    digests = {r.doc_id: r for r in bpe.encode_digests(docs).collect()}
+    for i, t in enumerate(texts):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert ids[i].ids == want and ids[i].n_tokens == len(want), t
+        assert words[i] == library.decode(want, skip_special_tokens=False)
+        assert digests[i].ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert digests[i].decoded_sha256 == hashlib.sha256(words[i].encode()).hexdigest()
+
+
+def test_bpe_scan_and_heap_agree():
+    with open(bpe.default_vocabulary(), "rb") as f:
+        b = bpe.WordBpe(f.read())
+    rng = random.Random(2)
+    for _ in range(300):
+        word = [rng.choice("aeinrstlo") for _ in range(rng.randint(1, 60))]
+        assert b._scan(list(word)) == b._heap(list(word))
+
+
+def test_bpe_odd_rows(spark):
+    rows = bpe.encode_digests(odd_documents(spark)).collect()
+    assert len(rows) == len(TEXTS) + 4
+    assert {r.n_tokens for r in rows if r.doc_id in (0, 1, 2)} == {0}
+    assert bpe.encode(no_documents(spark)).count() == 0
+
+
+PLAIN = (
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+)
+
+
+def plain_secrets(text):
+    return sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PLAIN) for m in p.finditer(text) if ok(m))
+
+
+def secret_texts():
+    rng = random.Random(4)
+    pool = ["token = ", "Password:'", "api_key=\"", "apikey:", "passwd", "SECRET = x", "AKIA", "ABCDEF0123456789XYZ", "deadbeef" * 4, "abc", "é", " ", "\n", "ghp_" + "a1B2" * 10, "xoxb-123456789012", "=", "toKen", "ſecret=abcdefgh", "to", "ken=abcdefgh"]
+    return ["".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(600)] + ["", "x" * 3_000_000 + "token=abcdef1"]
+
+
+def test_secrets_against_plain_scan():
+    texts = secret_texts()
+    scanner = secret_scan.SecretScanner((*secret_scan.BASE_RULES, *secret_scan.MORE_RULES))
+    for text, found in zip(texts, scanner.scan(texts)):
+        assert [s for s in found if s[1] < 3] == plain_secrets(text)
+        more = sorted((a, k, b) for k, r in enumerate(scanner.rules) for a, b in r.spans(text))
+        assert found == more  # the index loses nothing
+
+
+def test_queries_from_regexes():
+    tri = secret_scan.trigrams_of
+    q = {r.kind: secret_scan.derive(r.pattern, r.flags) for r in (*secret_scan.BASE_RULES, *secret_scan.MORE_RULES)}
+    assert q["hex"] == secret_scan.TRUE
+    assert tri(q["access"]) == {b"aki", b"kia"} and q["access"][0] == "and"
+    assert {b"pas", b"sec", b"tok", b"pik", b"i_k"} <= tri(q["assign"]) and q["assign"] != secret_scan.TRUE
+    assert secret_scan.derive("(abc|de)x") == ("and", frozenset()) or tri(secret_scan.derive("(abc|def)x+")) >= {b"abc", b"def"}
+    assert secret_scan.derive("(?:abc)?d*") == secret_scan.TRUE
+
+
+def test_secret_query(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(secret_texts()[:200])] + [(None, None)], "doc_id bigint, text string")
+    docs.write.mode("overwrite").parquet((base := secret_scan.__name__ and f"{spark.conf.get('spark.checkpoint.dir')}/secrets") + "/documents.parquet")
+    rows = secret_scan.op8_secrets(spark, base).collect()
+    assert len(rows) == 201
+    for r in rows:
+        text = "" if r.doc_id is None else secret_texts()[r.doc_id]
+        want = plain_secrets(text)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in want) for i in range(3)]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{PLAIN[k][0]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+    assert secret_scan.scan_secrets(odd_documents(spark)).count() == len(TEXTS) + 4
+    assert secret_scan.scan_secrets(no_documents(spark)).count() == 0
