@@ -9,10 +9,11 @@ component of links.
 
 1. Slots: each task sums its own counts; what it hands on has a fixed size, and so has the broadcast table.
 2. Signatures: `BANDS` x `ROWS` consistent weighted samples. Equal texts are one node from here on.
-3. Candidates: nodes that share a band. Every member of a band is first compared with the band's smallest node, so that a huge
-   group of copies costs one comparison a member. Components of these links come from hooking and pointer jumping.
-4. Rest: in bands whose members are not all in one component, the pairs of different components whose total weights allow the
-   similarity are compared too. So no pair of candidates stays undecided, but pairs within a component are never made.
+3. Candidates: nodes that share a band. Every member of a band is first compared with the band's hub, so that a huge group of
+   copies costs one comparison a member. Components of these links come from hooking and pointer jumping.
+4. Rest: in bands whose members are not all in one component, a few more hubs are tried; then the pairs of different components
+   that their weights and the weights they share with other components still allow are compared. So no pair of candidates stays undecided, but pairs
+   within a component are never made.
 5. Comparisons join the two texts' shingle vectors and compute the weighted Jaccard similarity exactly.
 
 A link of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9994 at 0.8, 0.9999986 at 0.9.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut, empty_text, map_rows, stored, table
 
@@ -44,6 +45,12 @@ SHARES = 256
 DRAWS = 1 << 14
 CHUNK = 2 << 20
 BLOCK = 2048
+#: Width of a class of total weights, as a factor.
+STEP = 1.03
+#: Room for rounding in bounds on weights.
+SLACK = 1 + 1e-6
+#: Rounds over what the first hubs leave: all but the last with one more hub a band, the last with all pairs left.
+HUBS = 3
 LONG_WORD = 256
 LETTER = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -211,18 +218,18 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 
 
 def vectors(texts: DataFrame) -> DataFrame:
-    """node and vector: the upper halves of the text's shingles, each as often as it occurs, sorted."""
+    """node and vector: the text's shingles, each as often as it occurs, sorted."""
 
     def run(columns):
-        return columns[0], [np.repeat((u >> np.uint64(32)).astype(np.uint32), n).tobytes() for u, n in shingle_sets(columns[1])]
+        return columns[0], [np.repeat(u, n).tobytes() for u, n in shingle_sets(columns[1])]
 
     return map_rows(texts.select("node", "text"), "node bigint, vector binary", run, CHUNK, 1)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = float((np.minimum(a[1][i], b[1][j]) * idf[common >> (32 - SLOTS)]).sum(dtype=np.float64))
-    total = sum(float((n * idf[u >> (32 - SLOTS)]).sum(dtype=np.float64)) for u, n in (a, b))
+    shared = float((np.minimum(a[1][i], b[1][j]) * idf[slot_of(common)]).sum(dtype=np.float64))
+    total = sum(float((n * idf[slot_of(u)]).sum(dtype=np.float64)) for u, n in (a, b))
     return shared / (total - shared) if total > shared else 1.0
 
 
@@ -236,13 +243,13 @@ def compare(pairs: DataFrame, vectors_: DataFrame, idf) -> DataFrame:
             if node not in known:
                 if len(known) > 64:
                     known.clear()
-                known[node] = np.unique(np.frombuffer(data, np.uint32), return_counts=True)
+                known[node] = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
             return known[node]
 
         for batch in batches:
             out = [], []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                if weighted_jaccard(np.unique(np.frombuffer(x, np.uint32), return_counts=True), load(b, y), idf.value) >= SIMILARITY:
+                if weighted_jaccard(np.unique(np.frombuffer(x, np.uint64), return_counts=True), load(b, y), idf.value) >= SIMILARITY:
                     out[0].append(a)
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
@@ -275,6 +282,68 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def shared_weights(rest: DataFrame, vectors_: DataFrame, idf) -> DataFrame:
+    """node, shared: the weight of a node's shingles that some node of another component of rest (node, root) holds as well."""
+
+    def run(columns):
+        out = [], [], [], []
+        for node, root, data in zip(*columns):
+            u, n = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
+            for column, value in zip(out, (node, root, u.view(np.int64), (n * idf.value[slot_of(u)]).astype(np.float64))):
+                column.append(value)
+        return out
+
+    schema = "node bigint, root bigint, shingles array<bigint>, weights array<double>"
+    rows = map_rows(vectors_.join(rest.select("node", "root").distinct(), "node").select("node", "root", "vector"), schema, run)
+    rows = rows.select("node", "root", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select("node", "root", F.col("s.shingles").alias("shingle"), F.col("s.weights").alias("w"))
+    common = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
+    return rows.join(common, "shingle").groupBy("node").agg(F.sum("w").alias("shared"))
+
+
+def _rest_nodes(rest: DataFrame, vectors_: DataFrame, idf) -> DataFrame:
+    """rest (band, node, root, weight) with `most`, the weight up to which a node can have a partner; nodes that can't have any go.
+
+    What two nodes have in common weighs at most what either shares with other components, and a similarity s needs it to weigh
+    s / (1 + s) of both totals. So a node of weight w and shared weight h only pairs with weights from s w to (1 + s) / s h - w."""
+    ratio = (1 + SIMILARITY) / SIMILARITY
+    rest = rest.join(shared_weights(rest, vectors_, idf), "node")
+    return rest.withColumn("most", F.col("shared") * ratio * SLACK - F.col("weight")).drop("shared").filter(F.col("most") >= F.col("weight") * SIMILARITY / SLACK)
+
+
+def _able() -> Column:
+    """Two nodes (ra, wa, ma and rb, wb, mb) of different components that their weights still allow to be similar."""
+    return (F.col("ra") != F.col("rb")) & (F.col("wb") <= F.col("ma")) & (F.col("wa") <= F.col("mb")) & (F.least("wa", "wb") * SLACK >= SIMILARITY * F.greatest("wa", "wb"))
+
+
+def _still_split(rest: DataFrame) -> DataFrame:
+    split = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    return rest.join(split, "band")
+
+
+def _hub_pairs(rest: DataFrame, turn: int) -> DataFrame:
+    """a, b, ra, rb: each node with one further hub of its band, drawn by hash."""
+    hub = F.max_by(F.struct("node", "root", "weight", "most"), F.xxhash64("node", F.lit(turn))).alias("h")
+    hubs = rest.groupBy("band").agg(hub).select("band", F.col("h.node").alias("b"), F.col("h.root").alias("rb"), F.col("h.weight").alias("wb"), F.col("h.most").alias("mb"))
+    x = rest.select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("most").alias("ma"))
+    return x.join(hubs, "band").filter(_able()).select("a", "b", "ra", "rb").distinct()
+
+
+def _all_pairs(rest: DataFrame) -> DataFrame:
+    """a, b, ra, rb: what is left, each pair once, from the least band that both are in.
+
+    Classes of weights, `STEP` wide, turn the bounds into an equality join; texts whose edits are their own, such as the far members
+    of a huge group of edited copies, leave no pairs. The bounds are exact, so nothing is lost."""
+    own = rest.groupBy("node").agg(F.collect_set("band").alias("bands"))  # BANDS at most
+    rest = rest.join(own, "node")
+    step = lambda w: F.floor(F.log(w) / math.log(STEP))
+    x = rest.withColumn("size", F.explode(F.sequence(step(F.col("weight") * SIMILARITY / SLACK), step(F.least(F.col("most"), F.col("weight") / SIMILARITY * SLACK)))))
+    x = x.select("band", "size", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("most").alias("ma"), F.col("bands").alias("ba"))
+    y = rest.select("band", step(F.col("weight")).alias("size"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("most").alias("mb"), F.col("bands").alias("bb"))
+    once = (F.col("ra") < F.col("rb")) & (F.array_min(F.array_intersect("ba", "bb")) == F.col("band"))
+    same = ["band", "size"]
+    return x.join(y.withColumnsRenamed({c: f"_{c}" for c in same}), (F.col("band") == F.col("_band")) & (F.col("size") == F.col("_size")) & _able() & once).select("a", "b", "ra", "rb")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id for every row of docs, and key, the md5 of its text."""
     spark = docs.sparkSession
@@ -284,30 +353,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select(F.explode("bands").alias("band"), "node", "weight")
-    bands = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    members = stored(members.join(bands, "band"), "members")
-    stars = stored(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(members.join(sizes, "band"), "members")
+    # a band's hub is the member that meets the most others in all its bands: of a group of edited copies, one near their origin
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    place = F.shiftleft("degree", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    hubs = members.select("band", "node").join(degrees, "node").groupBy("band").agg(F.max_by("node", place).alias("hub"))
+    stars = members.select("band", "node").join(hubs, "band").filter("node <> hub")
+    stars = stored(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     used = members.select("node").distinct().join(nodes.select("node", "key", "first"), "node")
     none = F.lit(-(1 << 63))
     texts = _keyed(docs).withColumn("id", F.coalesce("doc_id", none)).join(used.withColumn("id", F.coalesce("first", none)), ["key", "id"])
     texts = stored(vectors(texts).dropDuplicates(["node"]), "vectors")
     links = stored(compare(stars, texts, idf), "links")
-    roots = components(links)
-    at = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), "weight")
-    split = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    # a similarity of s needs total weights within a factor of s: neighbouring classes of their logarithm
-    step = F.floor(F.log(F.col("weight")) / -math.log(SIMILARITY))
-    at = stored(at.join(split, "band").withColumn("size", step), "rest")
-    x = at.select("band", "size", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
-    y = at.select("band", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
-    close = (F.col("ra") < F.col("rb")) & (F.least("wa", "wb") >= (SIMILARITY - 1e-6) * F.greatest("wa", "wb"))
-    rest = x.join(y, ["band", "size"]).filter(close).select("a", "b", "ra", "rb").distinct()
-    done = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stored(rest.join(done, ["a", "b"], "left_anti"), "rest-pairs")
-    more = compare(rest.select("a", "b"), texts, idf).join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    upper = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = nodes.select("node", "key", "first").join(roots, "node", "left").select("node", "key", "first", F.coalesce("root", "node").alias("root"))
-    named = stored(named.join(upper, "root", "left").select("key", "first", F.coalesce("top", "root").alias("root")), "named")
+    known = components(links)
+    roots = members.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    rest = stored(_still_split(members.select("band", "node", "weight").join(roots, "node")), "rest")
+    rest = stored(_rest_nodes(rest, texts, idf), "rest")
+    for turn in range(1, HUBS + 1):
+        rest = stored(_still_split(rest), "rest")
+        pairs = stored(_hub_pairs(rest, turn) if turn < HUBS else _all_pairs(rest), "rest-pairs")
+        more = compare(pairs.select("a", "b"), texts, idf).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        upper = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        up = lambda x: x.join(upper, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+        roots, rest = stored(up(roots), "roots"), up(rest)
+    named = nodes.select("node", "key", "first").join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
+    named = stored(named, "named")
     ids = named.groupBy("root").agg(F.min("first").alias("class_id"))
     classes = named.join(ids, "root").select("key", "class_id")
     return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "key")
