@@ -1,8 +1,8 @@
 """Approximate nearest neighbours (operator 9): an NN-descent neighbour graph built by Spark joins, and greedy graph search.
 
 Nodes are distinct vectors; each keeps the `COPIES` smallest ids that have it, which is all that can show among `TOP` results.
-1. Start: a few rounds put nodes into blocks by the signs of random projections (blocks over `BLOCK` nodes are dealt out by hash,
-   so that one huge cluster is no huge block), and every node takes its nearest ones of each block.
+1. Start: `STARTS` times, nodes are put into blocks of about `BLOCK` by the signs of random projections (blocks over twice that are
+   dealt out by hash, so that one huge cluster is no huge block), and every node takes its nearest ones of each block.
 2. NN-descent: each node sends its neighbours, those not sent before first, and their reverses; a node's senders and neighbours
    meet at it (at most SEND + REVERSE + 1 vectors), and each learns of the nearest others that beat its farthest neighbour. A round
    is a join for the vectors and a join for the updates; lists are merged and the graph is written to the shared folder.
@@ -30,11 +30,11 @@ from .common import stored, table
 
 EVERY, TOP, COPIES = 100, 10, 11
 K = 24
-BLOCK, STARTS = 384, 3
-ROUNDS = 6
+BLOCK, STARTS = 2048, 10
+ROUNDS = 3
 SEND, REVERSE, TELL = 12, 14, 6
 DEGREE = 40
-BEAM, EXPAND, STEPS = 160, 48, 5
+BEAM, EXPAND, STEPS = 192, 56, 5
 RERANK = 48
 GRAPH = "node bigint, nbrs array<bigint>, dists array<float>, fresh array<boolean>, send array<bigint>, send_new array<boolean>"
 
@@ -97,8 +97,8 @@ def _blocks(nodes: DataFrame, n: int, seed: int) -> DataFrame:
     bits = max(0, math.ceil(math.log2(max(1, n / BLOCK))))
     coded = _codes(nodes, max(1, bits), seed)
     sizes = coded.groupBy("code").count()
-    dealt = coded.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("count") / BLOCK)))
-    groups = dealt.groupBy("code", "part").agg(F.collect_list("node").alias("ids"), F.collect_list("half").alias("halves"))  # about BLOCK
+    dealt = coded.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("count") / (2 * BLOCK))))
+    groups = dealt.groupBy("code", "part").agg(F.collect_list("node").alias("ids"), F.collect_list("half").alias("halves"))  # 2 BLOCK or so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
