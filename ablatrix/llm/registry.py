@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, media, mixing, near_dup, pii, secret_scan, toxicity, warc
+from . import ann, bpe, licences, media, mixing, near_dup, pii, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_near_dup": near_dup.op2_near_dup,
     "op3_pii": pii.op3_pii,
+    "op4_licences": licences.op4_licences,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
