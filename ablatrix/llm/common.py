@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -25,12 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one is set where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "ablatrix-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests on one machine, a
+    temporary folder of this process, removed at its end."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+@functools.cache
+def _own_dir() -> str:
+    folder = tempfile.mkdtemp(prefix="ablatrix-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
