@@ -1,7 +1,7 @@
 """Near-duplicates (operator 2): improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Words are runs of ASCII letters, digits and non-ASCII characters of the lower-cased text; shingles are five words (a text of fewer
-words is one shingle). A shingle weighs its count in the text times a damped idf, 1 + ln(N / df) / (2 ln N), where df counts
+words is one shingle). A shingle weighs its count in the text times a damped idf, 1 + ln(N / df) / (DAMPING ln N), where df counts
 documents in 2^`SLOTS` hash slots over the whole corpus: the statistic has a fixed size, and rare shingles that share slots only
 come closer to a common weight. Damping keeps the words that many copies share from weighing next to nothing beside an edit.
 Two documents are linked if the weighted Jaccard similarity of their shingles is `SIMILARITY` or more; a class is a connected
@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 SLOTS = 21
+#: The idf runs from 1 to 1 + 1 / DAMPING.
+DAMPING = 8
 SHARES = 256
 DRAWS = 1 << 14
 CHUNK = 2 << 20
@@ -154,7 +156,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 def idf_table(n: int, df: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.ones(len(df), np.float32)
-    return (1 + np.log(n / np.clip(df, 1, n).astype(np.float64)) / (2 * math.log(n))).astype(np.float32)
+    return (1 + np.log(n / np.clip(df, 1, n).astype(np.float64)) / (DAMPING * math.log(n))).astype(np.float32)
 
 
 def _draws() -> np.ndarray:
