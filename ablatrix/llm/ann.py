@@ -30,7 +30,7 @@ from .common import stored, table
 
 EVERY, TOP, COPIES = 100, 10, 11
 K = 24
-BLOCK, STARTS = 2048, 10
+BLOCK, STARTS = 2048, 8
 ROUNDS = 3
 SEND, REVERSE, TELL = 12, 14, 6
 DEGREE = 40
@@ -180,9 +180,9 @@ def build_graph(nodes: DataFrame) -> DataFrame:
     n = nodes.count()
     flat = lambda c: F.flatten(F.collect_list(c))
     none = {"nbrs": F.array().cast("array<bigint>"), "dists": F.array().cast("array<float>"), "fresh": F.array().cast("array<boolean>")}
-    start = _blocks(nodes, n, 101)
+    start = stored(_blocks(nodes, n, 101), "ann-start")  # each on its own: one plan of all starts takes the driver's memory
     for seed in range(102, 101 + STARTS):
-        start = start.union(_blocks(nodes, n, seed))
+        start = start.union(stored(_blocks(nodes, n, seed), "ann-start"))
     start = start.groupBy("node").agg(flat("cands").alias("cands"), flat("dists").alias("cand_dists"))
     graph = stored(_merge(start.withColumns(none), 0), "ann-graph")
     for turn in range(1, ROUNDS + 1):
