@@ -4,12 +4,15 @@ Nodes are distinct vectors; each keeps the `COPIES` smallest ids that have it, w
 1. Start: `STARTS` times, nodes are put into blocks of about `BLOCK` by the signs of random projections (blocks over twice that are
    dealt out by hash, so that one huge cluster is no huge block), and every node takes its nearest ones of each block.
 2. NN-descent: each node sends its neighbours, those not sent before first, and their reverses; a node's senders and neighbours
-   meet at it (at most SEND + REVERSE + 1 vectors), and each learns of the nearest others that beat its farthest neighbour. A round
-   is a join for the vectors and a join for the updates; lists are merged and the graph is written to the shared folder.
+   meet at it (at most send + reverse + 1 vectors), and each learns of the nearest others that beat its farthest neighbour. A round
+   is a join for the vectors and a join for the updates; lists are merged and the graph is written to the shared folder. Rounds go
+   on until at most `SETTLED` of all entries are still to be sent as new ones. Met pairs are measured from their differences, so a
+   pair always has the same distance, no entry comes back once it has been pushed out, and the rounds come to an end.
 3. Search: a query starts from its own neighbours. In each step it expands its nearest unexpanded nodes over the graph and its
-   reverse edges, and keeps the `BEAM` nearest nodes. All queries take a step in the same joins.
+   reverse edges, and keeps the beam nearest nodes. All queries take a step in the same joins, until no beam holds a node that
+   has not been expanded.
 4. The nearest `RERANK` nodes of each query are measured again on the original vectors in double precision.
-Building and search use half precision.
+Building and search use half precision. Lists, what is sent and the beam grow with the number of nodes (see `Effort`).
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than the most
 common one (ties: the shorter). Queries are rows with ids divisible by `EVERY`; candidates are the rows with another id. A query
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +35,35 @@ from .common import stored, table
 EVERY, TOP, COPIES = 100, 10, 11
 K = 24
 BLOCK, STARTS = 2048, 8
-ROUNDS = 3
 SEND, REVERSE, TELL = 12, 14, 6
 DEGREE = 40
-BEAM, EXPAND, STEPS = 192, 56, 5
+BEAM, EXPAND = 192, 56
 RERANK = 48
+#: The share of entries that may be left unsent when the descent ends.
+SETTLED = 0.001
+#: The nodes up to which the figures above hold, and the powers of the excess by which lists and the beam grow beyond.
+BASE, LISTS, WIDTH = 51_282, 0.25, 0.5
 GRAPH = "node bigint, nbrs array<bigint>, dists array<float>, fresh array<boolean>, send array<bigint>, send_new array<boolean>"
 
 
+@dataclass(frozen=True)
+class Effort:
+    """Sizes for n nodes: with fixed ones the share of true neighbours found falls as the table grows."""
+
+    n: int
+
+    def _grown(self, size: int, power: float) -> int:
+        return math.ceil(size * max(1.0, self.n / BASE) ** power)
+
+    k = property(lambda self: self._grown(K, LISTS))
+    send = property(lambda self: self._grown(SEND, LISTS))
+    reverse = property(lambda self: self._grown(REVERSE, LISTS))
+    tell = property(lambda self: self._grown(TELL, LISTS))
+    degree = property(lambda self: self._grown(DEGREE, LISTS))
+    beam = property(lambda self: self._grown(BEAM, WIDTH))
+    expand = property(lambda self: self._grown(EXPAND, WIDTH))
+
+
 def _halves(data: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(data), np.float16).reshape(len(data), -1).astype(np.float32)
 
@@ -48,6 +73,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
+def _between(x: np.ndarray) -> np.ndarray:
+    """Distances of all pairs, from differences: those of a pair don't depend on the rows around it."""
+    return np.stack([np.einsum("ij,ij->i", d, d) for d in (x - row for row in x)])
+
+
 def nodes_of(vectors: DataFrame) -> DataFrame:
     """node, ids (the COPIES smallest), half (float16 bytes), vector (as given), of all vectors that take part."""
     x = F.col("embedding")
@@ -92,8 +122,9 @@ def _rows(columns: list, schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatc
 IDS, FLOATS, FLAGS = pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_())
 
 
-def _blocks(nodes: DataFrame, n: int, seed: int) -> DataFrame:
-    """node, cands, dists: the nearest K of the block."""
+def _blocks(nodes: DataFrame, size: Effort, seed: int) -> DataFrame:
+    """node, cands, dists: the nearest of the block."""
+    n, most = size.n, size.k
     bits = max(0, math.ceil(math.log2(max(1, n / BLOCK))))
     coded = _codes(nodes, max(1, bits), seed)
     sizes = coded.groupBy("code").count()
@@ -106,15 +137,16 @@ def _blocks(nodes: DataFrame, n: int, seed: int) -> DataFrame:
                 x, ids = _halves(halves), np.asarray(ids)
                 d = _distances(x, x)
                 np.fill_diagonal(d, np.inf)
-                k = min(K, len(ids) - 1)
+                k = min(most, len(ids) - 1)
                 best = np.argpartition(d, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), int)
                 yield _rows([ids, list(ids[best]), list(np.take_along_axis(d, best, 1).astype(np.float32))], [("node", pa.int64()), ("cands", IDS), ("dists", FLOATS)])
 
     return groups.select("ids", "halves").mapInArrow(run, "node bigint, cands array<bigint>, dists array<float>")
 
 
-def _merge(rows: DataFrame, seed: int) -> DataFrame:
+def _merge(rows: DataFrame, size: Effort, seed: int) -> DataFrame:
     """rows: node, nbrs, dists, fresh (what it has), cands, cand_dists (what it has learnt). The new graph, and what it sends next."""
+    most, send = size.k, size.send
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = [("node", pa.int64()), ("nbrs", IDS), ("dists", FLOATS), ("fresh", FLAGS), ("send", IDS), ("send_new", FLAGS)]
@@ -126,12 +158,12 @@ def _merge(rows: DataFrame, seed: int) -> DataFrame:
                 new = np.array([*(fresh or ()), *[True] * len(cands or ())], bool)
                 _, first = np.unique(ids, return_index=True)  # what it has comes first
                 first = first[ids[first] != node]
-                best = first[np.lexsort((ids[first], d[first]))][:K]
+                best = first[np.lexsort((ids[first], d[first]))][:most]
                 ids, d, new = ids[best], d[best], new[best]
                 rng = np.random.Generator(np.random.PCG64([seed, node]))
                 fresh_at, old_at = np.flatnonzero(new), np.flatnonzero(~new)
-                a = fresh_at[rng.permutation(len(fresh_at))[:SEND]]
-                b = old_at[rng.permutation(len(old_at))[: SEND - len(a)]] if len(a) else old_at[:0]
+                a = fresh_at[rng.permutation(len(fresh_at))[:send]]
+                b = old_at[rng.permutation(len(old_at))[: send - len(a)]] if len(a) else old_at[:0]
                 sent = np.concatenate([a, b]).astype(int)
                 left = new.copy()
                 left[a] = False
@@ -142,14 +174,15 @@ def _merge(rows: DataFrame, seed: int) -> DataFrame:
     return rows.select("node", "nbrs", "dists", "fresh", "cands", "cand_dists").mapInArrow(run, GRAPH)
 
 
-def _meet(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+def _meet(graph: DataFrame, nodes: DataFrame, size: Effort, turn: int) -> DataFrame:
     """node, cands, dists: what nodes learn where their neighbours and senders meet."""
+    tell = size.tell
     sent = graph.select("node", F.explode(F.arrays_zip("send", "send_new")).alias("s")).select(F.col("node").alias("at"), F.col("s.send").alias("member"), F.col("s.send_new").alias("new"))
     back = sent.select(F.col("member").alias("at"), F.col("at").alias("member"), "new")
     order = Window.partitionBy("at").orderBy(F.desc("new"), F.xxhash64("member", F.lit(turn)))
-    back = back.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= REVERSE).drop("turn")
+    back = back.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= size.reverse).drop("turn")
     own = graph.filter(F.size("send") > 0).select(F.col("node").alias("at"), F.col("node").alias("member"), F.lit(False).alias("new"))
-    worst = F.when(F.size("dists") >= K, F.element_at("dists", -1)).otherwise(F.lit(float("inf")).cast("float"))
+    worst = F.when(F.size("dists") >= size.k, F.element_at("dists", -1)).otherwise(F.lit(float("inf")).cast("float"))
     known = nodes.join(graph.select("node", worst.alias("worst")), "node").select(F.col("node").alias("member"), "half", "worst")
     meeting = sent.union(back).union(own).join(known, "member").groupBy("at").agg(*[F.collect_list(c).alias(c) for c in ("member", "new", "half", "worst")])
 
@@ -158,10 +191,10 @@ def _meet(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
             out = [], [], []
             for ids, new, halves, worst_ in zip(*(c.to_pylist() for c in batch.columns)):
                 x, ids, new = _halves(halves), np.asarray(ids), np.asarray(new)
-                d = _distances(x, x)
+                d = _between(x)
                 d[~new[:, None] & ~new[None]] = np.inf
                 d[ids[:, None] == ids[None]] = np.inf
-                k = min(TELL, len(ids))
+                k = min(tell, len(ids))
                 best = np.argpartition(d, k - 1, axis=1)[:, :k]
                 near = np.take_along_axis(d, best, 1)
                 ok = near < np.asarray(worst_)[:, None]
@@ -175,33 +208,41 @@ def _meet(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     return meeting.select("member", "new", "half", "worst").mapInArrow(run, "node bigint, cands array<bigint>, dists array<float>")
 
 
+def _unsent(graph: DataFrame) -> int:
+    """Entries that have not been sent as new ones yet; those about to be sent count too."""
+    news = F.size(F.filter("fresh", lambda x: x)) + F.size(F.filter("send_new", lambda x: x))
+    return graph.agg(F.sum(news)).first()[0] or 0
+
+
 def build_graph(nodes: DataFrame) -> DataFrame:
     """node, nbrs (nearest first), dists (squared)."""
-    n = nodes.count()
+    size = Effort(nodes.count())
     flat = lambda c: F.flatten(F.collect_list(c))
     none = {"nbrs": F.array().cast("array<bigint>"), "dists": F.array().cast("array<float>"), "fresh": F.array().cast("array<boolean>")}
-    start = stored(_blocks(nodes, n, 101), "ann-start")  # each on its own: one plan of all starts takes the driver's memory
+    start = stored(_blocks(nodes, size, 101), "ann-start")  # each on its own: one plan of all starts takes the driver's memory
     for seed in range(102, 101 + STARTS):
-        start = start.union(stored(_blocks(nodes, n, seed), "ann-start"))
+        start = start.union(stored(_blocks(nodes, size, seed), "ann-start"))
     start = start.groupBy("node").agg(flat("cands").alias("cands"), flat("dists").alias("cand_dists"))
-    graph = stored(_merge(start.withColumns(none), 0), "ann-graph")
-    for turn in range(1, ROUNDS + 1):
-        learnt = _meet(graph, nodes, turn).groupBy("node").agg(flat("cands").alias("cands"), flat("dists").alias("cand_dists"))
-        graph = stored(_merge(graph.join(learnt, "node", "left"), turn), "ann-graph")
+    graph, turn = stored(_merge(start.withColumns(none), size, 0), "ann-graph"), 0
+    while _unsent(graph) > SETTLED * size.n * size.k:
+        turn += 1
+        learnt = _meet(graph, nodes, size, turn).groupBy("node").agg(flat("cands").alias("cands"), flat("dists").alias("cand_dists"))
+        graph = stored(_merge(graph.join(learnt, "node", "left"), size, turn), "ann-graph")
     return graph.select("node", "nbrs", "dists")
 
 
-def adjacency(graph: DataFrame) -> DataFrame:
-    """node, nbrs: neighbours and the nodes that have it as a neighbour, at most DEGREE, nearest first."""
+def adjacency(graph: DataFrame, degree: int = DEGREE) -> DataFrame:
+    """node, nbrs: neighbours and the nodes that have it as a neighbour, at most degree, nearest first."""
     edges = graph.select("node", F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select("node", F.col("e.nbrs").alias("to"), F.col("e.dists").alias("d"))
     both = edges.union(edges.select(F.col("to").alias("node"), F.col("node").alias("to"), "d")).distinct()
-    near = both.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("d", "to"))).filter(F.col("turn") <= DEGREE)
+    near = both.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("d", "to"))).filter(F.col("turn") <= degree)
     return stored(near.groupBy("node").agg(F.collect_list("to").alias("nbrs")), "ann-adjacency")
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
     """queries: q (its node) and half. q, found: the nodes of the beam, nearest first."""
-    links = adjacency(graph)
+    size = Effort(nodes.count())
+    links, width, expand = adjacency(graph, size.degree), size.beam, size.expand
     beam_schema = "q bigint, half binary, found array<bigint>, dists array<float>, done array<boolean>, seen array<bigint>, ask array<bigint>"
 
     def advance(rows: DataFrame) -> DataFrame:
@@ -218,10 +259,10 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
                         new, x = np.asarray(cands), _halves(halves)
                         ids, d = np.concatenate([ids, new]), np.concatenate([d, _distances(_halves([half]), x)[0]])
                         done = np.concatenate([done, np.zeros(len(new), bool)])
-                        best = np.lexsort((ids, d))[:BEAM]
+                        best = np.lexsort((ids, d))[:width]
                         ids, d, done = ids[best], d[best], done[best]
                         seen = np.union1d(seen, new)
-                    ask = np.flatnonzero(~done)[:EXPAND]
+                    ask = np.flatnonzero(~done)[:expand]
                     done[ask] = True
                     for column, value in zip(out, (q, half, ids, d, done, seen, ids[ask])):
                         column.append(value)
@@ -238,7 +279,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
     first = queries.select("q", F.col("q").alias("node")).join(links, "node").select("q", F.explode("nbrs").alias("cand"))
     beam = queries.select("q", "half").join(measured(first), "q", "left")
     beam = advance(beam.withColumns({"found": none("bigint"), "dists": none("float"), "done": none("boolean"), "seen": F.array("q")}))
-    for _ in range(STEPS):
+    while beam.filter(F.size("ask") > 0).limit(1).count():
         asked = beam.select("q", F.explode("ask").alias("node")).join(links, "node").select("q", F.explode("nbrs").alias("cand")).distinct()
         lists = asked.groupBy("q").agg(F.collect_list("cand").alias("cands"))
         new = beam.select("q", "seen").join(lists, "q").select("q", F.explode(F.array_except("cands", "seen")).alias("cand"))

@@ -163,6 +163,36 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * 300
 
 
+def test_neighbours_descend_until_settled(spark, monkeypatch):
+    """From two starts of small blocks, a fixed few rounds leave most of the graph wrong."""
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "STARTS", 2)
+    x = vectors(2000, 4, 8)
+    nodes = ann.nodes_of(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"))
+    ids = {r.node: r.ids[0] for r in nodes.select("node", "ids").collect()}
+    hits = 0
+    for r in ann.build_graph(nodes).collect():
+        d = ((x - x[ids[r.node]]) ** 2).sum(1)
+        hits += len(set(np.argsort(d, kind="stable")[1:11].tolist()) & {ids[i] for i in r.nbrs})
+    assert hits >= 0.97 * 20_000
+
+
+def test_neighbours_search_until_expanded(spark):
+    """Along a chain each step reaches one node more."""
+    n = 16
+    halves = [np.array([i, 1], np.float16).tobytes() for i in range(n)]
+    nodes = spark.createDataFrame([(i, bytearray(h)) for i, h in enumerate(halves)], "node bigint, half binary")
+    graph = spark.createDataFrame([(i, [i + 1], [1.0]) for i in range(n - 1)], "node bigint, nbrs array<bigint>, dists array<float>")
+    queries = nodes.filter("node = 0").select(F.col("node").alias("q"), "half")
+    assert sorted(ann.search(queries, nodes, graph).first().found) == list(range(1, n))
+
+
+def test_neighbours_effort_grows():
+    small, large = ann.Effort(ann.BASE), ann.Effort(4 * ann.BASE)
+    assert (small.k, small.beam) == (ann.K, ann.BEAM) == (ann.Effort(2).k, ann.Effort(2).beam)
+    assert large.k > small.k and large.beam == 2 * small.beam
+
+
 def test_neighbours_odd_rows(spark):
     x = vectors(60, 2, 4).tolist()
     rows = [(i, v) for i, v in enumerate(x)] + [(100, x[3]), (200, x[3]), *[(1000 + i, x[3]) for i in range(40)], (300, None), (400, [0.0] * 4), (500, [float("nan"), 1.0, 1.0, 1.0]), (600, [None, 1.0, 1.0, 1.0])]
