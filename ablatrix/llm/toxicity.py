@@ -42,6 +42,9 @@ DRIFT = 0.4
 CLIP = 8.0
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
+#: Tokens within which a repeated word is damped. A word's log-odds is used up by the drift over CLIP / DRIFT tokens at most, so
+#: farther than twice that, uses of a word are evidence for passages of their own.
+SPAN = round(2 * CLIP / DRIFT)
 #: Letters of a stem.
 STEM = 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -73,16 +76,15 @@ def buckets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def token_scores(odds: np.ndarray, b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """A word's log-odds, or its stem's where the word's are not sure, less the drift.
 
-    The k-th occurrence of a positive word counts a k-th of its log-odds: a text that repeats a word is no more toxic for it."""
+    A positive word's k-th occurrence within `SPAN` tokens counts a k-th of its log-odds: a passage that repeats a word is no more
+    toxic for it, and one far from earlier uses of its words scores as if they weren't there."""
     own = odds[b[0]]
     scores = np.where(own != 0, own, odds[b[1]])
     ups = np.flatnonzero(scores > 0)
     if len(ups) > 1:
         order = np.argsort(b[0][ups], kind="stable")
-        words = b[0][ups][order]
-        first = np.flatnonzero(np.diff(words, prepend=-1))
-        turn = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words)))) + 1
-        scores[ups[order]] /= turn
+        place = (b[0][ups[order]] << 32) + ups[order]  # sorted; SPAN less stays above the places of the word before
+        scores[ups[order]] /= np.arange(len(place)) - np.searchsorted(place, place - SPAN) + 1
     return scores - DRIFT
 
 

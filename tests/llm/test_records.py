@@ -111,6 +111,22 @@ def test_scale_is_the_root():
     assert (p * np.exp(lam * (np.append(odds, 0.0) - toxicity.DRIFT))).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_passages_score_the_same_wherever_they_stand():
+    odds = np.full(toxicity.SIZE, -0.2)
+    rude = ["idiot", "scum", "moron"]
+    odds[toxicity.buckets(" ".join(rude))[0]] = 4.0
+    model = toxicity.Model(odds, 1.0, -2.0, (-4.0, 0.5, 0.5, 0.5))
+    words = ["calm"] * 2500
+    plain = model.judge(" ".join(words + rude))
+    for at, word in zip((100, 500, 900, 1300, 1700, 2100), rude * 2):
+        words[at] = word
+    used = model.judge(" ".join(words + rude))
+    assert [x[:2] for x in plain[1]] == [x[:2] for x in used[1]] == [(2500, 2503)]
+    assert used[1][0][2:] == pytest.approx(plain[1][0][2:]) and used[0] == pytest.approx(plain[0])
+    scores = toxicity.token_scores(odds, toxicity.buckets("idiot calm idiot " + "calm " * 37 + "idiot " + "calm " * 40 + "idiot")) + toxicity.DRIFT
+    assert scores[[0, 2, 40, 81]] == pytest.approx([4.0, 2.0, 4 / 3, 4.0])  # 40 tokens back counts, 41 doesn't
+
+
 def labelled(spark, n=1500, seed=3):
     rng = random.Random(seed)
     calm, rude = [f"calm{i}x" for i in range(200)], ["idiot", "scumbag", "moronic"]
