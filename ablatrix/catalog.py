@@ -133,6 +133,11 @@ def certificate_id(spark: SparkSession, d: str) -> DataFrame:
     return report.certificate_ids(counts.select("patch_id", F.coalesce("contrast", F.lit("")).alias("contrast"), "mutations", "witnessed", "unwitnessed", "inconclusive", "surplus"))
 
 
+def report_certificate_id(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of the whole report: hunks, runs' classes, sets, pairs and surplus. certificate_id, as its SQL has it, covers counts only."""
+    return report.certificate_ids(_reports(spark, d), native=False)
+
+
 def annotations(spark: SparkSession, d: str) -> DataFrame:
     return report.annotations(adapters.mutation_results(spark, d))
 
@@ -192,6 +197,9 @@ QUERIES = {
     )
 }
 
+#: Queries without SQL: the bytes hashed are those of Python's json, and the tests compare with it.
+UNCHECKED = {"report_certificate_id": report_certificate_id}
+
 # ---------------------------------------------------------------- SQL
 
 _RUNS = """runs AS (SELECT event_id // 8 AS patch_id, (event_id % 8) // 2 AS slot, value, value > 250 AS timed_out, CASE WHEN value > 250 THEN FALSE ELSE event_type NOT IN ('error', 'view') END AS ok FROM events),

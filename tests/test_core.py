@@ -1,6 +1,8 @@
 """Literal fixtures, and the set-based search against a sequential simulation."""
 
+import hashlib
 import itertools
+import json
 import random
 
 import pytest
@@ -165,6 +167,27 @@ def test_core_and_surplus(spark):
     assert {r.key: r.value for r in report.ci_outputs(counts).collect()}["witness_ratio"] == "0.666667"
 
 
+def test_certificates_cover_the_whole_report(spark, monkeypatch):
+    """Reports of equal counts differ by what they hold; the ids are hashes of Python's json."""
+    import __spark_entry__ as entry
+    from ablatrix import catalog
+
+    hunk = "array<struct<mut_ord:int,id:string,label:string,status:string,runtime_s:double>>"
+    sets = "array<struct<rank:bigint,members:array<struct<id:string,label:string>>>>"
+    schema = f"patch_id bigint, contrast string, candidate string, results {hunk}, mutations bigint, witnessed bigint, unwitnessed bigint, inconclusive bigint, witness_ratio double, found_order int, sufficient_sets {sets}, backups {sets}, surplus {hunk}"
+    one = lambda i, label, time: (0, i, label, "witnessed", time)
+    row = lambda p, h, s: (p, "base-fail_candidate-pass", None, [h], 1, 1, 0, 0, 1 / 3, 1, s, None, [])
+    rows = [row(1, one("a", "ä \"x\"/1", 1e-7), [(1, [("a", "ä")])]), row(2, one("b", "ä \"x\"/1", 1e-7), [(1, [("a", "ä")])]), row(3, one("a", "ä \"x\"/1", 1e20), None), row(4, one("a", "ä \"x\"/1", 0.5), [(2, [("a", "ä")])])]
+    full = spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(catalog, "_reports", lambda *_: full)
+    got = {r.patch_id: r.certificate_id for r in entry.queries()["report_certificate_id"](spark, "").collect()}
+    for r in full.collect():
+        stable = {k: v for k, v in r.asDict(True).items() if k != "patch_id"}
+        text = json.dumps(stable, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert got[r.patch_id] == "dw2_" + hashlib.sha256(text.encode()).hexdigest()[:20]
+    assert len(set(got.values())) == 4
+
+
 def test_mutual_backup(spark):
     units = spark.createDataFrame([(1, i, 2, (f"m{i}", "")) for i in range(2)], "patch_id bigint, idx int, n bigint, unit struct<id:string,label:string>")
     pairs = search.interaction_search(units, search.recorded(spark.createDataFrame([(1, "0,1", "stable-fail")], OUTCOMES)))
