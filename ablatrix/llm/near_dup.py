@@ -19,7 +19,8 @@ component of links.
 A link of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9994 at 0.8, 0.9999986 at 0.9.
 
 Null texts count as empty. Texts without words are classes of equal texts. Documents with equal texts are always one class,
-repeated ids and null ids included; class_id is the smallest doc_id of the class (null if it has none). Empty tables give no rows.
+repeated ids and null ids included; class_id is the smallest doc_id of the class (null if it has none). Of classes that share it, or
+have none, the one of the lowest md5 keeps it, and the others get distinct numbers that are no doc_id. Empty tables give no rows.
 Only doc_id and text are read, so further columns can't clash.
 """
 
@@ -347,7 +348,8 @@ def _all_pairs(rest: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id for every row of docs, and key, the md5 of its text."""
+    """doc_id, class_id for every row of docs, key, the md5 of its text, root, one number for each class, and first, the class's
+    smallest doc_id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(docs)))  # 2^SLOTS floats: 8 MB
@@ -381,21 +383,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         roots, rest = stored(up(roots), "roots"), up(rest)
     named = nodes.select("node", "key", "first").join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     named = stored(named, "named")
-    ids = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    classes = named.join(ids, "root").select("key", "class_id")
-    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "key")
+    ids = named.groupBy("root").agg(F.min("first").alias("least"), F.min("key").alias("lead"))
+    owners = ids.groupBy("least").agg(F.min_by("root", "lead").alias("root")).select("root", F.lit(True).alias("owns"))
+    low, high = signed.agg(F.min("doc_id"), F.max("doc_id")).first()
+    top = nodes.agg(F.max("node")).first()[0] or 0
+    down = (low or 0) - 1 - top >= -(1 << 63)  # room below the ids for a number a root, else above them
+    fresh = F.lit((low or 0) - 1) - F.col("root") if down else F.lit((high or 0) + 1) + F.col("root")
+    ids = ids.join(owners, "root", "left").select("root", "least", F.when(F.col("owns"), F.col("least")).otherwise(fresh).alias("class_id"))
+    classes = named.join(ids, "root").select("key", "class_id", "root", F.col("least").alias("first"))
+    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "key", "root", "first")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each class, all columns kept: that of the class's smallest doc_id (of rows that share it, one)."""
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "key").count()
-    keep = found.groupBy("class_id").agg(F.min(F.struct("key", "count")).alias("k"))
-    keep = stored(keep.select(F.col("class_id").alias("_nd_id"), F.col("k.key").alias("_nd_key"), F.col("k.count").alias("_nd_rows")), "kept")
+    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("root", "first", "key").count()
+    keep = found.groupBy("root", "first").agg(F.min(F.struct("key", "count")).alias("k"))
+    keep = stored(keep.select(F.col("first").alias("_nd_id"), F.col("k.key").alias("_nd_key"), F.col("k.count").alias("_nd_rows")), "kept")
     key = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
     own = docs["doc_id"].eqNullSafe(F.col("_nd_id")) & (key == F.col("_nd_key"))
     if not keep.filter("_nd_rows > 1").limit(1).count():
         return docs.join(keep, own, "left_semi")
-    more = docs.join(keep.filter("_nd_rows > 1"), own, "left_semi").dropDuplicates(["doc_id"])
+    more = docs.join(keep.filter("_nd_rows > 1"), own, "left_semi").withColumn("_nd_own", key).dropDuplicates(["doc_id", "_nd_own"]).drop("_nd_own")
     return docs.join(keep.filter("_nd_rows = 1"), own, "left_semi").union(more)
 
 

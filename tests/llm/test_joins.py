@@ -134,6 +134,22 @@ def test_near_duplicate_odd_rows(spark):
     assert near_dup.drop_near_duplicates(no_documents(spark)).count() == 0
 
 
+def test_near_duplicates_without_ids_of_their_own(spark):
+    """Classes without an id, or with an id that others have too, stay apart."""
+    words = lambda i: " ".join(f"x{i}y{j}" for j in range(30))
+    rows = [(None, words(0)), (None, words(1)), (None, words(2)), (None, words(2)), (None, words(3)), (9, words(3)), (7, words(4)), (7, words(5)), (7, words(5)), (8, words(5)), (-5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    classes = {}
+    for r in near_dup.near_duplicates(docs).collect():
+        classes.setdefault(bytes(r.key), set()).add(r.class_id)
+    assert len(classes) == 7 and all(len(c) == 1 for c in classes.values())
+    ids = [c for (c,) in classes.values()]
+    assert len(set(ids)) == 7 and {None, 9, 7, -5} <= set(ids)
+    assert all(c < -5 for c in set(ids) - {None, 9, 7, -5})
+    kept = sorted(map(tuple, near_dup.drop_near_duplicates(docs).collect()), key=repr)
+    assert kept == sorted([(None, words(0)), (None, words(1)), (None, words(2)), (9, words(3)), (7, words(4)), (7, words(5)), (-5, "")], key=repr)
+
+
 def vectors(n, seed=1, dims=16):
     rng = np.random.default_rng(seed)
     return rng.standard_normal((n, dims)).astype(np.float32)
