@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests on one machine, a
-    temporary folder of this process, removed at its end."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and Spark runs in one process, as in
+    tests, a temporary folder of this process, removed at its end; on a cluster it must be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or _own_dir()).rstrip("/")
 
 
 @functools.cache
@@ -53,6 +59,48 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """The tables that an operator writes on its way, in a folder of their own in the shared one. What the operator returns is
+    written elsewhere, so clear() can remove them all."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, scratch(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes path and all in it from whatever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def hand_back() -> None:
+    """Gives freed memory back to the system. Python workers outlive their tasks, and what they keep adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with the memory it has freed handed back when a task is through."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return tidied
+
+
 def map_rows(
     df: DataFrame, schema: str, fn: Callable[[Sequence[list]], list[Sequence]], chunk_bytes: int = 8 << 20, size_column: int | None = None
 ) -> DataFrame:
@@ -74,7 +122,7 @@ def map_rows(
 
     parsed = StructType.fromDDL(schema)
     arrow_schema = to_arrow_schema(parsed)
-    return df.mapInArrow(run, parsed)
+    return df.mapInArrow(tidy(run), parsed)
 
 
 def cut(batch: pa.RecordBatch, size_column: int | None, chunk_bytes: int) -> Iterable[pa.RecordBatch]:

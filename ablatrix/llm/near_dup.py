@@ -1,20 +1,26 @@
 """Near-duplicates (operator 2): improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Words are runs of ASCII letters, digits and non-ASCII characters of the lower-cased text; shingles are five words (a text of fewer
-words is one shingle). A shingle weighs its count in the text times a damped idf, 1 + ln(N / df) / (DAMPING ln N), where df counts
-documents in 2^`SLOTS` hash slots over the whole corpus: the statistic has a fixed size, and rare shingles that share slots only
-come closer to a common weight. Damping keeps the words that many copies share from weighing next to nothing beside an edit.
+words is one shingle). A shingle weighs its count in the text times its idf, 1 + ln(N / df) / ln(N / L): 1 for what every document
+holds, 2 for what fewer than L do. L is 1 / `COMMON` of all (document, shingle) pairs, so that at most `COMMON` shingles are held by
+L documents or more, whatever the corpus; their df is counted exactly, and rarer ones all weigh 2. As pairs and documents grow
+together, L is the same share of the documents at every size. The added 1 keeps what the many copies of one text share from
+weighing next to nothing beside an edit: whatever the idf, a pair of a plain similarity of 0.86 or more has a weighted one of 0.8.
 Two documents are linked if the weighted Jaccard similarity of their shingles is `SIMILARITY` or more; a class is a connected
 component of links.
 
-1. Slots: each task sums its own counts; what it hands on has a fixed size, and so has the broadcast table.
-2. Signatures: `BANDS` x `ROWS` consistent weighted samples. Equal texts are one node from here on.
+1. Frequencies: tasks sum documents by 2^`SLOTS` hash slots; shingles of slots that reach L are then counted one by one.
+2. Signatures: `BANDS` x `ROWS` consistent weighted samples, each from numbers of its own for every shingle. Equal texts are one
+   node from here on.
 3. Candidates: nodes that share a band. Every member of a band is first compared with the band's hub, so that a huge group of
    copies costs one comparison a member. Components of these links come from hooking and pointer jumping.
-4. Rest: in bands whose members are not all in one component, a few more hubs are tried; then the pairs of different components
-   that their weights and the weights they share with other components still allow are compared. So no pair of candidates stays undecided, but pairs
-   within a component are never made.
-5. Comparisons join the two texts' shingle vectors and compute the weighted Jaccard similarity exactly.
+4. Rest: in bands whose members are not all in one component, nodes go whose weights and whose weights shared with other components
+   rule out any further link, and further hubs are tried.
+5. What is left is joined on differences from the hub: of two linked nodes of which one isn't linked to the hub, the other shares
+   about half of its own differences from the hub with it or more. So each node looks, from its rarest shared difference on, only
+   as long as what remains could be enough. No pair of candidates stays undecided, and neither pairs within a component nor all
+   pairs of a group are ever made.
+6. Comparisons join the two texts' shingle vectors and compute the weighted Jaccard similarity exactly.
 
 A link of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9994 at 0.8, 0.9999986 at 0.9.
 
@@ -26,38 +32,36 @@ Only doc_id and text are read, so further columns can't clash.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, empty_text, map_rows, stored, table
+from .common import Workspace, cut, empty_text, map_rows, stored, table, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 SLOTS = 21
-#: The idf runs from 1 to 1 + 1 / DAMPING.
-DAMPING = 8
+#: Shingles that have an idf of their own, at most.
+COMMON = 1 << 19
 SHARES = 256
-DRAWS = 1 << 14
 CHUNK = 2 << 20
-BLOCK = 2048
-#: Width of a class of total weights, as a factor.
-STEP = 1.03
+BLOCK = 512
 #: Room for rounding in bounds on weights.
 SLACK = 1 + 1e-6
-#: Rounds over what the first hubs leave: all but the last with one more hub a band, the last with all pairs left.
+#: Rounds over what the first hubs leave: all but the last with one more hub a band, the last by differences.
 HUBS = 3
 LONG_WORD = 256
 LETTER = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-_STATE: dict = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -115,19 +119,19 @@ def slot_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+def slot_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of documents, and the documents of each slot: 2^SLOTS numbers, however many documents there are."""
     width = (1 << SLOTS) // SHARES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, slots = 0, np.zeros(1 << SLOTS, np.uint64)
+        n, slots = 0, np.zeros(1 << SLOTS, np.uint32)  # of one task
         for batch in batches:
             for part in cut(batch, 0, CHUNK):
                 texts = part.column(0).to_pylist()
                 n += len(texts)
-                found = [slot_of(u) for u, _ in shingle_sets(texts)]
-                np.add.at(slots, np.concatenate(found), np.uint64(1))
-        yield hand_on({-1: np.array([n], np.uint64)} | {i: x for i in range(SHARES) if (x := slots[i * width : (i + 1) * width]).any()} if n else {})
+                for u, _ in shingle_sets(texts):
+                    np.add.at(slots, slot_of(u), np.uint32(1))
+        yield hand_on({-1: np.array([n], np.uint64)} | {i: x.astype(np.uint64) for i in range(SHARES) if (x := slots[i * width : (i + 1) * width]).any()} if n else {})
 
     def hand_on(shares: dict[int, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([*shares], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in shares.values()], pa.binary())], names=["share", "counts"])
@@ -141,8 +145,8 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         yield hand_on(sums)
 
     schema = "share int, counts binary"
-    parts = docs.select(empty_text().alias("text")).mapInArrow(count, schema)
-    rows = parts.repartition("share").mapInArrow(add, schema).collect()  # SHARES rows that hold 2^SLOTS numbers
+    parts = docs.select(empty_text().alias("text")).mapInArrow(tidy(count), schema)
+    rows = parts.repartition("share").mapInArrow(tidy(add), schema).collect()  # SHARES rows that hold 2^SLOTS numbers
     df = np.zeros(1 << SLOTS, np.uint64)
     n = 0
     for i, x in rows:
@@ -154,37 +158,125 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return n, df
 
 
-def idf_table(n: int, df: np.ndarray) -> np.ndarray:
-    if n < 2:
-        return np.ones(len(df), np.float32)
-    return (1 + np.log(n / np.clip(df, 1, n).astype(np.float64)) / (DAMPING * math.log(n))).astype(np.float32)
+def common_shingles(docs: DataFrame, slots: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that `least` documents or more hold, sorted, and how many hold them. slots: the documents of each slot."""
+    flags = docs.sparkSession.sparkContext.broadcast(slots >= least)  # 2 MB
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        new: list[np.ndarray] = []
 
-def _draws() -> np.ndarray:
-    """1/r, r, beta and ln c of each sample, for DRAWS classes of shingles."""
-    if "draws" not in _STATE:
-        rng = np.random.Generator(np.random.PCG64(20240117))
-        r = rng.gamma(2.0, 1.0, (DRAWS, SAMPLES)) + 1e-6
-        parts = 1 / r, r, rng.random((DRAWS, SAMPLES)), np.log(rng.gamma(2.0, 1.0, (DRAWS, SAMPLES)) + 1e-12)
-        _STATE["draws"] = np.stack(parts, axis=1).astype(np.float32)
-    return _STATE["draws"]
+        def add(u: np.ndarray, count: np.ndarray):
+            some, at = np.unique(np.concatenate([held, u]), return_inverse=True)
+            return some, np.bincount(at, np.concatenate([n, count]), len(some)).astype(np.int64)
+
+        def hand_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+        for batch in batches:
+            for part in cut(batch, 0, CHUNK):
+                new += [u[flags.value[slot_of(u)]] for u, _ in shingle_sets(part.column(0).to_pylist())]
+                if sum(map(len, new)) > COMMON:
+                    u = np.concatenate(new)
+                    new.clear()
+                    held, n = add(u, np.ones(len(u), np.int64))
+                    if len(held) > COMMON:
+                        yield hand_on()
+                        held, n = held[:0], n[:0]
+        if new:
+            u = np.concatenate(new)
+            held, n = add(u, np.ones(len(u), np.int64))
+        yield hand_on()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy().tobytes()], pa.binary()) for i in (0, 1)], names=["shingles", "counts"])
+
+    found = docs.select(empty_text().alias("text")).mapInArrow(tidy(pick), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = found.filter(F.col("n") >= least).mapInArrow(pack, "shingles binary, counts binary").collect()  # COMMON numbers of each kind at most
+    shingles, counts = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), np.uint64) for i in (0, 1))
+    flags.destroy()
+    order = np.argsort(shingles)
+    return shingles[order], counts[order]
+
+
+@dataclass(frozen=True)
+class Weights:
+    """The idf of shingles: an exact one of each common shingle, `rare` of all others. flags: the slots that hold common ones."""
+
+    flags: np.ndarray
+    shingles: np.ndarray
+    values: np.ndarray
+    rare: float
+
+    @classmethod
+    def of(cls, n: int, least: int, shingles: np.ndarray, df: np.ndarray) -> Weights:
+        flags = np.zeros(1 << SLOTS, bool)
+        flags[slot_of(shingles)] = True
+        if n <= least:
+            return cls(flags, shingles, np.ones(len(shingles), np.float32), 1.0)
+        return cls(flags, shingles, (1 + np.log(n / np.clip(df, least, n).astype(np.float64)) / math.log(n / least)).astype(np.float32), 2.0)
+
+    def __call__(self, u: np.ndarray) -> np.ndarray:
+        out = np.full(len(u), self.rare, np.float32)
+        some = np.flatnonzero(self.flags[slot_of(u)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.shingles, u[some]), len(self.shingles) - 1)
+            hit = self.shingles[at] == u[some]
+            out[some[hit]] = self.values[at[hit]]
+        return out
+
+
+def inverse_document_frequencies(docs: DataFrame) -> Weights:
+    n, slots = slot_counts(docs)
+    least = max(1, math.ceil(int(slots.sum()) / COMMON))
+    return Weights.of(n, least, *common_shingles(docs, slots, least))
+
+
+@functools.cache
+def _quantiles() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, 1 / r and ln c at 2^16 equal steps of the distribution Gamma(2, 1), 1 - (1 + x) exp(-x)."""
+    p, low, high = (np.arange(1 << 16) + 0.5) / (1 << 16), np.zeros(1 << 16), np.full(1 << 16, 64.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        less = 1 - (1 + mid) * np.exp(-mid) < p
+        low, high = np.where(less, mid, low), np.where(less, high, mid)
+    return tuple(x.astype(np.float32) for x in (low, 1 / low, np.log(low)))
 
 
 def sample(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The consistent weighted samples: a hash of (shingle, t) for each draw. Shingles are sorted, ties take the first."""
-    table_, columns = _draws(), np.arange(SAMPLES)
+    """The consistent weighted samples: a hash of (shingle, t) for each draw. Shingles are sorted, ties take the first.
+
+    Each shingle and sample has its own r and c (16 bits of a hash each) and beta (24 bits of another)."""
+    gamma, inverse, log_gamma = _quantiles()
+    columns = np.arange(SAMPLES)
+    seeds = mixed(columns.astype(np.uint64) * MULTIPLIERS[2] + MULTIPLIERS[3]).astype(np.uint32)
     best, who, when = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.float32)
-    logs, rows = np.log(weights).astype(np.float32), (shingles & np.uint64(DRAWS - 1)).astype(np.int64)
+    logs, low, high = np.log(weights).astype(np.float32), shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
     for s in range(0, len(shingles), BLOCK):
-        g = table_[rows[s : s + BLOCK]]
-        t = logs[s : s + BLOCK, None] * g[:, 0]
-        t += g[:, 2]
+        x = low[s : s + BLOCK, None] ^ seeds
+        x *= np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0xC2B2AE35)
+        x ^= x >> np.uint32(16)
+        y = (x ^ high[s : s + BLOCK, None]) * np.uint32(0x9E3779B1)
+        y ^= y >> np.uint32(15)
+        y *= np.uint32(0x85EBCA77)
+        beta = (y >> np.uint32(8)).astype(np.float32)
+        beta *= np.float32(2**-24)
+        at = x & np.uint32(0xFFFF)
+        t = inverse[at]
+        t *= logs[s : s + BLOCK, None]
+        t += beta
         np.floor(t, out=t)
-        a = g[:, 3] - g[:, 1] * (t - g[:, 2] + 1)
+        a = t - beta
+        a += 1
+        a *= gamma[at]
+        np.subtract(log_gamma[x >> np.uint32(16)], a, out=a)
         i = a.argmin(axis=0)
-        low = a[i, columns]
-        better = low < best
-        best = np.where(better, low, best)
+        found = a[i, columns]
+        better = found < best
+        best = np.where(better, found, best)
         who, when = np.where(better, shingles[s : s + BLOCK][i], who), np.where(better, t[i, columns], when)
     return mixed(who * MULTIPLIERS[0] + when.astype(np.int64).astype(np.uint64))
 
@@ -202,18 +294,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
 
 
-def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, key (md5 of the text), bands (empty without words), weight (sum over shingles). idf: a broadcast table."""
+def signatures(docs: DataFrame, weights) -> DataFrame:
+    """doc_id, key (md5 of the text), bands (empty without words), weight (sum over shingles). weights: a broadcast Weights."""
+    known: dict[bytes, tuple[list[int], float]] = {}  # each task gets an empty one
 
     def run(columns):
-        known, bands, weights = _STATE.setdefault("known", {}), [], []
-        new = [i for i, k in enumerate(columns[1]) if k not in known]
-        if len(known) > 20_000:
+        new = {k: i for i, k in enumerate(columns[1]) if k not in known}
+        if len(known) > 4096:
             known.clear()
-            new = range(len(columns[1]))
-        for i, (u, n) in zip(new, shingle_sets([columns[2][i] for i in new])):
-            w = n * idf.value[slot_of(u)]
-            known[columns[1][i]] = (bands_of(sample(u, w)).tolist() if len(u) else [], float(w.sum()))
+            new = {k: i for i, k in enumerate(columns[1])}
+        for (k, i), (u, n) in zip(new.items(), shingle_sets([columns[2][i] for i in new.values()])):
+            w = n * weights.value(u)
+            known[k] = (bands_of(sample(u, w)).tolist() if len(u) else [], float(w.sum()))
         found = [known[k] for k in columns[1]]
         return columns[0], columns[1], [x[0] for x in found], [x[1] for x in found]
 
@@ -229,49 +321,65 @@ def vectors(texts: DataFrame) -> DataFrame:
     return map_rows(texts.select("node", "text"), "node bigint, vector binary", run, CHUNK, 1)
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
+def _counted(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.frombuffer(vector, np.uint64), return_counts=True)
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> float:
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = float((np.minimum(a[1][i], b[1][j]) * idf[slot_of(common)]).sum(dtype=np.float64))
-    total = sum(float((n * idf[slot_of(u)]).sum(dtype=np.float64)) for u, n in (a, b))
+    shared = float((np.minimum(a[1][i], b[1][j]) * weights(common)).sum(dtype=np.float64))
+    total = sum(float((n * weights(u)).sum(dtype=np.float64)) for u, n in (a, b))
     return shared / (total - shared) if total > shared else 1.0
 
 
-def compare(pairs: DataFrame, vectors_: DataFrame, idf) -> DataFrame:
+def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Keys and weights of what a has more of than b and, with inverted keys, less of; the weights of a and of b."""
+    every, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    more = np.bincount(at, np.concatenate([a[1], -b[1]]), len(every))
+    some = more != 0
+    idf = weights(every)
+    wa, wb = (float((np.bincount(part, n, len(every)) * idf).sum()) for part, n in ((at[: len(a[0])], a[1]), (at[len(a[0]) :], b[1])))
+    return np.where(more[some] > 0, every[some], ~every[some]), np.abs(more[some]) * idf[some], wa, wb
+
+
+def _with_vectors(pairs: DataFrame, vectors_: DataFrame) -> DataFrame:
+    left, right = vectors_.select(F.col("node").alias("a"), F.col("vector").alias("x")), vectors_.select(F.col("node").alias("b"), F.col("vector").alias("y"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def compare(pairs: DataFrame, vectors_: DataFrame, weights) -> DataFrame:
     """pairs (a, b) of nodes with a similarity of SIMILARITY or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        last = [None, None]  # a hub's rows come together
 
         def load(node, data):
-            if node not in known:
-                if len(known) > 64:
-                    known.clear()
-                known[node] = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
-            return known[node]
+            if last[0] != node:
+                last[:] = node, _counted(data.as_py())
+            return last[1]
 
         for batch in batches:
             out = [], []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                if weighted_jaccard(np.unique(np.frombuffer(x, np.uint64), return_counts=True), load(b, y), idf.value) >= SIMILARITY:
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if weighted_jaccard(_counted(x.as_py()), load(b, y), weights.value) >= SIMILARITY:
                     out[0].append(a)
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    left, right = vectors_.select(F.col("node").alias("a"), F.col("vector").alias("x")), vectors_.select(F.col("node").alias("b"), F.col("vector").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return _with_vectors(pairs, vectors_).select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """node, root: the smallest node reached, for every node of the edges (a, b). Nodes hook to their smallest neighbour, chains of
     hooks are halved until they are flat, and the edges between the roots go on. All in joins; only counts come to the driver."""
-    edges = stored(edges.filter("a <> b").select("a", "b"), "edges")
+    edges = space.stored(edges.filter("a <> b").select("a", "b"), "edges")
     roots: DataFrame | None = None
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
-        hooks = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "hooks")
+        hooks = space.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "hooks")
         while True:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = stored(hooks.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "hooks")
+            jumped = space.stored(hooks.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "hooks")
             hooks = jumped.select("node", "root")
             if not jumped.filter("moved").limit(1).count():
                 break
@@ -279,37 +387,37 @@ def components(edges: DataFrame) -> DataFrame:
             roots = hooks
         else:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            roots = stored(roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+            roots = space.stored(roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
         a, b = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra")), hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = stored(edges.join(a, "a").join(b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        edges = space.stored(edges.join(a, "a").join(b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def shared_weights(rest: DataFrame, vectors_: DataFrame, idf) -> DataFrame:
+def shared_weights(rest: DataFrame, vectors_: DataFrame, weights) -> DataFrame:
     """node, shared: the weight of a node's shingles that some node of another component of rest (node, root) holds as well."""
 
     def run(columns):
         out = [], [], [], []
         for node, root, data in zip(*columns):
-            u, n = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
-            for column, value in zip(out, (node, root, u.view(np.int64), (n * idf.value[slot_of(u)]).astype(np.float64))):
+            u, n = _counted(data)
+            for column, value in zip(out, (node, root, u.view(np.int64), (n * weights.value(u)).astype(np.float64))):
                 column.append(value)
         return out
 
     schema = "node bigint, root bigint, shingles array<bigint>, weights array<double>"
-    rows = map_rows(vectors_.join(rest.select("node", "root").distinct(), "node").select("node", "root", "vector"), schema, run)
+    rows = map_rows(vectors_.join(rest.select("node", "root").distinct(), "node").select("node", "root", "vector"), schema, run, CHUNK, 2)
     rows = rows.select("node", "root", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select("node", "root", F.col("s.shingles").alias("shingle"), F.col("s.weights").alias("w"))
     common = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
     return rows.join(common, "shingle").groupBy("node").agg(F.sum("w").alias("shared"))
 
 
-def _rest_nodes(rest: DataFrame, vectors_: DataFrame, idf) -> DataFrame:
+def _rest_nodes(rest: DataFrame, vectors_: DataFrame, weights) -> DataFrame:
     """rest (band, node, root, weight) with `most`, the weight up to which a node can have a partner; nodes that can't have any go.
 
     What two nodes have in common weighs at most what either shares with other components, and a similarity s needs it to weigh
     s / (1 + s) of both totals. So a node of weight w and shared weight h only pairs with weights from s w to (1 + s) / s h - w."""
     ratio = (1 + SIMILARITY) / SIMILARITY
-    rest = rest.join(shared_weights(rest, vectors_, idf), "node")
+    rest = rest.join(shared_weights(rest, vectors_, weights), "node")
     return rest.withColumn("most", F.col("shared") * ratio * SLACK - F.col("weight")).drop("shared").filter(F.col("most") >= F.col("weight") * SIMILARITY / SLACK)
 
 
@@ -318,33 +426,58 @@ def _able() -> Column:
     return (F.col("ra") != F.col("rb")) & (F.col("wb") <= F.col("ma")) & (F.col("wa") <= F.col("mb")) & (F.least("wa", "wb") * SLACK >= SIMILARITY * F.greatest("wa", "wb"))
 
 
-def _still_split(rest: DataFrame) -> DataFrame:
-    split = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    return rest.join(split, "band")
+def _still_split(rest: DataFrame, space: Workspace) -> DataFrame:
+    """The rows of bands whose members are of several components. The bands are written first: a hot one can then be dealt out."""
+    rest = space.stored(rest, "rest")
+    split = space.stored(rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band"), "split")
+    return space.stored(rest.join(split, "band"), "rest")
 
 
-def _hub_pairs(rest: DataFrame, turn: int) -> DataFrame:
-    """a, b, ra, rb: each node with one further hub of its band, drawn by hash."""
-    hub = F.max_by(F.struct("node", "root", "weight", "most"), F.xxhash64("node", F.lit(turn))).alias("h")
+def _hub_pairs(rest: DataFrame, turn: int, space: Workspace) -> DataFrame:
+    """a, b, ra, rb: each node with one further hub of its band: in odd turns the one that shares most of its weight with other
+    components, else one drawn by hash."""
+    place = F.col("most") / F.col("weight") if turn % 2 else F.lit(0.0)
+    hub = F.max_by(F.struct("node", "root", "weight", "most"), F.struct(F.round(place, 4), F.xxhash64("node", F.lit(turn)))).alias("h")
     hubs = rest.groupBy("band").agg(hub).select("band", F.col("h.node").alias("b"), F.col("h.root").alias("rb"), F.col("h.weight").alias("wb"), F.col("h.most").alias("mb"))
     x = rest.select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("most").alias("ma"))
-    return x.join(hubs, "band").filter(_able()).select("a", "b", "ra", "rb").distinct()
+    return x.join(space.stored(hubs, "hubs"), "band").filter(_able()).select("a", "b", "ra", "rb").distinct()
+
 
+def _pairs_by_differences(rest: DataFrame, hubs: DataFrame, vectors_: DataFrame, weights, space: Workspace) -> DataFrame:
+    """a, b, ra, rb: what is left and may still be similar. hubs: the first hub of each band, with which all have been compared.
 
-def _all_pairs(rest: DataFrame) -> DataFrame:
-    """a, b, ra, rb: what is left, each pair once, from the least band that both are in.
+    Let D be what a node has more or less of than the hub h, and W weights. x and y are similar if W(x - y) is at most
+    g (W(x) + W(y)) with g = (1 - s) / (1 + s), and W(x - y) = W(Dx) + W(Dy) - 2 W(what Dx and Dy share). Of a similar pair of which y
+    isn't similar to h, W(Dy) > g (W(y) + W(h)), so what they share weighs more than `need` = (W(Dx) + g (W(h) - W(x))) / 2.
+    x asks for its differences that some y of another component has as well, rarest first, as long as those from there on weigh `need`."""
+    g = (1 - SIMILARITY) / (1 + SIMILARITY)
 
-    Classes of weights, `STEP` wide, turn the bounds into an equality join; texts whose edits are their own, such as the far members
-    of a huge group of edited copies, leave no pairs. The bounds are exact, so nothing is lost."""
-    own = rest.groupBy("node").agg(F.collect_set("band").alias("bands"))  # BANDS at most
-    rest = rest.join(own, "node")
-    step = lambda w: F.floor(F.log(w) / math.log(STEP))
-    x = rest.withColumn("size", F.explode(F.sequence(step(F.col("weight") * SIMILARITY / SLACK), step(F.least(F.col("most"), F.col("weight") / SIMILARITY * SLACK)))))
-    x = x.select("band", "size", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("most").alias("ma"), F.col("bands").alias("ba"))
-    y = rest.select("band", step(F.col("weight")).alias("size"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("most").alias("mb"), F.col("bands").alias("bb"))
-    once = (F.col("ra") < F.col("rb")) & (F.array_min(F.array_intersect("ba", "bb")) == F.col("band"))
-    same = ["band", "size"]
-    return x.join(y.withColumnsRenamed({c: f"_{c}" for c in same}), (F.col("band") == F.col("_band")) & (F.col("size") == F.col("_size")) & _able() & once).select("a", "b", "ra", "rb")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["a", "b", "linked", "need", "keys", "sizes"], [pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                keys, sizes, wx, wh = difference(_counted(x.as_py()), _counted(y.as_py()), weights.value)
+                d, slack = float(sizes.sum()), 1e-6 * (wx + wh)
+                for column, value in zip(out, (a, b, d <= g * (wx + wh) - slack, (d + g * (wh - wx)) / 2 - slack, keys.view(np.int64), sizes)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+
+    nodes = rest.select(F.col("node").alias("a"), "root", "weight", "most").distinct()
+    pairs = rest.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    apart = _with_vectors(pairs, vectors_).select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint, linked boolean, need double, keys array<bigint>, sizes array<double>")
+    rows = apart.join(nodes, "a").withColumn("d", F.explode(F.arrays_zip("keys", "sizes"))).select(F.col("b").alias("hub"), F.col("d.keys").alias("key"), "a", "root", "weight", "most", "linked", "need", F.col("d.sizes").alias("size"))
+    rows = space.stored(rows, "differences")
+    holders = rows.groupBy("hub", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.when(~F.col("linked"), 1)).alias("n")).filter("low <> high and n > 0")
+    rows = space.stored(rows.join(space.stored(holders.select("hub", "key", "n"), "holders"), ["hub", "key"]), "differences")
+    rarest = Window.partitionBy("hub", "a").orderBy(F.desc("n"), F.desc("key"))  # sums of an element and all that are less rare
+    ask = rows.withColumn("left", F.sum("size").over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(F.col("left") * SLACK >= F.col("need"))
+    ask = space.stored(ask.select("hub", "key", "a", F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("most").alias("ma")), "asking")
+    have = rows.filter(~F.col("linked")).select("hub", "key", F.col("a").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("most").alias("mb"))
+    met = ask.join(have, ["hub", "key"]).filter(_able())
+    turned = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+    return met.select(pick("a", "b"), pick("b", "a"), pick("ra", "rb"), pick("rb", "ra")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -352,37 +485,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest doc_id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(docs)))  # 2^SLOTS floats: 8 MB
-    signed = stored(signatures(docs, idf), "signatures")
+    weights, space = spark.sparkContext.broadcast(inverse_document_frequencies(docs)), Workspace(spark, "near-dup")  # 8 MB at most
+    signed = space.stored(signatures(docs, weights), "signatures")
     nodes = signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = space.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select(F.explode("bands").alias("band"), "node", "weight")
-    sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(members.join(sizes, "band"), "members")
+    sizes = space.stored(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    members = space.stored(members.join(sizes, "band"), "members")
     # a band's hub is the member that meets the most others in all its bands: of a group of edited copies, one near their origin
     degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
     place = F.shiftleft("degree", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-    hubs = members.select("band", "node").join(degrees, "node").groupBy("band").agg(F.max_by("node", place).alias("hub"))
+    hubs = space.stored(members.select("band", "node").join(degrees, "node").groupBy("band").agg(F.max_by("node", place).alias("hub")), "hubs")
     stars = members.select("band", "node").join(hubs, "band").filter("node <> hub")
-    stars = stored(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    stars = space.stored(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     used = members.select("node").distinct().join(nodes.select("node", "key", "first"), "node")
     none = F.lit(-(1 << 63))
     texts = _keyed(docs).withColumn("id", F.coalesce("doc_id", none)).join(used.withColumn("id", F.coalesce("first", none)), ["key", "id"])
-    texts = stored(vectors(texts).dropDuplicates(["node"]), "vectors")
-    links = stored(compare(stars, texts, idf), "links")
-    known = components(links)
-    roots = members.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    rest = stored(_still_split(members.select("band", "node", "weight").join(roots, "node")), "rest")
-    rest = stored(_rest_nodes(rest, texts, idf), "rest")
+    texts = space.stored(vectors(texts).dropDuplicates(["node"]), "vectors")
+    links = space.stored(compare(stars, texts, weights), "links")
+    known = components(links, space)
+    roots = space.stored(members.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    rest = _still_split(members.select("band", "node", "weight").join(roots, "node"), space)
+    rest = _rest_nodes(rest, texts, weights)
     for turn in range(1, HUBS + 1):
-        rest = stored(_still_split(rest), "rest")
-        pairs = stored(_hub_pairs(rest, turn) if turn < HUBS else _all_pairs(rest), "rest-pairs")
-        more = compare(pairs.select("a", "b"), texts, idf).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        upper = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rest = _still_split(rest, space)
+        pairs = space.stored(_hub_pairs(rest, turn, space) if turn < HUBS else _pairs_by_differences(rest, hubs, texts, weights, space), "rest-pairs")
+        more = compare(pairs.select("a", "b"), texts, weights).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        upper = components(more, space).select(F.col("node").alias("root"), F.col("root").alias("top"))
         up = lambda x: x.join(upper, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-        roots, rest = stored(up(roots), "roots"), up(rest)
+        roots, rest = space.stored(up(roots), "roots"), up(rest)
     named = nodes.select("node", "key", "first").join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
-    named = stored(named, "named")
+    named = space.stored(named, "named")
     ids = named.groupBy("root").agg(F.min("first").alias("least"), F.min("key").alias("lead"))
     owners = ids.groupBy("least").agg(F.min_by("root", "lead").alias("root")).select("root", F.lit(True).alias("owns"))
     low, high = signed.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -390,8 +523,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     down = (low or 0) - 1 - top >= -(1 << 63)  # room below the ids for a number a root, else above them
     fresh = F.lit((low or 0) - 1) - F.col("root") if down else F.lit((high or 0) + 1) + F.col("root")
     ids = ids.join(owners, "root", "left").select("root", "least", F.when(F.col("owns"), F.col("least")).otherwise(fresh).alias("class_id"))
-    classes = named.join(ids, "root").select("key", "class_id", "root", F.col("least").alias("first"))
-    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "key", "root", "first")
+    classes = space.stored(named.join(space.stored(ids, "ids"), "root").select("key", "class_id", "root", F.col("least").alias("first")), "classes")
+    found = stored(signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "key", "root", "first"), "near-dup-classes")
+    weights.destroy()
+    space.clear()
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ablatrix.llm import ann, mixing, near_dup
+from ablatrix.llm import ann, common, mixing, near_dup
 
 from .helpers import DATA, TEXTS, no_documents, odd_documents
 
@@ -37,7 +37,7 @@ def near_texts(seed=3):
 
 def brute_classes(docs, idf):
     """Connected components of all pairs whose exact weighted Jaccard similarity reaches the threshold."""
-    sets = [dict(zip(u.tolist(), (n * idf[near_dup.slot_of(u)]).tolist())) for u, n in near_dup.shingle_sets(docs)]
+    sets = [dict(zip(u.tolist(), (n * idf(u)).tolist())) for u, n in near_dup.shingle_sets(docs)]
     root = list(range(len(docs)))
 
     def find(i):
@@ -59,21 +59,57 @@ def brute_classes(docs, idf):
     return [find(i) for i in range(len(docs))], close
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize("most", [1 << 19, 2000])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dup, "COMMON", most)
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    n, df = near_dup.document_frequencies(docs)
-    assert n == len(texts)
-    counted = np.zeros(1 << near_dup.SLOTS, np.uint64)
-    for u, _ in near_dup.shingle_sets(texts):
-        np.add.at(counted, near_dup.slot_of(u), np.uint64(1))
-    assert np.array_equal(df, counted)
-    want, close = brute_classes(texts, near_dup.idf_table(n, df))
+    counted = collections.Counter(x for u, _ in near_dup.shingle_sets(texts) for x in u.tolist())
+    least = max(1, math.ceil(sum(counted.values()) / most))
+    assert (least > 1) == (most == 2000)
+    idf = near_dup.inverse_document_frequencies(docs)
+    u = np.array(sorted(counted), np.uint64)
+    df = np.maximum([counted[x] for x in u.tolist()], least)
+    assert np.allclose(idf(u), 1 + np.log(len(texts) / df) / math.log(len(texts) / least), atol=1e-6)
+    assert len(idf.shingles) == sum(x >= least for x in counted.values()) <= most
+    want, close = brute_classes(texts, idf)
     got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert len(set(want)) < len(texts) - 20
 
 
+def test_pairs_by_differences_lose_none(spark, monkeypatch):
+    """A large group of edited copies without their origin: every similar pair of it that shares a band is found."""
+    monkeypatch.setattr(near_dup, "HUBS", 1)
+    rng = random.Random(11)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}x{i}" for i in range(120)]
+        for _ in range(120):
+            copy = list(base)
+            for _ in range(rng.randint(1, 4)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 2)] = [rng.choice(WORDS) for _ in range(rng.randint(0, 2))]
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want, _ = brute_classes(texts, near_dup.inverse_document_frequencies(docs))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_differences_from_a_hub():
+    weights = near_dup.Weights(np.zeros(1 << near_dup.SLOTS, bool), np.zeros(0, np.uint64), np.zeros(0, np.float32), 2.0)
+    rng = np.random.default_rng(3)
+    draw = lambda: np.unique(rng.integers(0, 40, 30).astype(np.uint64), return_counts=True)
+    for _ in range(50):
+        x, y, h = draw(), draw(), draw()
+        one, other = (dict(zip(k.tolist(), s.tolist())) for k, s, *_ in (near_dup.difference(z, h, weights) for z in (x, y)))
+        _, sizes, wx, wy = near_dup.difference(x, y, weights)
+        shared = sum(min(one[k], other[k]) for k in one.keys() & other.keys())
+        assert sizes.sum() == pytest.approx(sum(one.values()) + sum(other.values()) - 2 * shared)
+        assert near_dup.weighted_jaccard(x, y, weights) == pytest.approx((wx + wy - sizes.sum()) / (wx + wy + sizes.sum()))
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
@@ -117,7 +153,7 @@ def test_components_against_union_find(spark):
         if a != b:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in near_dup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.root for r in near_dup.components(spark.createDataFrame(edges, "a bigint, b bigint"), common.Workspace(spark, "t")).collect()}
     assert got == {i: find(i) for i in root}
 
 
