@@ -10,7 +10,7 @@ Two documents are linked if the weighted Jaccard similarity of their shingles is
 component of links.
 
 1. Frequencies: tasks sum documents by 2^`SLOTS` hash slots; shingles of slots that reach L are then counted one by one.
-2. Signatures: `BANDS` x `ROWS` consistent weighted samples, each from numbers of its own for every shingle. Equal texts are one
+2. Signatures: `BANDS` x `ROWS` consistent weighted samples, from draws that are each shingle's own. Equal texts are one
    node from here on.
 3. Candidates: nodes that share a band. Every member of a band is first compared with the band's hub, so that a huge group of
    copies costs one comparison a member. Components of these links come from hooking and pointer jumping.
@@ -54,7 +54,8 @@ SLOTS = 21
 COMMON = 1 << 19
 SHARES = 256
 CHUNK = 2 << 20
-BLOCK = 512
+BLOCK = 1024
+ROWS_OF_DRAWS = 1 << 12
 #: Room for rounding in bounds on weights.
 SLACK = 1 + 1e-6
 #: Rounds over what the first hubs leave: all but the last with one more hub a band, the last by differences.
@@ -234,50 +235,38 @@ def inverse_document_frequencies(docs: DataFrame) -> Weights:
 
 
 @functools.cache
-def _quantiles() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, 1 / r and ln c at 2^16 equal steps of the distribution Gamma(2, 1), 1 - (1 + x) exp(-x)."""
-    p, low, high = (np.arange(1 << 16) + 0.5) / (1 << 16), np.zeros(1 << 16), np.full(1 << 16, 64.0)
-    for _ in range(60):
-        mid = (low + high) / 2
-        less = 1 - (1 + mid) * np.exp(-mid) < p
-        low, high = np.where(less, mid, low), np.where(less, high, mid)
-    return tuple(x.astype(np.float32) for x in (low, 1 / low, np.log(low)))
+def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, beta and ln c of each sample, `ROWS_OF_DRAWS` of each."""
+    rng = np.random.Generator(np.random.PCG64(20240117))
+    shape = SAMPLES, ROWS_OF_DRAWS
+    draws = rng.gamma(2.0, 1.0, shape) + 1e-6, rng.random(shape), np.log(rng.gamma(2.0, 1.0, shape) + 1e-12)
+    return tuple(x.astype(np.float32) for x in draws)
 
 
 def sample(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The consistent weighted samples: a hash of (shingle, t) for each draw. Shingles are sorted, ties take the first.
 
-    Each shingle and sample has its own r and c (16 bits of a hash each) and beta (24 bits of another)."""
-    gamma, inverse, log_gamma = _quantiles()
-    columns = np.arange(SAMPLES)
-    seeds = mixed(columns.astype(np.uint64) * MULTIPLIERS[2] + MULTIPLIERS[3]).astype(np.uint32)
+    A shingle's r, beta and ln c are drawn by three parts of its hash, so that shingles that share all three are as rare as one in
+    ROWS_OF_DRAWS^3 and no long text runs out of draws."""
+    draws, columns = _draws(), np.arange(SAMPLES)
     best, who, when = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.float32)
-    logs, low, high = np.log(weights).astype(np.float32), shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    logs = np.log(weights).astype(np.float32)
+    rows = [((shingles >> np.uint64(k)) & np.uint64(ROWS_OF_DRAWS - 1)).astype(np.intp) for k in (0, 16, 32)]
     for s in range(0, len(shingles), BLOCK):
-        x = low[s : s + BLOCK, None] ^ seeds
-        x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(16)
-        y = (x ^ high[s : s + BLOCK, None]) * np.uint32(0x9E3779B1)
-        y ^= y >> np.uint32(15)
-        y *= np.uint32(0x85EBCA77)
-        beta = (y >> np.uint32(8)).astype(np.float32)
-        beta *= np.float32(2**-24)
-        at = x & np.uint32(0xFFFF)
-        t = inverse[at]
-        t *= logs[s : s + BLOCK, None]
+        part = slice(s, s + BLOCK)
+        r, beta, log_c = (x.take(at[part], axis=1, mode="wrap") for x, at in zip(draws, rows))
+        t = logs[part] / r
         t += beta
         np.floor(t, out=t)
         a = t - beta
         a += 1
-        a *= gamma[at]
-        np.subtract(log_gamma[x >> np.uint32(16)], a, out=a)
-        i = a.argmin(axis=0)
-        found = a[i, columns]
-        better = found < best
-        best = np.where(better, found, best)
-        who, when = np.where(better, shingles[s : s + BLOCK][i], who), np.where(better, t[i, columns], when)
+        a *= r
+        np.subtract(log_c, a, out=a)
+        i = a.argmin(axis=1)
+        low = a[columns, i]
+        better = low < best
+        best = np.where(better, low, best)
+        who, when = np.where(better, shingles[part][i], who), np.where(better, t[columns, i], when)
     return mixed(who * MULTIPLIERS[0] + when.astype(np.int64).astype(np.uint64))
 
 

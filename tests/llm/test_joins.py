@@ -110,13 +110,14 @@ def test_differences_from_a_hub():
         assert near_dup.weighted_jaccard(x, y, weights) == pytest.approx((wx + wy - sizes.sum()) / (wx + wy + sizes.sum()))
 
 
-def test_samples_estimate_weighted_jaccard():
+@pytest.mark.parametrize("size", [40, 600, 30_000])
+def test_samples_estimate_weighted_jaccard(size):
     rng = np.random.default_rng(1)
-    a = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    a = np.unique(rng.integers(0, 1 << 63, 7 * size).astype(np.uint64))
     hits, want = [], []
-    for _ in range(60):
+    for _ in range(60 if size > 40 else 300):
         pick = rng.permutation(len(a))
-        x, y = np.sort(a[pick[:600]]), np.sort(a[pick[150:750]])
+        x, y = np.sort(a[pick[:size]]), np.sort(a[pick[size // 4 : size // 4 + size]])
         w = {k: v for k, v in zip(a.tolist(), rng.gamma(2, 1, len(a)))}
         wx, wy = np.array([w[k] for k in x.tolist()]), np.array([w[k] * 1.3 for k in y.tolist()])
         shared = sum(min(w[k], w[k] * 1.3) for k in set(x.tolist()) & set(y.tolist()))
