@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_rows, stored, table
+from .common import cut, map_rows, stored, table, tidy
 
 BITS = 20
 SIZE = 1 << BITS
@@ -48,28 +48,29 @@ SPAN = round(2 * CLIP / DRIFT)
 #: Letters of a stem.
 STEM = 5
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+CHUNK = 4 << 20
+#: Rows that a task hands on at once.
+HAND_ON = 1 << 16
 KINDS = ("corpus", "toxic0", "clean0", "toxic1", "clean1")
 
 
-_BUCKETS: dict[str, int] = {}
-
-
-def _bucket(word: str) -> int:
+def _bucket(word: str, known: dict[str, int]) -> int:
     """Both buckets of a word in one number: its own, and that of its stem (its own again if it is short)."""
-    found = _BUCKETS.get(word)
+    found = known.get(word)
     if found is None:
-        if len(_BUCKETS) >= CACHE_WORDS:
-            _BUCKETS.clear()
+        if len(known) >= CACHE_WORDS:
+            known.clear()
         own = zlib.crc32(word.encode("utf-8", "replace")) & (SIZE - 1)
         stem = zlib.crc32((word[:STEM] + "*").encode("utf-8", "replace")) & (SIZE - 1) if len(word) > STEM else own
-        found = _BUCKETS[word] = stem << BITS | own
+        found = known[word] = stem << BITS | own
     return found
 
 
-def buckets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of the words and of their stems."""
-    both = np.array([_bucket(w) for w in WORD.findall((text or "").lower())], dtype=np.int64)
+def buckets(text: str | None, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words and of their stems. known: what is remembered from one text to the next, within a task."""
+    known = {} if known is None else known
+    both = np.array([_bucket(w, known) for w in WORD.findall((text or "").lower())], dtype=np.int64)
     return both & (SIZE - 1), both >> BITS
 
 
@@ -104,21 +105,25 @@ def _with_labels(docs: DataFrame, train: DataFrame, how: str) -> DataFrame:
 def count_buckets(docs: DataFrame, train: DataFrame) -> DataFrame:
     """bucket and a count per kind: summed within each task first, so a task hands on at most SIZE rows."""
 
+    known: dict[str, int] = {}  # each task gets an empty one
+
     def run(batches):
-        counts = np.zeros((len(KINDS), SIZE), np.int32)
+        counts = np.zeros((len(KINDS), SIZE), np.int32)  # of one task
         for batch in batches:
-            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
-                own, stem = buckets(text)
-                found, n = np.unique(np.concatenate([own, stem[stem != own]]), return_counts=True)
-                counts[0, found] += n
-                if toxic is not None:
-                    counts[1 + 2 * fold + (1 - toxic), found] += 1
+            for part in cut(batch, 0, CHUNK):
+                for text, toxic, fold in zip(*(c.to_pylist() for c in part.columns)):
+                    own, stem = buckets(text, known)
+                    found, n = np.unique(np.concatenate([own, stem[stem != own]]), return_counts=True)
+                    counts[0, found] += n
+                    if toxic is not None:
+                        counts[1 + 2 * fold + (1 - toxic), found] += 1
         some = np.nonzero(counts[0])[0]
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(c[some].astype(np.int64)) for c in counts]], names=["bucket", *KINDS])
+        for at in range(0, len(some), HAND_ON):
+            x = some[at : at + HAND_ON]
+            yield pa.RecordBatch.from_arrays([pa.array(x), *[pa.array(c[x].astype(np.int64)) for c in counts]], names=["bucket", *KINDS])
 
     rows = _with_labels(docs, train, "left").select("text", "toxic", "fold")
-    found = rows.mapInArrow(run, "bucket bigint, " + ", ".join(f"{k} bigint" for k in KINDS))
+    found = rows.mapInArrow(tidy(run), "bucket bigint, " + ", ".join(f"{k} bigint" for k in KINDS))
     return found.groupBy("bucket").agg(*[F.sum(k).alias(k) for k in KINDS])
 
 
@@ -179,9 +184,9 @@ class Model:
     log_k: float
     weights: tuple[float, ...]
 
-    def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
+    def judge(self, text: str | None, known: dict[str, int] | None = None) -> tuple[float, list[tuple[int, int, float, float]]]:
         """The score, and (start, end, score, ln E) of the significant segments, in tokens."""
-        b, w = buckets(text), self.weights
+        b, w = buckets(text, known), self.weights
         evidence, strong = [], []
         if n := len(b[0]):
             base = self.log_k + math.log(n)
@@ -222,17 +227,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     crossed = [log_odds(corpus, unseen, counts[3 - 2 * f], counts[4 - 2 * f]) for f in (0, 1)]  # fold f is scored by the other fold
     lams = [scale(s, corpus, unseen) for s in crossed]
     shipped = spark.sparkContext.broadcast((np.stack(crossed).astype(np.float32), lams))  # 8 MB
+    known: dict[str, int] = {}
 
     def run(columns):
         odds, lam = shipped.value
         out = []
         for text, toxic_, fold in zip(*columns):
-            b = buckets(text)
+            b = buckets(text, known)
             out.append((toxic_, len(b[0]), [lam[fold] * s for *_, s in segments(token_scores(odds[fold], b))]))
         return list(zip(*out)) if out else [[], [], []]
 
     rows = _with_labels(docs, sample, "inner").select("text", "toxic", "fold")
-    best = map_rows(rows, "toxic int, n int, found array<double>", run, size_column=0)
+    best = stored(map_rows(rows, "toxic int, n int, found array<double>", run, CHUNK, 0), "toxicity-segments")  # MAX_LABELS rows at most
+    shipped.destroy()
     top = F.array_max("found")
     fit = best.filter("n > 0").select("toxic", "n", F.coalesce(top, F.lit(0.0)).alias("top"), "found")
     clean_mean = fit.filter("toxic = 0 and top > 0").agg(F.avg(F.col("top") - F.log("n"))).first()[0]
@@ -254,30 +261,34 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, n_passages, passages array<struct<start, end, score, log_e>> (in tokens) for every row of docs."""
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
+    known: dict[str, int] = {}
+
     def run(columns):
         model, scores, found = shipped.value, [], []
         for text in columns[1]:
-            score, passages = model.judge(text)
+            score, passages = model.judge(text, known)
             scores.append(score)
             found.append([{"start": s, "end": e, "score": x, "log_e": y} for s, e, x, y in passages])
         return columns[0], scores, [len(x) for x in found], found
 
     schema = "doc_id bigint, score double, n_passages bigint, passages array<struct<start:int,end:int,score:double,log_e:double>>"
-    return map_rows(docs.select("doc_id", "text"), schema, run, size_column=1)
+    return map_rows(docs.select("doc_id", "text"), schema, run, CHUNK, 1)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns kept, whose text scores below the threshold."""
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
+    known: dict[str, int] = {}
+
     def run(batches):
         model = shipped.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = pa.array([model.judge(t)[0] < threshold for t in texts], pa.bool_())
-            yield batch.filter(keep)
+            at = batch.schema.get_field_index("text")
+            for part in cut(batch, at, CHUNK):
+                yield part.filter(pa.array([model.judge(t, known)[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
