@@ -5,7 +5,7 @@ looser ones (local phone numbers, spelled-out addresses, social security numbers
 candidate with 1, 0 (no opinion) or -1:
   shape      a stricter regex for the kind;
   gazetteer  lists of top-level domains, dialling codes, issuer numbers, reserved networks, given names;
-  context    cue words within `WINDOW` characters before the span;
+  context    cue words between the span and the one of its kind before it, at most `WINDOW` characters away;
   check      check digits and admissible numbers.
 Votes and two coarse features are counted over all documents; the table of counts has at most kinds x 3^4 x 12 rows whatever
 the corpus. Expectation-maximisation on it estimates each labeler's reliabilities per kind and the posterior of each vote
@@ -13,7 +13,7 @@ pattern, and those posteriors train the final span classifier, a naive Bayes ove
 before the span. Loose candidates with a probability of 1/2 or more join the base spans; those that overlap a base span don't.
 
 Positions are code points, ends exclusive. A span's position comes from the lengths of the pieces between matches, so texts are
-scanned whole, without a window. Patterns use possessive loops where nothing can be given back, which matches the same text
+scanned whole, without a window, in time linear in text and matches. Patterns use possessive loops where nothing can be given back, which matches the same text
 in linear time without recursion. Null texts count as empty; empty texts and empty tables give no spans; rows may repeat, each
 is scanned alone; only doc_id and text are read, so further columns can't clash.
 """
@@ -28,6 +28,8 @@ from .common import empty_text, stored, table
 
 WINDOW = 32
 ROUNDS = 12
+#: Values folded at once.
+FOLD = 64
 THRESHOLD = 0.5
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("local_phone", "spelled_email", "ssn", "name")
@@ -80,20 +82,44 @@ SHAPE = {
 LABELERS = ("shape", "gazetteer", "context", "check")
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before_each(values: Column, op, zero: Column) -> Column:
+    """For each of an array's values, op over all values before it (zero for the first). op is associative.
+
+    Arrays grow by copying, so values are folded in chunks of `FOLD`, then the chunks' results: about FOLD / 2 copies a value."""
+    grow = lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x)))
+
+    def chunked(v):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLD).cast("int")), lambda i: F.slice(v, i * FOLD + 1, F.lit(FOLD)))
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.array(zero), grow))
+
+        def joined(r):
+            starts = F.aggregate(r, F.array(zero), lambda acc, x: grow(acc, F.element_at(x, -1)))
+            return F.flatten(F.zip_with(r, F.slice(starts, F.lit(1), F.size(r)), lambda x, s: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda e: op(s, e))))
+
+        return _let(sums, joined)
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, chunked(v)).otherwise(F.slice(v, 1, 0)))
+
+
 def _found(text: Column, kind: str) -> Column:
-    """All matches as array<struct<start, end, match>>: starts are running sums over pieces between matches and matches."""
+    """All matches as array<struct<start, end, match, before>>: starts are running sums over pieces between matches and matches;
+    before is what stands before the match and after the last one, at most `WINDOW` characters of it."""
     pattern = PATTERNS[kind]
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int,match:string>>) as found)")
+    whole = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        more = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], more)).alias("found"))
+    def place(x, at):
+        start = at + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(WINDOW)).alias("before"))
 
-    spans = F.aggregate(pairs, empty, step, lambda acc: acc["found"])
-    return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)"))
+    places = lambda p: F.zip_with(p, _before_each(F.transform(p, whole), lambda a, b: a + b, F.lit(0)), place)
+    spans = F.filter(_let(pairs, places), lambda s: s["match"].isNotNull())
+    return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string,before:string>>)"))
 
 
 def _digits(match: Column) -> Column:
@@ -132,7 +158,7 @@ def _candidates(text: Column, kind: str) -> Column:
     """array<struct<start, kind, end, base, pattern>>; pattern: kind, votes, length class and what stands before."""
 
     def describe(s):
-        before = F.lower(F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW))))
+        before = F.lower(s["before"])
         votes = F.concat(*[F.element_at(F.array(*map(F.lit, "-0+")), v + 2) for v in _votes(kind, s["match"], before)])
         length = F.when(F.length(s["match"]) < 12, "a").when(F.length(s["match"]) < 16, "b").when(F.length(s["match"]) < 24, "c").otherwise("d")
         edge = F.when(before == "", "s").when(before.rlike(r"\s$"), "w").otherwise("x")
@@ -149,9 +175,20 @@ def candidates(docs: DataFrame, text: Column | None = None) -> DataFrame:
     text = empty_text() if text is None else text
     base = F.concat(*[_candidates(text, k) for k in BASE])
     loose = F.concat(*[_candidates(text, k) for k in LOOSE])
-    docs = docs.withColumns({"_pii_base": base, "_pii_loose": loose})
-    apart = F.filter("_pii_loose", lambda s: ~F.exists("_pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return docs.withColumn("pii_candidates", F.array_sort(F.concat("_pii_base", apart))).drop("_pii_base", "_pii_loose")
+    docs = docs.withColumns({"_pii_base": F.array_sort(base), "_pii_loose": loose})
+
+    def apart(every):
+        """every: all candidates by start. Loose ones stay if no base one before ends, and none after starts, within them."""
+        far = F.lit((1 << 31) - 1)
+        ends = _before_each(F.transform(every, lambda s: F.when(s["base"], s["end"]).otherwise(F.lit(0))), F.greatest, F.lit(0))
+        starts = F.reverse(_before_each(F.reverse(F.transform(every, lambda s: F.when(s["base"], s["start"]).otherwise(far))), F.least, far))
+        room = F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        free = lambda s, r: s["base"] | ((r["a"] <= s["start"]) & (r["b"] >= s["end"]))
+        marked = F.zip_with(every, room, lambda s, r: F.when(free(s, r), s))
+        return F.filter(marked, lambda s: s.isNotNull())
+
+    both = _let(F.array_sort(F.concat("_pii_base", "_pii_loose")), apart)
+    return docs.withColumn("pii_candidates", F.when(F.size("_pii_loose") == 0, F.col("_pii_base")).otherwise(both)).drop("_pii_base", "_pii_loose")
 
 
 def accepted_patterns(counts: list[tuple[str, int]]) -> dict[str, float]:
@@ -212,19 +249,25 @@ def detect_pii(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets; overlapping spans become one, named after the first."""
-    probabilities = pattern_probabilities(candidates(docs.select("text")))
+    found = stored(candidates(docs), "pii-docs")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.expr("struct(0 as at, cast(array() as array<string>) as parts)")
-
-    def step(acc, s):
-        parts = F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), parts.alias("parts"))).otherwise(
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))
-        )
-
-    whole = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    found = candidates(docs).withColumn("_pii", _kept(probabilities))
-    clean = F.when(F.size("_pii") > 0, F.aggregate("_pii", start, step, whole)).otherwise(F.col("text"))
+    text = F.col("text")
+
+    def cuts(spans):
+        """What goes: (from, to) is the text kept before it."""
+        reach = _before_each(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+        cut = F.zip_with(spans, reach, lambda s, r: F.when(s["start"] >= r, F.struct(r.alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))))
+        return F.filter(cut, lambda c: c.isNotNull())
+
+    def joined(piece, c):
+        return F.array_join(F.transform(c, lambda x: F.concat(piece(x["from"], x["to"] - x["from"]), F.element_at(names, x["kind"] + 1))), "")
+
+    few = lambda c: joined(lambda a, n: F.substring(text, a + 1, n), c)
+    many = lambda c: _let(F.split(text, ""), lambda chars: joined(lambda a, n: F.array_join(F.slice(chars, a + 1, n), ""), c))
+    head = _let(cuts(F.col("_pii")), lambda c: F.when(F.size(c) <= FOLD, few(c)).otherwise(many(c)))
+    tail = F.substring(text, F.array_max(F.transform("_pii", lambda s: s["end"])) + 1, F.length(text))
+    found = found.withColumn("_pii", _kept(pattern_probabilities(found)))
+    clean = F.when(F.size("_pii") > 0, F.concat(head, tail)).otherwise(text)
     return found.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
