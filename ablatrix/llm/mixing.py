@@ -10,7 +10,10 @@
    rest. The order of an epoch is that of md5(seed:epoch:doc_id); rows with equal ids stand or fall together.
 
 A leaf's prefix needs no sort of the leaf: tokens are summed by the first digits of the hash, the sums find the one range in
-which the rest runs out, and only that range is summed row by row. What comes out per leaf is a cut, the last hash that is in.
+which the rest runs out, ranges are made finer until the one of each leaf holds at most `RANGE_ROWS` different hashes, and only
+those are summed one by one. What comes out per leaf is a cut, the last hash that is in.
+
+A child of weight 0 gets nothing and has no capacity; its siblings share what it would have got. Negative weights are refused.
 
 Nulls: a null text has no tokens, a null lang or source is the empty one, a null doc_id hashes as `null`. Empty tables give no
 rows. Documents without tokens are taken if they stand in the prefix. Further columns are passed on untouched by `mix()`.
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import stored, table
 
 WORD = r"[^ \t\n\r]+"
+RANGE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -38,9 +42,15 @@ class MixPlan:
     domains: dict[str, int] = field(default_factory=lambda: {"d0": 4, "d1": 3, "d2": 2, "d3": 1})
     langs: dict[str, int] = field(default_factory=lambda: {"en": 5, "de": 2, "fr": 2, "es": 1})
     sources: dict[str, int] = field(default_factory=dict)
-    #: Hex digits of the hash by which a leaf is summed; a leaf's ranges number 16 to this power. Results don't depend on it.
+    #: Domains of sources; others get one by `domain_of`.
+    source_domains: dict[str, str] = field(default_factory=dict)
+    #: Hex digits of the hash by which a leaf is summed first; its ranges number 16 to this power. Results don't depend on it.
     digits: int = 2
 
+    def __post_init__(self):
+        if any(w < 0 for weights in (self.domains, self.langs, self.sources) for w in weights.values()):
+            raise ValueError("a weight is negative")
+
 
 PRODUCTION = MixPlan()
 
@@ -50,6 +60,13 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("d"), F.pmod(F.conv(F.substring(F.md5(source), 1, 1), 16, 10).cast("int"), F.lit(4)).cast("string"))
 
 
+def _domain(source: Column, plan: MixPlan) -> Column:
+    out = domain_of(source)
+    for k, v in plan.source_domains.items():
+        out = F.when(source == k, F.lit(v)).otherwise(out)
+    return out
+
+
 def _weight(column: str, weights: dict[str, int]) -> Column:
     out = F.lit(1)
     for k, v in weights.items():
@@ -61,11 +78,11 @@ def _key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
+def _tagged(docs: DataFrame, plan: MixPlan) -> DataFrame:
     source = F.coalesce(F.col("source"), F.lit(""))
     return docs.select(
         "doc_id",
-        domain_of(source).alias("domain"),
+        _domain(source, plan).alias("domain"),
         F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
         source.alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"),
@@ -74,7 +91,8 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 def _fill(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     """Adds `share` to rows of (parent keys, child, weight, cap, budget): the parent's budget, water-filled."""
-    w = Window.partitionBy(*parent)
+    # weight 0 comes with capacity 0: such a child is full at once and leaves the rest to the others
+    children, w = children.withColumn("weight", F.greatest("weight", F.lit(1))), Window.partitionBy(*parent)
     before = w.orderBy(F.col("cap") / F.col("weight"), child).rowsBetween(Window.unboundedPreceding, -1)
     x = children.withColumns(
         {
@@ -91,10 +109,13 @@ def _fill(children: DataFrame, parent: list[str], child: str) -> DataFrame:
 
 def leaf_budgets(tagged: DataFrame, plan: MixPlan) -> DataFrame:
     """domain, lang, source, tokens, share: one row per leaf."""
+    able = lambda cap, column, weights: F.when(_weight(column, weights) > 0, cap).otherwise(F.lit(0).cast("bigint"))
     leaves = tagged.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("tokens"))
-    leaves = leaves.withColumn("cap", F.col("tokens") * plan.max_epochs)
+    leaves = leaves.withColumn("cap", able(F.col("tokens") * plan.max_epochs, "source", plan.sources))
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    langs = langs.withColumn("cap", able(F.col("cap"), "lang", plan.langs))
     tops = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    tops = tops.withColumn("cap", able(F.col("cap"), "domain", plan.domains))
     want = F.lit(plan.budget).cast("bigint") if plan.budget is not None else F.expr(f"(sum(tokens) over (partition by 1) * {plan.share}) div 1000")
     tops = tops.withColumns({"weight": _weight("domain", plan.domains), "budget": want, "root": F.lit(1)})
     tops = _fill(tops, ["root"], "domain").select("domain", F.col("share").alias("budget"))
@@ -104,18 +125,32 @@ def leaf_budgets(tagged: DataFrame, plan: MixPlan) -> DataFrame:
     return _fill(leaves, ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "share")
 
 
+def _edge(keyed: DataFrame, edge: DataFrame, leaf: list[str], digits: int) -> DataFrame:
+    """For each leaf whose rest runs out in its range of edge: the range of so many digits in which it does, the tokens before it,
+    and about how many hashes it holds."""
+    known = edge.select(*leaf, F.col("range").alias("outer"), F.col("before").alias("start"))
+    inside = keyed.join(known, leaf).filter(F.col("key").startswith(F.col("outer")))
+    ranges = inside.groupBy(*leaf, F.substring("key", 1, digits).alias("range")).agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"), F.first("start").alias("start"), F.approx_count_distinct("key").alias("hashes"))
+    before = F.col("start") + F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("range")) - F.col("tokens")
+    full = ranges.withColumn("before", before).filter(F.col("before") + F.col("tokens") > F.col("rest"))
+    return full.groupBy(*leaf).agg(F.min(F.struct("range", "before", "hashes")).alias("edge")).select(*leaf, "edge.*")
+
+
 def leaf_cuts(tagged: DataFrame, plan: MixPlan) -> DataFrame:
     """domain, lang, source, epochs (whole ones), cut: the last hash of the next epoch that is taken."""
     leaf = ["domain", "lang", "source"]
     shares = leaf_budgets(tagged, plan).withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.lit(0).cast("bigint")))
     shares = stored(shares.withColumn("rest", F.col("share") - F.col("epochs") * F.col("tokens")).drop("share", "tokens"), "mix-leaves")
     keyed = tagged.join(shares, leaf).withColumn("key", _key(plan.seed, F.col("epochs"), F.col("doc_id")))
-    ranges = keyed.groupBy(*leaf, F.substring("key", 1, plan.digits).alias("range")).agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"))
-    up_to = F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("range"))
-    edge = ranges.withColumn("before", up_to - F.col("tokens")).filter(F.col("before") + F.col("tokens") > F.col("rest"))
-    edge = edge.groupBy(*leaf).agg(F.min(F.struct("range", "before")).alias("edge")).select(*leaf, "edge.range", "edge.before")
-    inside = keyed.join(edge, leaf).filter(F.substring("key", 1, plan.digits) == F.col("range"))
-    sums = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*leaf).orderBy("key"))
+    digits, edge = plan.digits, shares.select(*leaf, F.lit("").alias("range"), F.lit(0).cast("bigint").alias("before"))
+    while True:
+        edge = stored(_edge(keyed, edge, leaf, digits), "mix-edges")
+        if digits >= 32 or (edge.agg(F.max("hashes")).first()[0] or 0) <= RANGE_ROWS:
+            break
+        digits += 2
+    inside = keyed.join(edge, leaf).filter(F.col("key").startswith(F.col("range")))
+    inside = inside.groupBy(*leaf, "key").agg(F.sum("n_tokens").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"), F.first("range").alias("range"))
+    sums = F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("key"))
     cuts = inside.withColumn("sums", sums).groupBy(*leaf).agg(F.max(F.when(F.col("sums") <= F.col("rest"), F.col("key"))).alias("last"), F.first("range").alias("range"))
     # without an edge everything fits: `g` sorts behind all hashes; the bare range sorts before all hashes in it
     cut = F.when(F.col("range").isNull(), F.lit("g")).otherwise(F.coalesce("last", "range"))
@@ -124,7 +159,7 @@ def leaf_cuts(tagged: DataFrame, plan: MixPlan) -> DataFrame:
 
 def copies(docs: DataFrame, plan: MixPlan = PRODUCTION) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, copies (how many epochs take the row; 0: left out), a row for each row."""
-    tagged = stored(_tagged(docs), "mix-docs")
+    tagged = stored(_tagged(docs, plan), "mix-docs")
     cuts = stored(leaf_cuts(tagged, plan), "mix-cuts")
     more = (_key(plan.seed, F.col("epochs"), F.col("doc_id")) <= F.col("cut")).cast("bigint")
     return tagged.join(cuts, ["domain", "lang", "source"]).select("doc_id", "domain", "lang", "source", "n_tokens", (F.col("epochs") + more).alias("copies"))
@@ -132,10 +167,10 @@ def copies(docs: DataFrame, plan: MixPlan = PRODUCTION) -> DataFrame:
 
 def mix(docs: DataFrame, plan: MixPlan = PRODUCTION) -> DataFrame:
     """The rows of docs with all their columns, each as often as the mixture takes it."""
-    tagged = stored(_tagged(docs), "mix-docs")
+    tagged = stored(_tagged(docs, plan), "mix-docs")
     cuts = stored(leaf_cuts(tagged, plan), "mix-cuts").select(*[F.col(c).alias(f"_mix_{c}") for c in ("domain", "lang", "source", "epochs", "cut")])
     source, lang = F.coalesce(docs["source"], F.lit("")), F.coalesce(docs["lang"], F.lit(""))
-    taken = docs.join(cuts, (source == F.col("_mix_source")) & (lang == F.col("_mix_lang")) & (domain_of(source) == F.col("_mix_domain")))
+    taken = docs.join(cuts, (source == F.col("_mix_source")) & (lang == F.col("_mix_lang")) & (_domain(source, plan) == F.col("_mix_domain")))
     n = F.col("_mix_epochs") + (_key(plan.seed, F.col("_mix_epochs"), docs["doc_id"]) <= F.col("_mix_cut")).cast("bigint")
     out = taken.filter(n > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), n)))
     return out.select(*[docs[c] for c in docs.columns])
@@ -146,7 +181,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_weight(column: str, weights: dict[str, int]) -> str:
-    return f"CASE {' '.join(f"WHEN {column} = '{k}' THEN {v}" for k, v in weights.items())} ELSE 1 END" if weights else "1"
+    return f"CASE {' '.join(f"WHEN {column} = '{k}' THEN {v or 1}" for k, v in weights.items())} ELSE 1 END" if weights else "1"
+
+
+def _sql_cap(cap: str, column: str, weights: dict[str, int]) -> str:
+    none = [f"'{k}'" for k, v in weights.items() if not v]
+    return f"CASE WHEN {column} IN ({', '.join(none)}) THEN 0 ELSE {cap} END" if none else cap
 
 
 def _sql_fill(name: str, source: str, parent: str, child: str, out: str) -> str:
@@ -162,12 +202,16 @@ def _sql_fill(name: str, source: str, parent: str, child: str, out: str) -> str:
 
 def oracle(plan: MixPlan = PRODUCTION) -> str:
     want = str(plan.budget) if plan.budget is not None else f"(SELECT SUM(tokens) * {plan.share} // 1000 FROM leaf)"
-    return f"""WITH d AS (SELECT doc_id, 'd' || (('0x' || substr(md5(COALESCE(source, '')), 1, 1))::INT % 4) AS domain, COALESCE(lang, '') AS lang,
+    domain = "'d' || (('0x' || substr(md5(COALESCE(source, '')), 1, 1))::INT % 4)"
+    for k, v in plan.source_domains.items():
+        domain = f"CASE WHEN COALESCE(source, '') = '{k}' THEN '{v}' ELSE {domain} END"
+    return f"""WITH d AS (SELECT doc_id, {domain} AS domain, COALESCE(lang, '') AS lang,
   COALESCE(source, '') AS source, len(regexp_extract_all(COALESCE(text, ''), '[^ \\t\\n\\r]+'))::BIGINT AS n_tokens FROM documents),
-leaf AS (SELECT domain, lang, source, SUM(n_tokens)::BIGINT AS tokens, (SUM(n_tokens) * {plan.max_epochs})::BIGINT AS cap FROM d GROUP BY ALL),
-top AS (SELECT 1 AS root, domain, {_sql_weight('domain', plan.domains)} AS weight, SUM(cap)::BIGINT AS cap, {want}::BIGINT AS budget FROM leaf GROUP BY domain),
+leaf AS (SELECT domain, lang, source, SUM(n_tokens)::BIGINT AS tokens, {_sql_cap(f'(SUM(n_tokens) * {plan.max_epochs})::BIGINT', 'source', plan.sources)} AS cap FROM d GROUP BY domain, lang, source),
+lang AS (SELECT domain, lang, {_sql_cap('SUM(cap)::BIGINT', 'lang', plan.langs)} AS cap FROM leaf GROUP BY domain, lang),
+top AS (SELECT 1 AS root, domain, {_sql_weight('domain', plan.domains)} AS weight, {_sql_cap('SUM(cap)::BIGINT', 'domain', plan.domains)} AS cap, {want}::BIGINT AS budget FROM lang GROUP BY domain),
 {_sql_fill('tf', 'SELECT * FROM top', 'root', 'domain', 'share')},
-{_sql_fill('lf', f"SELECT l.domain, l.lang, {_sql_weight('l.lang', plan.langs)} AS weight, l.cap, tf.share AS budget FROM (SELECT domain, lang, SUM(cap)::BIGINT AS cap FROM leaf GROUP BY ALL) l JOIN tf ON l.domain = tf.domain", 'domain', 'lang', 'share')},
+{_sql_fill('lf', f"SELECT l.domain, l.lang, {_sql_weight('l.lang', plan.langs)} AS weight, l.cap, tf.share AS budget FROM lang l JOIN tf ON l.domain = tf.domain", 'domain', 'lang', 'share')},
 {_sql_fill('sf', f"SELECT s.domain, s.lang, s.source, s.tokens, {_sql_weight('s.source', plan.sources)} AS weight, s.cap, lf.share AS budget FROM leaf s JOIN lf ON s.domain = lf.domain AND s.lang = lf.lang", 'domain, lang', 'source', 'share')},
 e AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs,
   share - CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END * tokens AS rest FROM sf),
