@@ -5,7 +5,7 @@ The payload of a text is its UTF-8 bytes (null: empty) with spaces appended up t
 as the samples of a mono 8-bit WAV by the wave module and read back from those bytes before anything is computed, so all
 results are functions of the stored media. Frames of 192 samples every 96 get a Hann window and a real FFT; magnitudes are
 rounded to steps of 1/16 on a log scale before peaks are compared, and a peak is the greatest of its neighbourhood (ties: all).
-Each peak pairs with the next `FAN` peaks within `REACH` frames. Long media are transformed in blocks of `BLOCK` frames with
+Each peak pairs with the next `FAN` peaks of later frames, at most `REACH` frames and `BAND` bins away. Long media are transformed in blocks of `BLOCK` frames with
 an overlap, so memory beyond the payload and its peaks is bounded. Equal texts give equal values; rows may repeat.
 """
 
@@ -83,21 +83,27 @@ def peaks(samples: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
 def fingerprint(samples: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
     """Frames, peaks, and the pairs as two arrays: start frames (int32) and codes of both bins and the delay (int32)."""
     n, t, f = peaks(samples)
-    times, codes = [], []
-    for k in range(1, FAN + 1):
-        dt, df = t[k:] - t[:-k], np.abs(f[k:] - f[:-k])
+    times, codes, taken, open_ = [t[:0]], [t[:0]], np.zeros(len(t), int), np.arange(len(t))
+    for k in range(1, len(t)):
+        i = open_[open_ + k < len(t)]
+        dt, df = t[i + k] - t[i], np.abs(f[i + k] - f[i])
         ok = (dt >= 1) & (dt <= REACH) & (df <= BAND)
-        times.append(t[:-k][ok])
-        codes.append((f[:-k][ok] << 16) | (f[k:][ok] << 8) | dt[ok])
+        a = i[ok]
+        times.append(t[a])
+        codes.append((f[a] << 16) | (f[a + k] << 8) | dt[ok])
+        taken[a] += 1
+        open_ = i[(dt <= REACH) & (taken[i] < FAN)]
+        if not len(open_):
+            break
     at, code = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((code, at))
     return n, len(t), at[order].astype(np.int32), code[order].astype(np.int32)
 
 
 def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """The columns of op1_media; with keep_media also media binary, fp_times and fp_codes (the time-coded arrays)."""
-    fields = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_pairs bigint"
-    fields += ", media binary, fp_times array<int>, fp_codes array<int>" * keep_media
+    """The columns of op1_media; fp_times and fp_codes are the time-coded arrays. With keep_media also media binary, the WAV."""
+    fields = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_pairs bigint, fp_times array<int>, fp_codes array<int>"
+    fields += ", media binary" * keep_media
 
     def run(columns):
         rows = []
@@ -106,8 +112,8 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
             payload = from_wav(media)
             n, n_peaks, at, code = fingerprint(np.frombuffer(payload, np.uint8))
             digest = hashlib.sha256(at.tobytes() + code.tobytes()).hexdigest()
-            row = (doc_id, len((text or "").encode("utf-8", "replace")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{n}:{n_peaks}:{len(at)}:{digest[:32]}", len(at))
-            rows.append((*row, media, at, code) if keep_media else row)
+            row = (doc_id, len((text or "").encode("utf-8", "replace")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{n}:{n_peaks}:{len(at)}:{digest[:32]}", len(at), at, code)
+            rows.append((*row, media) if keep_media else row)
         return list(zip(*rows)) if rows else [[] for _ in fields.split(", ")]
 
     return map_rows(docs.select("doc_id", "text"), fields, run, size_column=1)
