@@ -157,18 +157,21 @@ def _spec(spark: SparkSession, vocabulary: str | None):
         return spark.sparkContext.broadcast(f.read())  # a vocabulary file: 1.7 MB, not a function of the data
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens long, ids array<int> of every whole text; nulls are empty texts."""
+def encode(docs: DataFrame, vocabulary: str | None = None, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens long, ids array<int> of every whole text; nulls are empty texts. decoded: with decoded_sha256, of the text
+    that the ids decode to."""
     spec = _spec(docs.sparkSession, vocabulary)
 
     def run(columns):
-        bpe, ids = _loaded(spec.value), []
+        bpe, ids, texts = _loaded(spec.value), [], []
         for text in columns[1]:
             joined = " ".join([x[1] for x in bpe.pieces(text or "")])
             ids.append(np.array(joined.split(), np.int32))
-        return columns[0], [len(x) for x in ids], ids
+            if decoded:
+                texts.append(hashlib.sha256(bpe.decode(ids[-1].tolist()).encode()).hexdigest())
+        return (columns[0], [len(x) for x in ids], ids, texts)[: 3 + decoded]
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id bigint, n_tokens bigint, ids array<int>", run, size_column=1)
+    return map_rows(docs.select("doc_id", "text"), "doc_id bigint, n_tokens bigint, ids array<int>" + ", decoded_sha256 string" * decoded, run, size_column=1)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -193,7 +196,7 @@ def encode_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             joined = " ".join([x[1] for x in found])
             counts.append(sum([x[0] for x in found]))
             ids.append(hashlib.sha256(joined.encode()).hexdigest())
-            texts.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
+            texts.append(hashlib.sha256(bpe.decode(map(int, joined.split())).encode()).hexdigest())
         return columns[0], counts, ids, texts
 
     return map_rows(docs.select("doc_id", "text"), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", run, size_column=1)

@@ -1,5 +1,10 @@
 """The corpus pipeline: toxic documents go, one document of each near-duplicate class stays, personal data is replaced, sources are
-mixed to target weights, and what is left is encoded. Each stage's result is written as Parquet and read again for the next."""
+mixed to target weights, and what is left is encoded. Each stage's result is written as Parquet and read again for the next.
+
+Null texts count as empty and stay null; null ids are rows like others. Of rows with equal text, or near copies, one stays: that of
+the smallest id, of rows with that id one. A document that the mixture takes twice comes out twice. Empty tables give no rows. All
+columns of documents pass every stage but the last untouched, whatever their names; of them only doc_id, text, lang, source and
+n_chars are read."""
 
 from __future__ import annotations
 
@@ -33,9 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of op7's encoding."""
+    """doc_id, n_tokens, ids of op7's encoding, and decoded_sha256, the digest of what the ids decode to."""
     importable(spark)
-    return bpe.encode(docs)
+    return bpe.encode(docs, decoded=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dup", drop_near_duplicates), ("pii", replace_personal_data), ("mixing", mix_sources), ("bpe", encode)]

@@ -270,12 +270,13 @@ def duck(documents, sql):
     return con.execute(sql).fetchall()
 
 
-@pytest.mark.parametrize("plan", [mixing.PRODUCTION, mixing.MixPlan(seed=3, budget=500, max_epochs=1), mixing.MixPlan(share=5000, max_epochs=3, sources={"s1": 5}), mixing.MixPlan(budget=0), mixing.MixPlan(share=900, digits=1)])
-def test_mixing_against_sql(spark, plan):
+@pytest.mark.parametrize("plan", [mixing.PRODUCTION, mixing.MixPlan(seed=3, budget=500, max_epochs=1), mixing.MixPlan(share=5000, max_epochs=3, sources={"s1": 5}), mixing.MixPlan(budget=0), mixing.MixPlan(share=900, digits=1), mixing.MixPlan(budget=900, sources={"s0": 0}, langs={"de": 0, "en": 2}, domains={"d1": 0}), mixing.MixPlan(share=500, source_domains={"s0": "d3", "s9": "web"}), mixing.MixPlan(sources={x: 0 for x in ("s0", "s1", "s2", "s9", "")})])
+def test_mixing_against_sql(spark, monkeypatch, plan):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 10, 200])), rng.choice(["en", "de", None, "xx"]), rng.choice(["s0", "s0", "s0", "s1", "s2", None, "s9"])) for i in range(700)]
     rows += [rows[3], rows[3], (None, "a b", "en", "s0"), (None, None, "en", "s0")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)  # ranges are made as fine as they get
     got = mixing.copies(docs, plan).select("copies", "doc_id", "domain", "lang", "n_tokens", "source").collect()
     want = duck(docs, f"SELECT copies, doc_id, domain, lang, n_tokens, source FROM ({mixing.oracle(plan)})")
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
@@ -286,13 +287,15 @@ def test_shortages_go_to_siblings_first(spark):
     """Source s1 is short: its siblings in the language take what is missing, other languages keep their shares."""
     rows = [(i, "w " * 10, lang, source) for i, (lang, source) in enumerate([("en", "s1")] * 2 + [("en", "s5")] * 50 + [("de", "s5")] * 50)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    tagged = mixing._tagged(docs).withColumn("domain", F.lit("d"))
     plan = mixing.MixPlan(budget=400, max_epochs=1, domains={}, langs={})
+    tagged = mixing._tagged(docs, plan).withColumn("domain", F.lit("d"))
     got = {(r.lang, r.source): r.share for r in mixing.leaf_budgets(tagged, plan).collect()}
     assert got == {("en", "s1"): 20, ("en", "s5"): 180, ("de", "s5"): 200}
 
 
 def test_mixing_odd_rows(spark):
+    with pytest.raises(ValueError):
+        mixing.MixPlan(langs={"en": -1})
     assert mixing.copies(odd_documents(spark)).count() == len(TEXTS) + 4
     assert mixing.mix(odd_documents(spark)).columns == odd_documents(spark).columns
     assert mixing.copies(no_documents(spark)).count() == 0 and mixing.mix(no_documents(spark)).count() == 0

@@ -207,6 +207,7 @@ def test_pipeline_stages(spark):
     texts = {r.doc_id: r.text for r in out["mixing"].collect()}
     for r in out["bpe"].collect():
         assert r.ids == b.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(b.decode(r.ids).encode()).hexdigest()
 
 
 def test_pipeline_odd_rows(spark):
