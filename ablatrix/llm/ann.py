@@ -12,10 +12,12 @@ Nodes are distinct vectors; each keeps the `COPIES` smallest ids that have it, w
    reverse edges, and keeps the beam nearest nodes. All queries take a step in the same joins, until no beam holds a node that
    has not been expanded.
 4. The nearest `RERANK` nodes of each query are measured again on the original vectors in double precision.
-Building and search use half precision. Lists, what is sent and the beam grow with the number of nodes (see `Effort`).
+Vectors are kept as they come, in single or double precision, and all distances are computed in double precision from differences
+or around a block's own mean, so a common offset costs nothing. Lists, what is sent and the beam grow with the number of nodes
+(see `Effort`).
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than the most
-common one (ties: the shorter). Queries are rows with ids divisible by `EVERY`; candidates are the rows with another id. A query
+Vectors that are null, zero, or hold null or non-finite components take no part. A distance needs vectors of one length, so the
+vectors of each length are a graph of their own, built in the same joins, and a query finds vectors of its length. Queries are rows with ids divisible by `EVERY`; candidates are the rows with another id. A query
 with fewer than TOP candidates gets all it finds. Null ids take no part. Repeated rows (same id and vector) count once. Extra
 columns are ignored. Only vec_id and embedding are read.
 """
@@ -30,11 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import stored, table
+from .common import Workspace, stored, table
 
 EVERY, TOP, COPIES = 100, 10, 11
 K = 24
 BLOCK, STARTS = 2048, 8
+#: Rows of a block that are compared with it at once.
+PART = 256
 SEND, REVERSE, TELL = 12, 14, 6
 DEGREE = 40
 BEAM, EXPAND = 192, 56
@@ -43,7 +47,7 @@ RERANK = 48
 SETTLED = 0.001
 #: The nodes up to which the figures above hold, and the powers of the excess by which lists and the beam grow beyond.
 BASE, LISTS, WIDTH = 51_282, 0.25, 0.5
-GRAPH = "node bigint, nbrs array<bigint>, dists array<float>, fresh array<boolean>, send array<bigint>, send_new array<boolean>"
+GRAPH = "node bigint, nbrs array<bigint>, dists array<double>, fresh array<boolean>, send array<bigint>, send_new array<boolean>"
 
 
 @dataclass(frozen=True)
@@ -64,8 +68,13 @@ class Effort:
     expand = property(lambda self: self._grown(EXPAND, WIDTH))
 
 
-def _halves(data: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(data), np.float16).reshape(len(data), -1).astype(np.float32)
+def _kind(nodes: DataFrame) -> str:
+    """The type of the components in `data`: that of the vectors."""
+    return "f4" if nodes.schema["vector"].dataType.simpleString() == "array<float>" else "f8"
+
+
+def _vectors(data: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,70 +87,92 @@ def _between(x: np.ndarray) -> np.ndarray:
     return np.stack([np.einsum("ij,ij->i", d, d) for d in (x - row for row in x)])
 
 
-def nodes_of(vectors: DataFrame) -> DataFrame:
-    """node, ids (the COPIES smallest), half (float16 bytes), vector (as given), of all vectors that take part."""
+def nodes_of(vectors: DataFrame, space: Workspace) -> DataFrame:
+    """node, ids (the COPIES smallest), data (the vector's bytes), size (its length), vector (as given), of all that take part."""
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad & F.exists(x, lambda v: v != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n")
-    rows = rows.join(F.broadcast(sizes), F.size("embedding") == F.col("n"), "left_semi")  # one row
     # equal vectors: the smallest ids, chosen within each task before anything moves
     order = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
     few = rows.distinct().withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= COPIES)
     found = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
-    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.asarray(v.as_py(), kind).tobytes() for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array([len(v) for v in batch.column(2)], pa.int32()), batch.column(2)], names=["node", "ids", "data", "size", "vector"])
+
+    numbered = found.select(F.monotonically_increasing_id().alias("node"), "ids", F.col("embedding").alias("vector"))
+    kind, type_ = _kind(numbered), vectors.schema["embedding"].dataType.simpleString()
+    return space.stored(numbered.mapInArrow(store, f"node bigint, ids array<bigint>, data binary, size int, vector {type_}"), "nodes")
+
+
+def _means(nodes: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """For each length of vectors, how many there are and their mean: one row per length comes to the driver."""
+    kind = _kind(nodes)
+
+    def add(batches: Iterator[pa.RecordBatch], read) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
         for batch in batches:
-            n = batch.num_rows
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            scale = np.maximum(1, np.abs(flat).max(axis=1, keepdims=True) / 6e4) if n else 1  # within half precision's range
-            half = (flat / scale).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.tobytes() for h in half], pa.binary()), batch.column(2)], names=["node", "ids", "half", "vector"])
+            for size, n, x in read(batch):
+                old = sums.setdefault(size, [0, 0.0])
+                old[0], old[1] = old[0] + n, old[1] + x
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([x.tobytes() for _, x in sums.values()], pa.binary())], names=["size", "n", "sum"])
+
+    own = lambda batch: ((size, 1, np.frombuffer(x, kind).astype(np.float64)) for size, x in zip(*(c.to_pylist() for c in batch.columns)))
+    told = lambda batch: ((size, n, np.frombuffer(x, np.float64)) for size, n, x in zip(*(c.to_pylist() for c in batch.columns)))
+    schema = "size int, n bigint, sum binary"
+    parts = nodes.select("size", "data").mapInArrow(lambda b: add(b, own), schema)
+    rows = parts.repartition("size").mapInArrow(lambda b: add(b, told), schema).collect()
+    return {r["size"]: (r["n"], np.frombuffer(bytes(r["sum"]), np.float64) / r["n"]) for r in rows}
 
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    numbered = found.select(F.monotonically_increasing_id().alias("node"), "ids", "embedding")
-    return stored(numbered.mapInArrow(halve, f"node bigint, ids array<bigint>, half binary, vector {kind}"), "ann-nodes")
 
+def _codes(nodes: DataFrame, means: dict[int, tuple[int, np.ndarray]], seed: int) -> DataFrame:
+    """code: the length, and the signs of so many projections of the centred vector that a code has about BLOCK vectors."""
+    kind = _kind(nodes)
 
-def _codes(nodes: DataFrame, bits: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = _halves(batch.column(1).to_pylist())
-                planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((x.shape[1], bits)).astype(np.float32)
-                code = ((x @ planes > 0) << np.arange(bits)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code, pa.int64())], names=["node", "half", "code"])
+            sizes, code = batch.column(2).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for size in np.unique(sizes).tolist():
+                at, (n, mean) = np.flatnonzero(sizes == size), means[size]
+                bits = max(1, math.ceil(math.log2(n / BLOCK))) if n > BLOCK else 0
+                planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((size, bits))
+                x = _vectors(batch.column(1).take(pa.array(at)).to_pylist(), kind) - mean
+                code[at] = ((x @ planes > 0) << np.arange(bits)).sum(axis=1) + (size << 40)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code, pa.int64())], names=["node", "data", "code"])
 
-    return nodes.select("node", "half").mapInArrow(run, "node bigint, half binary, code bigint")
+    return nodes.select("node", "data", "size").mapInArrow(run, "node bigint, data binary, code bigint")
 
 
 def _rows(columns: list, schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
 
 
-IDS, FLOATS, FLAGS = pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_())
+IDS, FLOATS, FLAGS = pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_())
 
 
-def _blocks(nodes: DataFrame, size: Effort, seed: int) -> DataFrame:
+def _blocks(nodes: DataFrame, size: Effort, means: dict[int, tuple[int, np.ndarray]], seed: int) -> DataFrame:
     """node, cands, dists: the nearest of the block."""
-    n, most = size.n, size.k
-    bits = max(0, math.ceil(math.log2(max(1, n / BLOCK))))
-    coded = _codes(nodes, max(1, bits), seed)
+    most, kind = size.k, _kind(nodes)
+    coded = _codes(nodes, means, seed)
     sizes = coded.groupBy("code").count()
     dealt = coded.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("count") / (2 * BLOCK))))
-    groups = dealt.groupBy("code", "part").agg(F.collect_list("node").alias("ids"), F.collect_list("half").alias("halves"))  # 2 BLOCK or so
+    groups = dealt.groupBy("code", "part").agg(F.collect_list("node").alias("ids"), F.collect_list("data").alias("data"))  # 2 BLOCK or so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, halves in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, ids = _halves(halves), np.asarray(ids)
-                d = _distances(x, x)
-                np.fill_diagonal(d, np.inf)
+            for ids, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, ids = _vectors(data, kind), np.asarray(ids)
+                x -= x.mean(axis=0)
                 k = min(most, len(ids) - 1)
-                best = np.argpartition(d, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), int)
-                yield _rows([ids, list(ids[best]), list(np.take_along_axis(d, best, 1).astype(np.float32))], [("node", pa.int64()), ("cands", IDS), ("dists", FLOATS)])
+                for at in range(0, len(ids), PART):
+                    d = _distances(x[at : at + PART], x)
+                    d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
+                    best = np.argpartition(d, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(d), 0), int)
+                    yield _rows([ids[at : at + PART], list(ids[best]), list(np.take_along_axis(d, best, 1))], [("node", pa.int64()), ("cands", IDS), ("dists", FLOATS)])
 
-    return groups.select("ids", "halves").mapInArrow(run, "node bigint, cands array<bigint>, dists array<float>")
+    return groups.select("ids", "data").mapInArrow(run, "node bigint, cands array<bigint>, dists array<double>")
 
 
 def _merge(rows: DataFrame, size: Effort, seed: int) -> DataFrame:
@@ -154,7 +185,7 @@ def _merge(rows: DataFrame, size: Effort, seed: int) -> DataFrame:
             out = [[] for _ in schema]
             for node, nbrs, dists, fresh, cands, cand_dists in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.array([*(nbrs or ()), *(cands or ())], np.int64)
-                d = np.array([*(dists or ()), *(cand_dists or ())], np.float32)
+                d = np.array([*(dists or ()), *(cand_dists or ())])
                 new = np.array([*(fresh or ()), *[True] * len(cands or ())], bool)
                 _, first = np.unique(ids, return_index=True)  # what it has comes first
                 first = first[ids[first] != node]
@@ -176,21 +207,21 @@ def _merge(rows: DataFrame, size: Effort, seed: int) -> DataFrame:
 
 def _meet(graph: DataFrame, nodes: DataFrame, size: Effort, turn: int) -> DataFrame:
     """node, cands, dists: what nodes learn where their neighbours and senders meet."""
-    tell = size.tell
+    tell, kind = size.tell, _kind(nodes)
     sent = graph.select("node", F.explode(F.arrays_zip("send", "send_new")).alias("s")).select(F.col("node").alias("at"), F.col("s.send").alias("member"), F.col("s.send_new").alias("new"))
     back = sent.select(F.col("member").alias("at"), F.col("at").alias("member"), "new")
     order = Window.partitionBy("at").orderBy(F.desc("new"), F.xxhash64("member", F.lit(turn)))
     back = back.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= size.reverse).drop("turn")
     own = graph.filter(F.size("send") > 0).select(F.col("node").alias("at"), F.col("node").alias("member"), F.lit(False).alias("new"))
-    worst = F.when(F.size("dists") >= size.k, F.element_at("dists", -1)).otherwise(F.lit(float("inf")).cast("float"))
-    known = nodes.join(graph.select("node", worst.alias("worst")), "node").select(F.col("node").alias("member"), "half", "worst")
-    meeting = sent.union(back).union(own).join(known, "member").groupBy("at").agg(*[F.collect_list(c).alias(c) for c in ("member", "new", "half", "worst")])
+    worst = F.when(F.size("dists") >= size.k, F.element_at("dists", -1)).otherwise(F.lit(float("inf")))
+    known = nodes.join(graph.select("node", worst.alias("worst")), "node").select(F.col("node").alias("member"), "data", "worst")
+    meeting = sent.union(back).union(own).join(known, "member").groupBy("at").agg(*[F.collect_list(c).alias(c) for c in ("member", "new", "data", "worst")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [], [], []
-            for ids, new, halves, worst_ in zip(*(c.to_pylist() for c in batch.columns)):
-                x, ids, new = _halves(halves), np.asarray(ids), np.asarray(new)
+            for ids, new, data, worst_ in zip(*(c.to_pylist() for c in batch.columns)):
+                x, ids, new = _vectors(data, kind), np.asarray(ids), np.asarray(new)
                 d = _between(x)
                 d[~new[:, None] & ~new[None]] = np.inf
                 d[ids[:, None] == ids[None]] = np.inf
@@ -205,7 +236,7 @@ def _meet(graph: DataFrame, nodes: DataFrame, size: Effort, turn: int) -> DataFr
                     out[2].append(near[i, ok[i]])
             yield _rows(list(out), [("node", pa.int64()), ("cands", IDS), ("dists", FLOATS)])
 
-    return meeting.select("member", "new", "half", "worst").mapInArrow(run, "node bigint, cands array<bigint>, dists array<float>")
+    return meeting.select("member", "new", "data", "worst").mapInArrow(run, "node bigint, cands array<bigint>, dists array<double>")
 
 
 def _unsent(graph: DataFrame) -> int:
@@ -214,71 +245,72 @@ def _unsent(graph: DataFrame) -> int:
     return graph.agg(F.sum(news)).first()[0] or 0
 
 
-def build_graph(nodes: DataFrame) -> DataFrame:
+def build_graph(nodes: DataFrame, space: Workspace) -> DataFrame:
     """node, nbrs (nearest first), dists (squared)."""
-    size = Effort(nodes.count())
+    means = _means(nodes)
+    size = Effort(sum(n for n, _ in means.values()))
     flat = lambda c: F.flatten(F.collect_list(c))
-    none = {"nbrs": F.array().cast("array<bigint>"), "dists": F.array().cast("array<float>"), "fresh": F.array().cast("array<boolean>")}
-    start = stored(_blocks(nodes, size, 101), "ann-start")  # each on its own: one plan of all starts takes the driver's memory
+    none = {"nbrs": F.array().cast("array<bigint>"), "dists": F.array().cast("array<double>"), "fresh": F.array().cast("array<boolean>")}
+    start = space.stored(_blocks(nodes, size, means, 101), "start")  # each on its own: one plan of all starts takes the driver's memory
     for seed in range(102, 101 + STARTS):
-        start = start.union(stored(_blocks(nodes, size, seed), "ann-start"))
+        start = start.union(space.stored(_blocks(nodes, size, means, seed), "start"))
     start = start.groupBy("node").agg(flat("cands").alias("cands"), flat("dists").alias("cand_dists"))
-    graph, turn = stored(_merge(start.withColumns(none), size, 0), "ann-graph"), 0
+    graph, turn = space.stored(_merge(start.withColumns(none), size, 0), "graph"), 0
     while _unsent(graph) > SETTLED * size.n * size.k:
         turn += 1
         learnt = _meet(graph, nodes, size, turn).groupBy("node").agg(flat("cands").alias("cands"), flat("dists").alias("cand_dists"))
-        graph = stored(_merge(graph.join(learnt, "node", "left"), size, turn), "ann-graph")
+        graph = space.stored(_merge(graph.join(learnt, "node", "left"), size, turn), "graph")
     return graph.select("node", "nbrs", "dists")
 
 
-def adjacency(graph: DataFrame, degree: int = DEGREE) -> DataFrame:
+def adjacency(graph: DataFrame, space: Workspace, degree: int = DEGREE) -> DataFrame:
     """node, nbrs: neighbours and the nodes that have it as a neighbour, at most degree, nearest first."""
     edges = graph.select("node", F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select("node", F.col("e.nbrs").alias("to"), F.col("e.dists").alias("d"))
     both = edges.union(edges.select(F.col("to").alias("node"), F.col("node").alias("to"), "d")).distinct()
     near = both.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("d", "to"))).filter(F.col("turn") <= degree)
-    return stored(near.groupBy("node").agg(F.collect_list("to").alias("nbrs")), "ann-adjacency")
+    return space.stored(near.groupBy("node").agg(F.collect_list("to").alias("nbrs")), "adjacency")
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """queries: q (its node) and half. q, found: the nodes of the beam, nearest first."""
-    size = Effort(nodes.count())
-    links, width, expand = adjacency(graph, size.degree), size.beam, size.expand
-    beam_schema = "q bigint, half binary, found array<bigint>, dists array<float>, done array<boolean>, seen array<bigint>, ask array<bigint>"
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, space: Workspace) -> DataFrame:
+    """queries: q (its node) and data. q, found: the nodes of the beam, nearest first."""
+    size, kind = Effort(nodes.count()), _kind(nodes)
+    links, width, expand = adjacency(graph, space, size.degree), size.beam, size.expand
+    beam_schema = "q bigint, data binary, found array<bigint>, dists array<double>, done array<boolean>, seen array<bigint>, ask array<bigint>"
 
     def advance(rows: DataFrame) -> DataFrame:
-        """rows: q, half, found, dists, done, seen (sorted), cands, halves."""
+        """rows: q, data, found, dists, done, seen (sorted), cands, theirs."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = [("q", pa.int64()), ("half", pa.binary()), ("found", IDS), ("dists", FLOATS), ("done", FLAGS), ("seen", IDS), ("ask", IDS)]
+            schema = [("q", pa.int64()), ("data", pa.binary()), ("found", IDS), ("dists", FLOATS), ("done", FLAGS), ("seen", IDS), ("ask", IDS)]
             for batch in batches:
                 out = [[] for _ in schema]
-                for q, half, found, dists, done, seen, cands, halves in zip(*(c.to_pylist() for c in batch.columns)):
-                    ids, d, done = np.asarray(found, np.int64), np.asarray(dists, np.float32), np.asarray(done, bool)
+                for q, own, found, dists, done, seen, cands, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    ids, d, done = np.asarray(found, np.int64), np.asarray(dists, np.float64), np.asarray(done, bool)
                     seen = np.asarray(seen, np.int64)
                     if cands:
-                        new, x = np.asarray(cands), _halves(halves)
-                        ids, d = np.concatenate([ids, new]), np.concatenate([d, _distances(_halves([half]), x)[0]])
+                        new, x = np.asarray(cands), _vectors(data, kind) - _vectors([own], kind)
+                        ids, d = np.concatenate([ids, new]), np.concatenate([d, np.einsum("ij,ij->i", x, x)])
                         done = np.concatenate([done, np.zeros(len(new), bool)])
                         best = np.lexsort((ids, d))[:width]
                         ids, d, done = ids[best], d[best], done[best]
                         seen = np.union1d(seen, new)
                     ask = np.flatnonzero(~done)[:expand]
                     done[ask] = True
-                    for column, value in zip(out, (q, half, ids, d, done, seen, ids[ask])):
+                    for column, value in zip(out, (q, own, ids, d, done, seen, ids[ask])):
                         column.append(value)
                 yield _rows(out, schema)
 
-        return stored(rows.select("q", "half", "found", "dists", "done", "seen", "cands", "halves").mapInArrow(run, beam_schema), "ann-beam")
+        return space.stored(rows.select("q", "data", "found", "dists", "done", "seen", "cands", "theirs").mapInArrow(run, beam_schema), "beam")
 
     def measured(pairs: DataFrame) -> DataFrame:
-        """pairs: q, cand. q, cands, halves."""
-        got = pairs.join(nodes.select(F.col("node").alias("cand"), F.col("half").alias("h")), "cand")
-        return got.groupBy("q").agg(F.collect_list("cand").alias("cands"), F.collect_list("h").alias("halves"))
+        """pairs: q, cand. q, cands, theirs."""
+        got = pairs.join(nodes.select(F.col("node").alias("cand"), F.col("data").alias("h")), "cand")
+        return got.groupBy("q").agg(F.collect_list("cand").alias("cands"), F.collect_list("h").alias("theirs"))
 
     none = lambda t: F.array().cast(f"array<{t}>")
     first = queries.select("q", F.col("q").alias("node")).join(links, "node").select("q", F.explode("nbrs").alias("cand"))
-    beam = queries.select("q", "half").join(measured(first), "q", "left")
-    beam = advance(beam.withColumns({"found": none("bigint"), "dists": none("float"), "done": none("boolean"), "seen": F.array("q")}))
+    beam = queries.select("q", "data").join(measured(first), "q", "left")
+    beam = advance(beam.withColumns({"found": none("bigint"), "dists": none("double"), "done": none("boolean"), "seen": F.array("q")}))
     while beam.filter(F.size("ask") > 0).limit(1).count():
         asked = beam.select("q", F.explode("ask").alias("node")).join(links, "node").select("q", F.explode("nbrs").alias("cand")).distinct()
         lists = asked.groupBy("q").agg(F.collect_list("cand").alias("cands"))
@@ -289,12 +321,13 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose id is divisible by every."""
-    nodes = nodes_of(vectors)
+    space = Workspace(vectors.sparkSession, "neighbours")
+    nodes = nodes_of(vectors, space)
     # by vector, not by ids: a copy beyond the smallest COPIES may ask too
     rows = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).distinct()
-    asking = stored(rows.join(nodes.select("vector", "node"), "vector").select("query_id", "node"), "ann-queries")
-    queries = asking.select(F.col("node").alias("q")).distinct().join(nodes.select(F.col("node").alias("q"), "half"), "q")
-    found = search(queries, nodes, build_graph(nodes))
+    asking = space.stored(rows.join(nodes.select("vector", "node"), "vector").select("query_id", "node"), "queries")
+    queries = asking.select(F.col("node").alias("q")).distinct().join(nodes.select(F.col("node").alias("q"), "data"), "q")
+    found = search(queries, nodes, build_graph(nodes, space), space)
     near = found.select("q", F.explode(F.concat(F.array("q"), F.slice("found", 1, RERANK))).alias("node")).distinct()
     x, y = F.col("a").cast("array<double>"), F.col("b").cast("array<double>")
     score = F.sqrt(F.aggregate(F.zip_with(x, y, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
@@ -303,7 +336,9 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame
     answers = asking.withColumnRenamed("node", "q").join(scored, "q").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     best = answers.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", rank).filter(F.col("rank") <= top)
-    return best.select("query_id", "rank", "vec_id", "score")
+    found = stored(best.select("query_id", "rank", "vec_id", "score"), "neighbours-found")
+    space.clear()
+    return found
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

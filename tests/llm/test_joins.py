@@ -216,15 +216,33 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * 300
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_far_from_the_origin(spark, monkeypatch, kind):
+    """Small differences around a large common offset, with blocks far smaller than the table, and vectors of other lengths."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "STARTS", 4)
+    x = (100 if kind == "float" else 1e7) + 0.01 * vectors(2500, 6, 8).astype(np.float32 if kind == "float" else float)
+    short = vectors(300, 7, 3).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, v.tolist()) for i, v in enumerate(short)]
+    got = collections.defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>"), every=50).collect():
+        got[r.query_id].add(r.vec_id)
+    assert set(got) == {*range(0, 2500, 50), *range(10_000, 10_300, 50)}
+    for ids, y in ((np.arange(2500), x), (np.arange(10_000, 10_300), short)):
+        asked = [q for q in range(len(y)) if not ids[q] % 50]
+        assert sum(len(got[ids[q]] & {v for v, _ in exact(ids, y, q)}) for q in asked) >= 0.95 * 10 * len(asked)
+
+
 def test_neighbours_descend_until_settled(spark, monkeypatch):
     """From two starts of small blocks, a fixed few rounds leave most of the graph wrong."""
     monkeypatch.setattr(ann, "BLOCK", 16)
     monkeypatch.setattr(ann, "STARTS", 2)
     x = vectors(2000, 4, 8)
-    nodes = ann.nodes_of(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"))
+    space = common.Workspace(spark, "t")
+    nodes = ann.nodes_of(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"), space)
     ids = {r.node: r.ids[0] for r in nodes.select("node", "ids").collect()}
     hits = 0
-    for r in ann.build_graph(nodes).collect():
+    for r in ann.build_graph(nodes, space).collect():
         d = ((x - x[ids[r.node]]) ** 2).sum(1)
         hits += len(set(np.argsort(d, kind="stable")[1:11].tolist()) & {ids[i] for i in r.nbrs})
     assert hits >= 0.97 * 20_000
@@ -233,11 +251,11 @@ def test_neighbours_descend_until_settled(spark, monkeypatch):
 def test_neighbours_search_until_expanded(spark):
     """Along a chain each step reaches one node more."""
     n = 16
-    halves = [np.array([i, 1], np.float16).tobytes() for i in range(n)]
-    nodes = spark.createDataFrame([(i, bytearray(h)) for i, h in enumerate(halves)], "node bigint, half binary")
-    graph = spark.createDataFrame([(i, [i + 1], [1.0]) for i in range(n - 1)], "node bigint, nbrs array<bigint>, dists array<float>")
-    queries = nodes.filter("node = 0").select(F.col("node").alias("q"), "half")
-    assert sorted(ann.search(queries, nodes, graph).first().found) == list(range(1, n))
+    rows = [(i, bytearray(np.array([i, 1], np.float64).tobytes()), [float(i), 1.0]) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node bigint, data binary, vector array<double>")
+    graph = spark.createDataFrame([(i, [i + 1], [1.0]) for i in range(n - 1)], "node bigint, nbrs array<bigint>, dists array<double>")
+    queries = nodes.filter("node = 0").select(F.col("node").alias("q"), "data")
+    assert sorted(ann.search(queries, nodes, graph, common.Workspace(spark, "t")).first().found) == list(range(1, n))
 
 
 def test_neighbours_effort_grows():
