@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .functions.text import is_test_path
 from .operators import evidence, reduce, report, search, stability
 from .plans import parse
+from .schema import STABLE_FAIL, STABLE_PASS
 from .sources import adapters, config
 
 ORDER, BUDGET, PAIRS = 3, 20, 3
@@ -63,11 +64,12 @@ def _ids(tried: DataFrame) -> DataFrame:
 
 
 def _patches(results: DataFrame) -> DataFrame:
-    return results.groupBy("patch_id").agg(F.count("*").alias("n")).withColumn("baseline_fails", F.lit(True))
+    return results.groupBy("patch_id").agg(F.count("*").alias("n"))
 
 
 def _summary(results: DataFrame) -> DataFrame:
-    return search.sufficient_summary(_patches(results), _tried(results), ORDER, BUDGET)
+    """Of the search alone, which takes every patch's baseline as failing."""
+    return search.sufficient_summary(_patches(results).withColumn("baseline_fails", F.lit(True)), _tried(results), ORDER, BUDGET)
 
 
 def sufficient_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -107,13 +109,17 @@ def greedy_reduction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    results = adapters.mutation_results(spark, d)
-    classes = stability.patch_classes(_sets(spark, d))
-    return report.reports(results, classes, _summary(results), _tried(results), _pairs(results))
+    """Reports of the patches whose candidate is stably green; only where the baseline stably fails are sufficient sets searched."""
+    classes = stability.patch_classes(_sets(spark, d)).filter(F.col("candidate") == STABLE_PASS)
+    results = adapters.mutation_results(spark, d).join(classes.select("patch_id"), "patch_id", "left_semi")
+    fails = F.col("baseline").eqNullSafe(F.lit(STABLE_FAIL))
+    tried = _tried(results.join(classes.filter(fails).select("patch_id"), "patch_id", "left_semi"))
+    patches = _patches(results).join(classes.select("patch_id", fails.alias("baseline_fails")), "patch_id")
+    return report.reports(results, classes, search.sufficient_summary(patches, tried, ORDER, BUDGET), tried, _pairs(results))
 
 
 def report_summary(spark: SparkSession, d: str) -> DataFrame:
-    return report.report_counts(_reports(spark, d)).withColumn("witness_ratio", F.round("witness_ratio", 6))
+    return report.report_counts(_reports(spark, d)).drop("certificate_id").withColumn("witness_ratio", F.round("witness_ratio", 6))
 
 
 def gates(spark: SparkSession, d: str) -> DataFrame:
@@ -129,13 +135,12 @@ def report_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def certificate_id(spark: SparkSession, d: str) -> DataFrame:
-    counts = report.report_counts(_reports(spark, d))
-    return report.certificate_ids(counts.select("patch_id", F.coalesce("contrast", F.lit("")).alias("contrast"), "mutations", "witnessed", "unwitnessed", "inconclusive", "surplus"))
+    return _reports(spark, d).select("patch_id", "certificate_id")
 
 
 def report_certificate_id(spark: SparkSession, d: str) -> DataFrame:
-    """The hash of the whole report: hunks, runs' classes, sets, pairs and surplus. certificate_id, as its SQL has it, covers counts only."""
-    return report.certificate_ids(_reports(spark, d), native=False)
+    """The hash of the report's columns as they are, as Python's json writes them."""
+    return report.certificate_ids(_reports(spark, d))
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:
@@ -230,12 +235,22 @@ pr AS (SELECT a.patch_id, row_number() OVER (PARTITION BY a.patch_id ORDER BY a.
   FROM rem a JOIN rem b ON a.patch_id = b.patch_id AND a.pos < b.pos),
 pairs AS (SELECT *, CASE w5 WHEN 0 THEN 'mutual-backup' WHEN 1 THEN 'inconclusive' END AS status FROM pr WHERE rank <= {PAIRS})"""
 _SURPLUS = "surp AS (SELECT m.* FROM m JOIN summ s ON m.patch_id = s.patch_id AND s.exhaustive WHERE m.status = 'unwitnessed' AND NOT EXISTS (SELECT 1 FROM suff_ids x WHERE x.patch_id = m.patch_id AND x.id = m.id))"
-_COUNTS = """cnt AS (SELECT b.*, contrast, candidate, baseline, s.found_order, (SELECT count(*) FROM tried t WHERE t.patch_id = b.patch_id AND t.status = 'sufficient') AS sufficient_sets,
+_COUNTS = """cnt AS (SELECT b.*, contrast, candidate, baseline, s.found_order, s.exhaustive, (SELECT count(*) FROM tried t WHERE t.patch_id = b.patch_id AND t.status = 'sufficient') AS sufficient_sets,
   (SELECT count(*) FROM pairs p WHERE p.patch_id = b.patch_id AND p.status = 'mutual-backup') AS mutual_backup_pairs, (SELECT count(*) FROM surp u WHERE u.patch_id = b.patch_id) AS surplus
   FROM (SELECT patch_id, count(*) AS mutations, count(*) FILTER (status = 'witnessed') AS witnessed, count(*) FILTER (status = 'unwitnessed') AS unwitnessed, count(*) FILTER (status = 'inconclusive') AS inconclusive,
     CASE WHEN count(*) FILTER (status <> 'inconclusive') > 0 THEN count(*) FILTER (status = 'witnessed')::DOUBLE / count(*) FILTER (status <> 'inconclusive') END AS witness_ratio FROM m GROUP BY patch_id) b
   LEFT JOIN cls ON cls.patch_id = b.patch_id LEFT JOIN summ s ON s.patch_id = b.patch_id)"""
-_REPORT = f"WITH {_RUNS},\n{_MUT},\n{_TRIED},\n{_PAIRS},\n{_SURPLUS},\n{_COUNTS}\n"
+# reports: only patches with a stably passing candidate have one, and only those with a stably failing baseline are searched
+_REPORTED = f"""{_MUT.replace('m AS (', 'every AS (')},
+m AS (SELECT every.* FROM every JOIN cls ON cls.patch_id = every.patch_id AND cls.candidate = 'stable-pass'),
+failing AS (SELECT m.* FROM m JOIN cls ON cls.patch_id = m.patch_id AND cls.baseline = 'stable-fail')"""
+_QUOTED = """coalesce((SELECT string_agg('["' || replace(ids, ',', '","') || '"]', ',' ORDER BY rank) FROM {rows} z WHERE z.patch_id = cnt.patch_id AND z.status = '{status}'), '')"""
+_CERTIFIED = f"""cert AS (SELECT patch_id, 'dw2_' || substr(sha256('{{"backups":[' || {_QUOTED.format(rows='pairs', status='mutual-backup')} || '],"baseline":' || coalesce('"' || baseline || '"', 'null') || ',"candidate":"' || candidate || '","contrast":"' || contrast || '","results":['
+  || (SELECT string_agg('{{"additions":' || additions || ',"deletions":' || deletions || ',"end_line":' || end_line || ',"id":"' || id || '","label":"' || label || '","line":' || line || ',"path":"' || path || '","runtime":"' || printf('%.2f', runtime_s) || '","status":"' || status || '"}}', ',' ORDER BY mut_ord) FROM m WHERE m.patch_id = cnt.patch_id)
+  || '],"search":{{"exhaustive":' || coalesce(exhaustive, FALSE) || ',"found_order":' || coalesce(found_order::VARCHAR, 'null') || '}},"sufficient_sets":[' || {_QUOTED.format(rows='tried', status='sufficient')}
+  || '],"summary":{{"inconclusive":' || inconclusive || ',"mutations":' || mutations || ',"unwitnessed":' || unwitnessed || ',"witness_ratio":' || coalesce('"' || printf('%.6f', witness_ratio) || '"', 'null') || ',"witnessed":' || witnessed || '}},"surplus":['
+  || coalesce((SELECT string_agg('"' || id || '"', ',' ORDER BY id) FROM surp z WHERE z.patch_id = cnt.patch_id), '') || ']}}'), 1, 20) AS certificate_id FROM cnt)"""
+_REPORT = f"WITH {_RUNS},\n{_REPORTED},\n{_TRIED.replace('FROM m', 'FROM failing').replace('JOIN m ', 'JOIN failing ')},\n{_PAIRS},\n{_SURPLUS},\n{_COUNTS},\n{_CERTIFIED}\n"
 _HUNKS = """h AS (SELECT l_orderkey AS patch_id, l_returnflag AS flag, CASE l_returnflag WHEN 'A' THEN 'src/A.py' WHEN 'N' THEN 'lib/N.py' ELSE 'tests/R.py' END AS path,
   (row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1)::INT AS hunk_ord, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS hunks,
   l_partkey::INT AS old_start, l_linenumber AS old_count, l_suppkey::INT AS new_start, l_quantity::INT % 5 AS new_count, l_linestatus AS context FROM lineitem),
@@ -272,9 +287,9 @@ ORACLE_SQL = {
     "greedy_reduction": f"WITH RECURSIVE {_MUT}, o AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY CASE status WHEN 'unwitnessed' THEN 0 WHEN 'witnessed' THEN 2 ELSE 1 END, mut_ord) AS pos FROM m), g AS (SELECT patch_id, 0 AS pos, 0::BIGINT AS total, 0 AS removed, '' AS ids FROM o WHERE pos = 1 UNION ALL SELECT g.patch_id, (g.pos + 1)::INT, CASE WHEN (g.total + o.weight) % 3 <> 0 THEN g.total + o.weight ELSE g.total END, CASE WHEN (g.total + o.weight) % 3 <> 0 THEN g.removed + 1 ELSE g.removed END, CASE WHEN (g.total + o.weight) % 3 = 0 THEN g.ids WHEN g.ids = '' THEN o.id ELSE g.ids || ',' || o.id END FROM g JOIN o ON o.patch_id = g.patch_id AND o.pos = g.pos + 1) SELECT g.patch_id, g.removed, g.ids FROM g JOIN (SELECT patch_id, max(pos) AS last FROM o GROUP BY patch_id) l ON l.patch_id = g.patch_id AND l.last = g.pos",
     "report_summary": _REPORT + "SELECT patch_id, contrast, mutations, witnessed, unwitnessed, inconclusive, round(witness_ratio, 6) AS witness_ratio, found_order, sufficient_sets, mutual_backup_pairs, surplus FROM cnt",
     "gates": _REPORT + "SELECT patch_id, coalesce(contrast = 'base-fail_candidate-pass', FALSE) AS gate_contrast, unwitnessed = 0 AND inconclusive = 0 AS gate_all_witnessed, surplus = 0 AS gate_no_surplus, CASE WHEN coalesce(contrast = 'base-fail_candidate-pass', FALSE) AND unwitnessed = 0 AND inconclusive = 0 AND surplus = 0 THEN 0 ELSE 1 END AS exit_code FROM cnt",
-    "ci_outputs": _REPORT + "SELECT patch_id, unnest(['contrast', 'witnessed', 'unwitnessed', 'inconclusive', 'witness_ratio', 'minimal_sufficient_order', 'surplus_candidate_hunks']) AS key, unnest([coalesce(contrast, ''), witnessed::VARCHAR, unwitnessed::VARCHAR, inconclusive::VARCHAR, CASE WHEN witness_ratio IS NULL THEN '' ELSE printf('%.6f', witness_ratio) END, coalesce(found_order::VARCHAR, ''), surplus::VARCHAR]) AS value FROM cnt",
-    "certificate_id": _REPORT + """SELECT patch_id, 'dw2_' || substr(sha256('{"contrast":"' || coalesce(contrast, '') || '","inconclusive":' || inconclusive || ',"mutations":' || mutations || ',"surplus":' || surplus || ',"unwitnessed":' || unwitnessed || ',"witnessed":' || witnessed || '}'), 1, 20) AS certificate_id FROM cnt""",
-    "report_markdown": _REPORT + f"""SELECT patch_id, concat_ws(chr(10), '# Evidence certificate', '', '**Contrast:** `' || coalesce(contrast, '') || '`  ', '**Candidate stability:** `' || coalesce(candidate, '') || '`  ', '**Baseline stability:** `' || coalesce(baseline, '') || '`', '',
+    "ci_outputs": _REPORT + "SELECT patch_id, unnest(['certificate_id', 'contrast', 'witnessed', 'unwitnessed', 'inconclusive', 'witness_ratio', 'minimal_sufficient_order', 'surplus_candidate_hunks']) AS key, unnest([certificate_id, coalesce(contrast, ''), witnessed::VARCHAR, unwitnessed::VARCHAR, inconclusive::VARCHAR, CASE WHEN witness_ratio IS NULL THEN '' ELSE printf('%.6f', witness_ratio) END, coalesce(found_order::VARCHAR, ''), surplus::VARCHAR]) AS value FROM cnt JOIN cert USING (patch_id)",
+    "certificate_id": _REPORT + "SELECT patch_id, certificate_id FROM cert",
+    "report_markdown": _REPORT + f"""SELECT patch_id, concat_ws(chr(10), '# Evidence certificate', '', '**Certificate:** `' || certificate_id || '`  ', '**Contrast:** `' || coalesce(contrast, '') || '`  ', '**Candidate stability:** `' || coalesce(candidate, '') || '`  ', '**Baseline stability:** `' || coalesce(baseline, '') || '`', '',
   '## Evidence summary', '', '- Witnessed hunks: **' || witnessed || '**', '- Unwitnessed hunks: **' || unwitnessed || '**', '- Inconclusive hunks: **' || inconclusive || '**',
   CASE WHEN witness_ratio IS NULL THEN '- Witness ratio: n/a' ELSE '- Witness ratio: **' || printf('%.1f', witness_ratio * 100) || '%**' END,
   CASE WHEN found_order IS NULL THEN '- Minimal sufficient order: not found within budget' ELSE '- Minimal sufficient order: **' || found_order || '**' END, '- Mutual-backup pairs: **' || mutual_backup_pairs || '**', '- Surplus candidate hunks: **' || surplus || '**',
@@ -283,7 +298,7 @@ ORACLE_SQL = {
   || {_SECTION.format(n='sufficient_sets', title='Minimal sufficient sets', text="(SELECT string_agg(place || '. ' || labels, chr(10) ORDER BY place) FROM (SELECT labels, row_number() OVER (PARTITION BY patch_id ORDER BY rank) AS place, patch_id FROM tried WHERE status = 'sufficient') z WHERE z.patch_id = cnt.patch_id)")}
   || {_SECTION.format(n='mutual_backup_pairs', title='Hidden redundancy / mutual backup', text="(SELECT string_agg('- ' || labels, chr(10) ORDER BY rank) FROM pairs z WHERE z.patch_id = cnt.patch_id AND z.status = 'mutual-backup')")}
   || {_SECTION.format(n='surplus', title='Strong surplus candidates', text="'" + report.SURPLUS_TEXT + "' || chr(10) || (SELECT string_agg('- `' || label || '`', chr(10) ORDER BY id) FROM surp z WHERE z.patch_id = cnt.patch_id)")}
-  || chr(10) || chr(10) || '## What this proves — and what it does not' || chr(10) || chr(10) || '{report.LIMITS_TEXT}' || chr(10) AS markdown FROM cnt""",
+  || chr(10) || chr(10) || '## What this proves — and what it does not' || chr(10) || chr(10) || '{report.LIMITS_TEXT}' || chr(10) AS markdown FROM cnt JOIN cert USING (patch_id)""",
     "annotations": f"WITH {_MUT} SELECT patch_id, mut_ord, '::' || CASE status WHEN 'unwitnessed' THEN 'warning' ELSE 'notice' END || ' file=' || path || ',title=' || CASE status WHEN 'unwitnessed' THEN 'no causal witness' ELSE 'inconclusive' END || CASE WHEN line <> 0 THEN ',line=' || line ELSE '' END || CASE WHEN end_line <> 0 THEN ',endLine=' || end_line ELSE '' END || '::' || CASE status WHEN 'unwitnessed' THEN '{report.MESSAGES['unwitnessed'][2]}' ELSE '{report.MESSAGES['inconclusive'][2]}' END AS annotation FROM m WHERE status <> 'witnessed'",
     "file_blocks": f"WITH {_HUNKS} SELECT patch_id, file_ord, path, path AS old_path, hunks::INT AS hunks, length(header) AS header_chars, structural, FALSE AS binary, flag = 'R' AS is_test FROM f",
     "hunk_ranges": f"WITH {_HUNKS} SELECT patch_id, path, hunk_ord, new_count AS additions, old_count AS deletions, old_start, old_count, new_start, new_count FROM h",

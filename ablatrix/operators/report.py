@@ -38,7 +38,7 @@ def reports(results: DataFrame, classes: DataFrame, summary: DataFrame, tried: D
     """One row per patch with what certificates hold.
 
     results: mutation results; classes: patch_classes(); summary: sufficient_summary(); tried, pairs: searches with status and
-    members (id, label). Patches of results without classes or summary keep nulls there."""
+    members (id, label). Patches of results without classes or summary keep nulls there. certificate_id is a hash of document()."""
     hunk = F.struct("mut_ord", "id", "path", "label", "additions", "deletions", "line", "end_line", "status", "runtime_s")
     n = lambda s: F.count_if(F.col("status") == s)
     base = results.groupBy("patch_id").agg(
@@ -53,7 +53,22 @@ def reports(results: DataFrame, classes: DataFrame, summary: DataFrame, tried: D
     removable = F.filter("results", lambda r: r["status"] == UNWITNESSED)
     surplus = F.filter(removable, lambda r: ~F.array_contains(ids, r["id"]))
     some = F.coalesce(F.col("exhaustive"), F.lit(False)) & F.col("sufficient_sets").isNotNull()
-    return rows.withColumn("surplus", F.when(some, surplus).otherwise(F.slice("results", 1, 0)))
+    rows = rows.withColumn("surplus", F.when(some, surplus).otherwise(F.slice("results", 1, 0)))
+    return rows.withColumn("certificate_id", _hashed(F.to_json(document(), {"ignoreNullFields": "false"})))
+
+
+def document() -> Column:
+    """The whole of a row of reports() as one struct, for sinks and for the certificate: fields in alphabetical order, lists in the
+    report's order, fractions as text of fixed digits, so that its JSON is the same bytes wherever it is written."""
+    fixed = lambda digits, c: F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c))
+    ids = lambda c: F.coalesce(F.transform(c, lambda x: F.transform(x["members"], lambda m: m["id"])), F.expr("cast(array() as array<array<string>>)"))
+    plain = lambda h: F.struct(*[h[k].alias(k) for k in ("additions", "deletions", "end_line", "id", "label", "line", "path")], fixed(2, h["runtime_s"]).alias("runtime"), h["status"].alias("status"))
+    search_ = F.struct(F.coalesce("exhaustive", F.lit(False)).alias("exhaustive"), "found_order")
+    summary = F.struct("inconclusive", "mutations", "unwitnessed", fixed(6, F.col("witness_ratio")).alias("witness_ratio"), "witnessed")
+    return F.struct(
+        ids("backups").alias("backups"), "baseline", "candidate", "contrast", F.transform("results", plain).alias("results"), search_.alias("search"), ids("sufficient_sets").alias("sufficient_sets"),
+        summary.alias("summary"), F.array_sort(F.transform("surplus", lambda h: h["id"])).alias("surplus"),
+    )
 
 
 def _count(c: str) -> Column:
@@ -63,7 +78,7 @@ def _count(c: str) -> Column:
 def report_counts(report: DataFrame) -> DataFrame:
     """The scalar summary: counts of hunks, sets, pairs and surplus."""
     return report.select(
-        "patch_id", "contrast", "mutations", "witnessed", "unwitnessed", "inconclusive", "witness_ratio", "found_order",
+        "patch_id", "certificate_id", "contrast", "mutations", "witnessed", "unwitnessed", "inconclusive", "witness_ratio", "found_order",
         _count("sufficient_sets").alias("sufficient_sets"), _count("backups").alias("mutual_backup_pairs"), _count("surplus").alias("surplus"),
     )
 
@@ -80,7 +95,7 @@ def ci_outputs(counts: DataFrame) -> DataFrame:
     """patch_id, key, value: what a CI step hands on."""
     text = lambda c: F.col(c).cast("string")
     values = {
-        "contrast": F.coalesce("contrast", F.lit("")), "witnessed": text("witnessed"), "unwitnessed": text("unwitnessed"), "inconclusive": text("inconclusive"),
+        "certificate_id": F.col("certificate_id"), "contrast": F.coalesce("contrast", F.lit("")), "witnessed": text("witnessed"), "unwitnessed": text("unwitnessed"), "inconclusive": text("inconclusive"),
         "witness_ratio": F.when(F.col("witness_ratio").isNull(), "").otherwise(F.format_string("%.6f", "witness_ratio")),
         "minimal_sufficient_order": F.coalesce(text("found_order"), F.lit("")), "surplus_candidate_hunks": text("surplus"),
     }
@@ -104,7 +119,7 @@ def markdown(report: DataFrame) -> DataFrame:
     by_id = F.array_sort(F.transform("surplus", lambda h: F.struct(h["id"].alias("id"), h["label"].alias("label"))))
     section = lambda c, title, text: F.when(F.size(c) > 0, F.concat(F.lit(f"\n\n## {title}\n\n"), text)).otherwise(F.lit(""))
     head = [
-        F.lit("# Evidence certificate"), F.lit(""), F.concat(F.lit("**Contrast:** `"), F.coalesce("contrast", F.lit("")), F.lit("`  ")),
+        F.lit("# Evidence certificate"), F.lit(""), F.concat(F.lit("**Certificate:** `"), F.col("certificate_id"), F.lit("`  ")), F.concat(F.lit("**Contrast:** `"), F.coalesce("contrast", F.lit("")), F.lit("`  ")),
         F.concat(F.lit("**Candidate stability:** `"), F.coalesce("candidate", F.lit("")), F.lit("`  ")), F.concat(F.lit("**Baseline stability:** `"), F.coalesce("baseline", F.lit("")), F.lit("`")),
         F.lit(""), F.lit("## Evidence summary"), F.lit(""), bold("Witnessed hunks", F.col("witnessed")), bold("Unwitnessed hunks", F.col("unwitnessed")), bold("Inconclusive hunks", F.col("inconclusive")),
         ratio, order, bold("Mutual-backup pairs", _count("backups")), bold("Surplus candidate hunks", _count("surplus")),
@@ -124,12 +139,12 @@ def _certificate(reports_: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda x: CERTIFICATE_PREFIX + hashlib.sha256(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:20])
 
 
-def certificate_ids(report: DataFrame, native: bool = True) -> DataFrame:
-    """patch_id, certificate_id: a hash of each report's canonical JSON.
+def _hashed(text: Column) -> Column:
+    return F.concat(F.lit(CERTIFICATE_PREFIX), F.substring(F.sha2(text.cast("binary"), 256), 1, 20))
+
 
-    native: to_json over fields in alphabetical order, which stays in the JVM; else Python's json (other floats and escapes)."""
-    fields = sorted(c for c in report.columns if c != "patch_id")
-    whole = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    if native:
-        return report.select("patch_id", F.concat(F.lit(CERTIFICATE_PREFIX), F.substring(F.sha2(whole.cast("binary"), 256), 1, 20)).alias("certificate_id"))
-    return report.select("patch_id", _certificate(whole).alias("certificate_id"))
+def certificate_ids(report: DataFrame) -> DataFrame:
+    """patch_id, certificate_id: a hash of each report's canonical JSON, over all columns as they are, written by Python's json, whose
+    floats and escapes differ from to_json's. reports() has one over document(), which stays in the JVM."""
+    fields = sorted(c for c in report.columns if c not in ("patch_id", "certificate_id"))
+    return report.select("patch_id", _certificate(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).alias("certificate_id"))

@@ -27,3 +27,13 @@ def test_query_matches_sql(spark, name):
     got = catalog.QUERIES[name](spark, DATA)
     assert sorted(got.columns) == sorted(names)
     assert plain(tuple(r) for r in got.select(*names).collect()) == plain(want.fetchall())
+
+
+def test_reports_keep_their_preconditions(spark):
+    """No report of a candidate that isn't stably green; sufficient sets only where the baseline stably fails."""
+    rows = catalog.report_summary(spark, DATA).collect()
+    rejected = {r.patch_id for r in catalog.rejected_patches(spark, DATA).collect()}
+    assert rows and rejected and not rejected & {r.patch_id for r in rows}
+    searched = [r for r in rows if r.contrast == "base-fail_candidate-pass"]
+    assert len(searched) < len(rows) and any(r.sufficient_sets for r in searched)
+    assert all((r.found_order, r.sufficient_sets, r.surplus) == (None, 0, 0) for r in rows if r not in searched)

@@ -163,7 +163,11 @@ def test_core_and_surplus(spark):
     assert report.gates(counts).first().exit_code == 1
     text = report.markdown(full).first().markdown
     assert "1. `calc.py hunk 1/3`, `calc.py hunk 2/3`" in text and "- `calc.py hunk 3/3`" in text and "Witness ratio: **66.7%**" in text and "mutual backup" not in text
-    assert report.certificate_ids(counts, native=False).first().certificate_id.startswith("dw2_")
+    row = full.select("certificate_id", report.document().alias("d")).first()
+    body = json.dumps(row.d.asDict(True), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert row.certificate_id == "dw2_" + hashlib.sha256(body.encode()).hexdigest()[:20] and f"**Certificate:** `{row.certificate_id}`" in text
+    assert [len(row.d[k]) for k in ("results", "sufficient_sets", "surplus", "backups")] == [3, 1, 1, 0]
+    assert [r.key for r in report.ci_outputs(counts).collect()][:2] == ["certificate_id", "contrast"] and report.ci_outputs(counts).count() == 8
     assert {r.key: r.value for r in report.ci_outputs(counts).collect()}["witness_ratio"] == "0.666667"
 
 
