@@ -3,16 +3,19 @@
 Records of pages with equal payloads of at least `LEAST` bytes are one response, that of the smallest page_id, and revisits that
 refer to it; smaller ones are all responses. Writing:
 1. Digests: SHA-256 and length of every payload (UTF-8 of html; null: empty) and, per repeated digest, the smallest page_id.
-2. Ranges: page ids are cut into at most `BINS` equal bins, whose bytes are summed (a table of bounded size on the driver).
-   Consecutive bins fill a shard up to `SHARD_BYTES`; a bin with more is cut into several shards by hash. So shards follow from
-   the rows alone, not from a sample or the number of tasks, and no shard holds more than a few rows above the target.
+2. Ranges: page ids are cut into at most `BINS` equal bins; a bin of more than 1 / `CELLS` of a shard is cut into 8, and so on down
+   to single ids. In the order of ids, a bin goes to the shard in which its first byte falls. A shard is `SHARD_BYTES`, or 1 /
+   `SHARDS` of all bytes if that is more, so that there are at most 8 CELLS SHARDS + BINS bins (a million). So shards are ranges of ids,
+   follow from the rows alone, not from a sample or the number of tasks, and none holds much more than the target; only the rows
+   of one id (or of none) that are more than that are dealt out by digest. Sums per top bin are all that comes to the driver.
 3. Writing: payloads move once, to their shard, where rows with their digest's first page come right before them. A task sorts
    the shard's records by page_id, digest and url, compresses each as a gzip member without a time stamp,
    starts a new file when `FILE_BYTES` compressed bytes are reached, and regenerates all headers, lengths, digests and record ids.
-   Files get a temporary name that is unique to the attempt.
+   Files get a temporary name that is unique to the attempt, in a folder of their own.
 4. Commit: the rows the tasks return (shard, number, temporary name, sizes, SHA-256) are committed by Spark as a manifest table,
-   which takes one attempt per task; then its files are renamed to their final names, and `MANIFEST.json` is put in place last,
-   itself by renaming. Readers take only files the manifest lists.
+   which takes one attempt per task; tasks then rename its files to their final names, the folder with what failed attempts left
+   goes, and `MANIFEST.json`, which has the totals, is put in place last, itself by renaming. Readers take only files the manifest
+   lists. A committed archive is never written again; what a run that broke off has left is removed by the next.
 
 Rows with a null page_id sort first and are written without an id; they refer to the response by digest. A payload that only
 occurs under null ids has as response one record per row (no smallest id exists). Repeated page_ids: every row gets a record;
@@ -23,6 +26,7 @@ empty. Empty tables give an archive with a manifest and no file. Further columns
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import json
 import uuid
@@ -31,13 +35,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import scratch, table
+from .common import Workspace, remove, scratch, table, tidy
 
 LEAST = 100
 BINS = 4096
 SHARD_BYTES = 48 << 20
+SHARDS, CELLS = 1 << 14, 8
+#: Tasks that read.
+READERS = 100_000
 FILE_BYTES = 16 << 20
 LEVEL = 4
 #: Bytes that are handed to a decompressor at once.
@@ -114,69 +121,102 @@ def _digests(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("bigint").alias("n"))
 
 
-def _shards(pages: DataFrame) -> tuple[list[tuple[int, int, int]], int, int, int]:
-    """(first bin, first shard, number of shards) of each run of bins; the lowest id, the ids per bin, the number of shards."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // BINS + 1
-    at = F.expr(f"coalesce((page_id - {low}L) div {width}L, 0L)")
-    sums = pages.groupBy(at.alias("bin")).agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 400).alias("bytes")).orderBy("bin").collect()  # BINS rows at most
-    runs, shard, room = [], -1, 0
-    for b, n in sums:
-        if n > SHARD_BYTES:
-            k = -(-n // SHARD_BYTES)
-            runs.append((b, shard + 1, k))
-            shard, room = shard + k, 0
-        elif n > room:
-            shard, room = shard + 1, SHARD_BYTES - n
-            runs.append((b, shard, 1))
-        else:
-            room -= n
-    return runs, low, width, shard + 1
-
+def _cell(level: int, low: int) -> Column:
+    return F.expr(f"(page_id - {low}L) div {8**level}L")
+
+
+def _shards(rows: DataFrame, space: Workspace) -> tuple[DataFrame, int]:
+    """rows (page_id, digest, n and others) with their shard, and the number of shards."""
+    slim = space.stored(rows.select("page_id", (F.col("n") + 400).alias("bytes")), "sizes")
+    low, high, total = slim.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+    low, high, total = low or 0, high or 0, total or 0
+    size = max(SHARD_BYTES, -(-total // SHARDS))
+    top = 0
+    while (high - low) >> (3 * top) >= BINS:
+        top += 1
+    levels, level, inside = [], top, slim.filter("page_id is not null")
+    while True:
+        sums = space.stored(inside.groupBy(_cell(level, low).alias("cell")).agg(F.sum("bytes").alias("bytes")), "cells")
+        large = sums.filter(F.col("bytes") > size // CELLS) if level else sums.limit(0)
+        levels.append((level, sums.join(large.select("cell"), "cell", "left_anti")))
+        if not large.limit(1).count():
+            break
+        inside = inside.join(large.select("cell"), _cell(level, low) == F.col("cell"), "left_semi")
+        level -= 1
+    cells = [x.select(F.lit(k).alias("level"), "cell", "bytes", F.expr(f"cell div {8 ** (top - k)}L").alias("bin"), (F.col("cell") * 8**k).alias("at")) for k, x in levels]
+    cells = space.stored(functools.reduce(DataFrame.union, cells), "cells")
+    bare = slim.filter("page_id is null").agg(F.sum("bytes")).first()[0] or 0  # they come first
+    before, starts = bare, {}
+    for bin_, n in cells.groupBy("bin").agg(F.sum("bytes").alias("n")).orderBy("bin").collect():  # BINS rows at most
+        starts[bin_], before = before, before + n
+    base = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.expr("cast(map() as map<bigint,bigint>)")
+    within = F.sum("bytes").over(Window.partitionBy("bin").orderBy("at")) - F.col("bytes")
+    placed = cells.withColumn("first", F.floor((F.try_element_at(base, "bin") + within) / size).cast("int"))
+    # a million rows at most, 16 MB; ids with more than a shard's bytes (whole ones, so cells of level 0) are dealt out over as many shards
+    placed = space.stored(placed.select("level", "cell", "first", F.ceil(F.col("bytes") / size).cast("int").alias("pieces")), "placed")
+    first, pieces = F.lit(0), F.lit(max(1, -(-bare // size)))
+    for k, _ in levels:
+        at = placed.filter(F.col("level") == k).select(F.col("cell").alias(f"_cell{k}"), F.struct("first", "pieces").alias(f"_at{k}"))
+        rows = rows.join(F.broadcast(at), _cell(k, low) == F.col(f"_cell{k}"), "left")
+        first, pieces = F.coalesce(F.col(f"_at{k}.first"), first), F.coalesce(F.col(f"_at{k}.pieces"), pieces)
+    dealt = F.pmod(F.xxhash64("digest"), pieces).cast("int")
+    rows = rows.withColumn("shard", F.least(first + F.when(pieces > 1, dealt).otherwise(F.lit(0)), F.lit(total // size))).drop(*[f"_{c}{k}" for k, _ in levels for c in ("cell", "at")])
+    return rows, total // size + 1
+
+
+def repeated(rows: DataFrame, space: Workspace) -> DataFrame:
+    """page_id, digest, shard, first: for rows of payloads that occur more than once, the smallest page_id with the payload.
+
+    Without the payloads, so only digests move; a hot payload is summed within each task before it does, and the table of firsts is
+    written before it is joined, so that Spark can deal out the rows of a hot digest."""
+    rows = rows.filter(F.col("n") >= LEAST).select("page_id", "digest", "shard")
+    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    firsts = space.stored(firsts.filter("copies > 1 and first is not null").select("digest", "first"), "firsts")
+    return rows.join(firsts, "digest").select("page_id", "digest", "shard", "first")
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """page_id, digest, first: for rows of payloads that occur more than once, the smallest page_id with the payload.
 
-    Without the payloads, so only digests move; a hot payload is summed within each task before it does."""
-    rows = rows.filter(F.col("n") >= LEAST).select("page_id", "digest")
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    return rows.join(firsts.filter("copies > 1 and first is not null").select("digest", "first"), "digest").select("page_id", "digest", "first")
+FILES = "shard int, number int, temporary string, name string, records bigint, raw_bytes bigint, bytes bigint, sha256 string"
 
 
 def write_warc(pages: DataFrame, directory: str) -> DataFrame:
     """Writes the archive into directory (a URI whose file system executors reach) and returns the manifest's rows."""
     spark = pages.sparkSession
-    pages = pages.select("page_id", "url", "html")
-    runs, low, width, n_shards = _shards(pages)
-    rows = _digests(pages)
-    starts, shards, counts = (F.array(*map(F.lit, x)) for x in (zip(*runs) if runs else ([0], [0], [1])))
-    at = F.expr(f"coalesce((page_id - {low}L) div {width}L, 0L)")
-    run_ = F.size(F.filter(starts, lambda s: s <= at))
-    hashed = F.pmod(F.xxhash64("page_id", "digest"), F.element_at(counts, run_))
-    shard = (F.element_at(shards, run_) + hashed).cast("int").alias("shard")
-    # the rows of repeated payloads come once more, without payload, right before the pages they speak of: so pages move once
-    told = repeated(rows).select(shard, "page_id", "digest", F.lit(0).alias("what"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
-    told = told.distinct().union(rows.select(shard, "page_id", "digest", F.lit(1), "url", "html", F.lit(None).cast("bigint")))
-    rows = told.repartitionById(max(1, n_shards), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "what", "url")
-    schema = "shard int, number int, temporary string, name string, records bigint, raw_bytes bigint, bytes bigint, sha256 string"
-    manifest = rows.mapInArrow(_writer(directory), schema)
-    manifest.write.parquet(f"{directory}/_manifest")
-    done = spark.read.schema(schema).parquet(f"{directory}/_manifest")
-    listed = done.orderBy("shard", "number").collect()  # a row per file of FILE_BYTES
     store, root = fs.FileSystem.from_uri(directory)
-    for r in listed:
-        store.move(f"{root}/{r['temporary']}", f"{root}/{r['name']}")
+    if store.get_file_info(f"{root}/MANIFEST.json").type != fs.FileType.NotFound:
+        raise FileExistsError(f"{directory} holds an archive")
+    remove(spark, directory)
+    space = Workspace(spark, "warc")
+    rows, n_shards = _shards(_digests(pages.select("page_id", "url", "html")), space)
+    # the rows of repeated payloads come once more, without payload, right before the pages they speak of: so pages move once
+    told = repeated(rows, space).select("shard", "page_id", "digest", F.lit(0).alias("what"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
+    told = told.distinct().union(rows.select("shard", "page_id", "digest", F.lit(1), "url", "html", F.lit(None).cast("bigint")))
+    rows = told.repartitionById(n_shards, "shard")
+    rows = rows.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "what", "url")
+    rows.mapInArrow(tidy(_writer(directory)), FILES).write.parquet(f"{directory}/_manifest")
+    done = spark.read.schema(FILES).parquet(f"{directory}/_manifest")
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, base = fs.FileSystem.from_uri(directory)
+        for batch in batches:
+            for old, new in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if at.get_file_info(f"{base}/{new}").type == fs.FileType.NotFound:  # else an earlier attempt has done it
+                    at.move(f"{base}/{old}", f"{base}/{new}")
+            yield batch
+
+    moved = done.select("temporary", "name", "records", "bytes").mapInArrow(rename, "temporary string, name string, records bigint, bytes bigint")
+    files, records, size = moved.agg(F.count("*"), F.sum("records"), F.sum("bytes")).first()
+    remove(spark, f"{directory}/_temporary")
     with store.open_output_stream(f"{root}/_MANIFEST.json.part") as f:
-        f.write(json.dumps({"files": [{k: r[k] for k in ("name", "records", "raw_bytes", "bytes", "sha256")} for r in listed]}, indent=1).encode())
+        f.write(json.dumps({"table": "_manifest", "files": files, "records": records or 0, "bytes": size or 0}, indent=1).encode())
     store.move(f"{root}/_MANIFEST.json.part", f"{root}/MANIFEST.json")
+    space.clear()
     return done.drop("temporary")
 
 
 def _writer(directory: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(directory)
-        store.create_dir(root, recursive=True)
+        store.create_dir(f"{root}/_temporary", recursive=True)
         attempt, done = uuid.uuid4().hex, []
         out = name = None
         shard = number = -1
@@ -206,7 +246,7 @@ def _writer(directory: str):
                 if to != shard or out is None or out[3] + len(member) > FILE_BYTES:
                     close()
                     number = number + 1 if to == shard else 0
-                    shard, name = to, f"_temporary-{to:05d}-{number:05d}-{attempt}"
+                    shard, name = to, f"_temporary/{to:05d}-{number:05d}-{attempt}"
                     out = [store.open_output_stream(f"{root}/{name}"), 0, 0, 0, hashlib.sha256()]
                 out[0].write(member)
                 out[4].update(member)
@@ -223,19 +263,22 @@ def read_warc(spark: SparkSession, directory: str, payloads: bool = False) -> Da
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, recomputed from the stored bytes of
     responses; revisits have their response's length and digest. payloads: with the block as column payload.
 
-    Spark reads the files, whole ones of FILE_BYTES at most."""
+    The manifest table is dealt out by file, and a task reads its files one at a time, whole ones of FILE_BYTES at most."""
     store, root = fs.FileSystem.from_uri(directory)
     with store.open_input_stream(f"{root}/MANIFEST.json") as f:
-        listed = [x["name"] for x in json.loads(f.read())["files"]]
+        listed = json.loads(f.read())
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
-    if not listed:
-        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, base = fs.FileSystem.from_uri(directory)
         for batch in batches:
-            for content in batch.column(0):
+            for name, digest_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with at.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    content = f.read()
+                if hashlib.sha256(content).hexdigest() != digest_:
+                    raise ValueError(f"{name} doesn't match the manifest")
                 rows = []
-                for headers, block in records_of(content.as_py()):
+                for headers, block in records_of(content):
                     whole = headers["warc-type"] == "response"
                     digest = hashlib.sha256(block).hexdigest() if whole else headers["warc-payload-digest"].removeprefix("sha256:")
                     if whole and headers["warc-payload-digest"] != f"sha256:{digest}":
@@ -246,8 +289,8 @@ def read_warc(spark: SparkSession, directory: str, payloads: bool = False) -> Da
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 5 + payloads]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    files = spark.read.format("binaryFile").load([f"{directory}/{n}" for n in listed]).select("content")
-    return files.mapInArrow(run, schema)
+    files = spark.read.schema(FILES).parquet(f"{directory}/{listed['table']}").select("name", "sha256")
+    return files.repartition(min(max(1, listed["files"]), READERS), "name").mapInArrow(tidy(run), schema)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

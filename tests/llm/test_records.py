@@ -43,6 +43,8 @@ def test_warc_round_trip(spark, monkeypatch):
         assert len(data) == r["bytes"] and hashlib.sha256(data).hexdigest() == r["sha256"] and len(gzip.decompress(data)) == r["raw_bytes"]
         assert r["records"] == len(list(warc.records_of(data)))
     assert not [n for n in os.listdir(folder) if n.startswith("_temporary")]
+    with pytest.raises(FileExistsError):
+        warc.write_warc(lines(spark, rows), where)
     back = warc.read_warc(spark, where, payloads=True).collect()
     assert len(back) == len(rows)
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
@@ -68,6 +70,31 @@ def test_warc_round_trip(spark, monkeypatch):
             assert a.read() == b.read()
 
 
+def test_warc_shards_are_ranges_of_ids(spark, monkeypatch):
+    """With an id far from all others, an id of many pages, a bin of many shards, and what a run that broke off has left."""
+    monkeypatch.setattr(warc, "SHARD_BYTES", 30_000)
+    text = lambda i: f"page {i} " * (40 + i % 60)
+    rows = [(i, "u", text(i)) for i in range(600)] + [(1 << 50, "far", text(1)), *[(300, f"v{i}", text(1000 + i)) for i in range(200)], *[(None, "w", text(3000 + i)) for i in range(200)]]
+    where = common.scratch(spark, "t-warc")
+    folder = where.removeprefix("file://")
+    os.makedirs(f"{folder}/_temporary")
+    for name in ("_temporary/x", "part-00000-00000.warc.gz"):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write("left over")
+    manifest = warc.write_warc(lines(spark, rows), where).orderBy("name").collect()
+    assert len(warc.read_warc(spark, where).collect()) == len(rows)
+    ranges = {}
+    for r in manifest:
+        with open(f"{folder}/{r['name']}", "rb") as f:
+            ids = [int(h["x-page-id"]) if "x-page-id" in h else -1 for h, _ in warc.records_of(f.read())]
+        assert ids == sorted(ids)
+        ranges.setdefault(r["shard"], []).extend(ids)
+        assert r["raw_bytes"] <= 3 * warc.SHARD_BYTES
+    shards = [ranges[k] for k in sorted(ranges)]
+    assert len(shards) > 20 and sum(300 in s for s in shards) > 2 and sum(-1 in s for s in shards) > 2
+    assert all(max(a) <= min(b) for a, b in zip(shards, shards[1:]))
+
+
 def test_warc_notices_damage(spark):
     data = bytearray(warc.packed(warc.record("response", "u", 1, hashlib.sha256(b"x" * 200).hexdigest(), b"x" * 200, None)))
     assert len(list(warc.records_of(bytes(data)))) == 1
