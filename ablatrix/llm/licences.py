@@ -74,11 +74,10 @@ class LicenceScanner:
         words = {n: words_of(templates[n]) for n in self.names}
         self.ids = {w: i for i, w in enumerate(sorted({w for x in words.values() for w in x}), 1)}
         bigrams = {n: Counter(zip(x, x[1:])) for n, x in words.items()}
-        known = sorted({g for c in bigrams.values() for g in c})
-        self.places = np.full((len(self.ids) + 1) ** 2, -1, np.int32)
         self.width = len(self.ids) + 1
-        for i, (a, b) in enumerate(known):
-            self.places[self.ids[a] * self.width + self.ids[b]] = i
+        code = lambda g: self.ids[g[0]] * self.width + self.ids[g[1]]
+        known = sorted({g for c in bigrams.values() for g in c}, key=code)
+        self.codes = np.array([code(g) for g in known], np.int64)  # grows with the templates' bigrams, not with the square of their words
         self.counts = np.zeros((len(self.names), len(known)), np.int32)
         for k, n in enumerate(self.names):
             for i, g in enumerate(known):
@@ -89,9 +88,13 @@ class LicenceScanner:
         """The licences of one text, in order of their starts."""
         get = self.ids.get
         ids = np.array([get(w, 0) for w in words_of(text)], np.int64)
-        if len(ids) < 2:
+        if len(ids) < 2 or not len(self.codes):
             return []
-        grams = self.places[ids[:-1] * self.width + ids[1:]]  # pairs with word 0 are in no template
+        grams = np.full(len(ids) - 1, -1)
+        some = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))  # pairs with word 0 are in no template
+        codes = ids[some] * self.width + ids[some + 1]
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        grams[some] = np.where(self.codes[place] == codes, place, -1)
         at = np.flatnonzero(grams >= 0)
         if not len(at):
             return []

@@ -69,6 +69,15 @@ def test_notices_in_running_text():
     assert scanner.scan("the rights of all are reserved under the law") == []
 
 
+def test_many_words_and_none():
+    assert licences.LicenceScanner({}).scan("all rights reserved") == []
+    templates = {f"t{k}": " ".join(f"w{k}x{i}" for i in range(60)) for k in range(200)}
+    scanner = licences.LicenceScanner(templates)
+    assert len(scanner.codes) == 200 * 59  # a table over all pairs of their words would take 576 MB
+    (m,) = scanner.scan(f"Before. {templates['t7']} w3x1 w9x2 after")
+    assert (m.template, m.start, m.dice) == ("t7", 8, 1.0)
+
+
 def test_odd_rows(spark):
     rows = licences.scan_licences(odd_documents(spark)).collect()
     assert len(rows) == len(TEXTS) + 4 and not any(r.licences for r in rows)
