@@ -89,3 +89,31 @@ def test_init_and_suggest(repo, capsys):
     assert capsys.readouterr().out.split("\n")[:2] == ["python -m pytest -q", "go test ./..."]
     with pytest.raises(ValueError):
         Command(str(repo), "x", shared=("../up",))
+
+
+def test_options_and_settings(repo, capsys):
+    given = "prove --config x.toml --share cache --share deps --include-test-changes --certificate c.json --no-github-actions --no-test-overlay --test-glob t/*"
+    a = cli.parser().parse_args(given.split())
+    assert (a.settings, a.shared_path, a.include_tests, str(a.json), a.ci, a.test_overlay, a.test_glob) == ("x.toml", ["cache", "deps"], True, "c.json", False, False, ["t/*"])
+    assert cli.parser().parse_args(["prove"]).ci is None
+    with pytest.raises(SystemExit) as end:
+        cli.main(["--version"])
+    assert end.value.code == 0 and capsys.readouterr().out.startswith("ablatrix ")
+    commit(repo, {"readme": ""}, "base")
+    assert cli.main(["suggest", "--repo", str(repo)]) == 1 and "no usual" in capsys.readouterr().out
+
+
+def test_prove_reads_lists_of_settings(spark, repo, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "_save", lambda path, text: None)
+    seen = {}
+
+    def analyze_(spark_, command, base, candidate, config, parallel):
+        seen.update(globs=config.test_globs, shared=command.shared)
+        raise ValueError("enough")
+
+    monkeypatch.setattr("ablatrix.plans.analyze.analyze", analyze_)
+    for key in ("share", "shared_paths"):
+        commit(repo, {"cache/x": "", ".evidence.toml": f'[evidence]\ntest = "true"\ntest_glob{"s" * (key != "share")} = ["t/*"]\n{key} = ["cache"]\n'}, key)
+        assert cli.main(["prove", "--repo", str(repo)]) == 2 and "enough" in capsys.readouterr().err
+        assert (list(seen["globs"]), list(seen["shared"])) == (["t/*"], ["cache"])
+        seen.clear()
