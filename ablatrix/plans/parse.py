@@ -6,11 +6,9 @@ end at all of Unicode's line ends, and unquoted paths with spaces are cut at the
 
 from __future__ import annotations
 
-import shlex
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_test_path, matches_any
 
@@ -20,22 +18,24 @@ BINARY = ("GIT binary patch", "Binary files ")
 LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 RANGE = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 
+# A shell's words: plain runs, escaped characters, double and single quotes. Possessive, so that long lines need no stack.
+PIECE = r"""\\.|"(?:[^"\\]++|\\.)*+"|'[^']*+'"""
+WORD = rf"(?s)(?:[^ \t\r\n\"'\\]++|{PIECE})++"
+WHOLE = rf"(?s)\A(?:[^\"'\\]++|{PIECE})*+\z"
+BLANKS = r"[\s\x1c-\x1f]+"
 
-@F.pandas_udf(T.StructType([T.StructField("old_path", T.StringType()), T.StructField("path", T.StringType())]))
-def _quoted_paths(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Paths of first lines that hold quotes or backslashes, which need a shell's tokenizer."""
 
-    def one(line: str | None) -> tuple[str | None, str]:
-        try:
-            tokens = shlex.split((line or "").strip())
-        except ValueError:
-            tokens = (line or "").split()
-        if len(tokens) < 4:
-            return None, "<unknown>"
-        return tokens[2].removeprefix("a/"), tokens[3].removeprefix("b/")
+def _words(line: Column) -> Column:
+    """The words of a first line as a shell reads them; split at blanks where quotes or escapes stay open."""
 
-    for part in lines:
-        yield pd.DataFrame([one(x) for x in part], columns=["old_path", "path"], dtype="object")
+    def piece(x: Column) -> Column:
+        inner = F.substring(x, F.lit(2), F.length(x) - 2)
+        double = F.regexp_replace(inner, r"(?s)\\([\"\\])", "$1")
+        return F.when(x.startswith('"'), double).when(x.startswith("'"), inner).when(x.startswith("\\"), F.substring(x, 2, 1)).otherwise(x)
+
+    pieces = lambda w: F.transform(F.regexp_extract_all(w, F.lit(rf"(?s)[^\"'\\]++|{PIECE}"), 0), piece)
+    read = lambda w: F.when(w.rlike(r"""["'\\]"""), F.array_join(pieces(w), "")).otherwise(w)
+    return F.when(line.rlike(WHOLE), F.transform(F.regexp_extract_all(line, F.lit(WORD), 0), read)).otherwise(F.split(line, f"(?U){BLANKS}"))
 
 
 def _any_of(block: Column, markers: Iterable[str]) -> Column:
@@ -50,50 +50,47 @@ def file_patches(patches: DataFrame, test_globs: Iterable[str] = ()) -> DataFram
 
     A null or blank diff has no files. What stands before the first file is dropped."""
     blocks = F.filter(F.split(F.coalesce("diff_text", F.lit("")), "(?md)(?=^diff --git )"), lambda b: b.startswith("diff --git "))
-    files = patches.select("patch_id", F.posexplode(blocks).alias("file_ord", "raw"))
-    files = files.withColumn("_lines", F.filter(F.split("raw", LINE_END), lambda x: x != ""))
+    # Generators hold what is read often, so that lines and words are made once.
+    lines = lambda b: F.filter(F.split(b, LINE_END), lambda x: x != "")
+    files = patches.select("patch_id", F.posexplode(F.transform(blocks, lambda b: F.struct(b.alias("raw"), lines(b).alias("lines")))).alias("file_ord", "_file"))
+    files = files.select("patch_id", "file_ord", F.col("_file.raw").alias("raw"), F.col("_file.lines").alias("_lines"))
     files = files.withColumn("_starts", F.filter(F.transform("_lines", lambda x, i: F.when(x.startswith("@@ "), i)), lambda i: i.isNotNull()))
     n = F.size("_lines")
     first = F.when(F.size("_starts") > 0, F.element_at("_starts", 1)).otherwise(n)
 
-    def hunk(start, i):
-        end = F.coalesce(F.get("_starts", i + 1), n)
-        lines = F.slice("_lines", start + 1, end - start)
+    def hunk(lines):
+        header = F.regexp_replace(F.element_at(lines, 1), r"\n+\z", "")
         count = lambda sign: F.size(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
-        return F.struct(
-            F.regexp_replace(F.element_at(lines, 1), r"\n+\z", "").alias("header"), F.array_join(lines, "").alias("text"), count("+").alias("additions"), count("-").alias("deletions")
-        )
-
-    files = files.withColumn("_hunks", F.transform("_starts", hunk)).withColumn("header", F.array_join(F.slice("_lines", 1, first), ""))
-    ranges = {"old_start": (1, None), "old_count": (2, "1"), "new_start": (3, None), "new_count": (4, "1")}
+        numbers = F.split(F.regexp_replace(F.regexp_extract(header, RANGE, 0), RANGE, "$1,$2,$3,$4"), ",")
+        return F.struct(header.alias("header"), F.array_join(lines, "").alias("text"), count("+").alias("additions"), count("-").alias("deletions"), numbers.alias("numbers"))
 
     def ranged(h):
-        numbers = []
-        for name, (group, missing) in ranges.items():
-            text = F.nullif(F.regexp_extract(h["header"], RANGE, group), F.lit(""))
-            number = text.try_cast("int")
-            number = F.coalesce(number, F.lit(int(missing))) if missing else number
-            numbers.append(F.when(h["header"].rlike(RANGE), number).alias(name))
-        return F.struct(h["header"].alias("header"), h["text"].alias("text"), h["additions"].alias("additions"), h["deletions"].alias("deletions"), *numbers)
-
-    files = files.withColumn("hunks", F.transform("_hunks", ranged))
-    line = F.trim(F.element_at("_lines", 1))
-    tokens = F.split(F.regexp_replace(F.element_at("_lines", 1), r"^\s+|\s+\z", ""), r"\s+")
-    plain = F.when(F.size(tokens) >= 4, F.struct(F.regexp_replace(F.get(tokens, F.lit(2)), "^a/", "").alias("old_path"), F.regexp_replace(F.get(tokens, F.lit(3)), "^b/", "").alias("path")))
-    plain = F.coalesce(plain, F.struct(F.lit(None).cast("string").alias("old_path"), F.lit("<unknown>").alias("path")))
-    files = files.withColumn("_paths", F.when(line.rlike(r"""["'\\]"""), _quoted_paths(F.element_at("_lines", 1))).otherwise(plain))
+        number = lambda i: F.get(h["numbers"], F.lit(i))
+        count = lambda i: F.when(number(i) == "", F.lit(1)).otherwise(F.coalesce(number(i).try_cast("int"), F.when(number(i).isNotNull(), F.lit(1))))
+        return F.struct(
+            *[h[f].alias(f) for f in ("header", "text", "additions", "deletions")],
+            number(0).try_cast("int").alias("old_start"), count(1).alias("old_count"), number(2).try_cast("int").alias("new_start"), count(3).alias("new_count"),
+        )
+
+    parts = F.transform("_starts", lambda start, i: F.slice("_lines", start + 1, F.coalesce(F.get("_starts", i + 1), n) - start))
+    files = files.withColumn("hunks", F.transform(F.transform(parts, hunk), ranged)).withColumn("header", F.array_join(F.slice("_lines", 1, first), ""))
+    line = F.regexp_replace(F.element_at("_lines", 1), rf"(?U){BLANKS}\z|\A{BLANKS}", "")
+    words = files.withColumn("_words", F.explode(F.array(_words(line))))
+    whole = F.size("_words") >= 4
+    old_path, path = (F.regexp_replace(F.get("_words", F.lit(i)), f"^{side}/", "") for i, side in ((2, "a"), (3, "b")))
+    files = words.withColumn("old_path", F.when(whole, old_path)).withColumn("path", F.when(whole, path).otherwise("<unknown>"))
     raw = F.col("raw")
     return files.select(
         "patch_id",
         "file_ord",
-        F.col("_paths.path").alias("path"),
-        F.col("_paths.old_path").alias("old_path"),
+        "path",
+        "old_path",
         "raw",
         "header",
         "hunks",
         (_any_of(raw, STRUCTURAL) | (F.size("hunks") == 0)).alias("structural"),
         _any_of(raw, BINARY).alias("binary"),
-        is_test_path(F.col("_paths.path"), test_globs).alias("is_test"),
+        is_test_path(F.col("path"), test_globs).alias("is_test"),
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+import shlex
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,24 @@ def test_odd_first_lines(spark):
     assert (h.old_start, h.new_count, h.additions) == (None, None, 2)
 
 
+def test_first_lines_read_like_a_shells(spark):
+    def plain(line):
+        try:
+            words = shlex.split(line.strip())
+        except ValueError:
+            words = line.split()
+        return (words[2].removeprefix("a/"), words[3].removeprefix("b/")) if len(words) >= 4 else (None, "<unknown>")
+
+    rng = random.Random(8)
+    lines = ["diff --git " + " ".join(side + "".join(rng.choice("ab/\"'\\ \t\u00a0\u3000é😀") for _ in range(rng.randint(0, 7))) for side in ("a/", "b/")) for _ in range(600)]
+    lines += ['diff --git "a/x\\"y\\\\z\\n" \'b/q"\\\'', "diff --git '' \"\"", "diff --git a/x b/x\u00a0\x85", 'diff --git "a/' + "x\\\\y" * 60_000 + '" b/' + "\\ z" * 60_000]
+    df = spark.createDataFrame(list(enumerate(lines)), "patch_id bigint, diff_text string")
+    files = parse.file_patches(df)
+    assert "ArrowEvalPython" not in files._jdf.queryExecution().toString()
+    found = {r.patch_id: (r.old_path, r.path) for r in files.filter("file_ord = 0").select("patch_id", "old_path", "path").collect()}
+    assert [found[i] for i in range(len(lines))] == [plain(x) for x in lines]
+
+
 def test_lines_end_like_pythons(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab\n\r\x0b\x0c\x1c\x1d\x1e\x85   ") for _ in range(rng.randint(0, 30))) for _ in range(300)]
