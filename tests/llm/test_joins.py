@@ -78,6 +78,40 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, most):
     assert len(set(want)) < len(texts) - 20
 
 
+def all_links(sets, weights):
+    """Pairs of sets, as positions, whose weighted Jaccard similarity reaches the threshold: each set against all before it, by postings."""
+    n, sizes = len(sets), np.array([len(u) for u, _ in sets])
+    owner, counts = np.repeat(np.arange(n), sizes), np.concatenate([c for _, c in sets]).astype(float)
+    keys, at = np.unique(np.concatenate([u for u, _ in sets]), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    starts, ends = np.searchsorted(at[order], np.arange(len(keys) + 1)), np.cumsum(sizes)
+    total, weight, links = np.bincount(owner, counts * weights[at], n), weights[at], []
+    for j in range(n):
+        mine = slice(ends[j] - sizes[j], ends[j])
+        posts = [order[starts[k] : starts[k + 1]] for k in at[mine]]
+        if posts:
+            repeat = [len(p) for p in posts]
+            other = np.concatenate(posts)
+            shared = np.bincount(owner[other], np.minimum(counts[other], np.repeat(counts[mine], repeat)) * np.repeat(weight[mine], repeat), n)[:j]
+            links += [(i, j) for i in np.flatnonzero(shared >= near_dup.SIMILARITY * (total[:j] + total[j] - shared) - 1e-9)]
+    return links
+
+
+def test_near_duplicates_recall_on_tables(spark):
+    """Against all pairs of different texts of sf0.1, with the operator's own weights and with none."""
+    folder = os.path.join(os.path.dirname(DATA), "sf0.1")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    class_of = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    idf, ids = near_dup.inverse_document_frequencies(docs), {r.text or "": r.doc_id for r in docs.collect()}
+    sets, ids = list(near_dup.shingle_sets(list(ids))), list(ids.values())
+    keys = np.unique(np.concatenate([u for u, _ in sets]))
+    for weights, least in ((np.asarray(idf(keys), float), 0.99), (np.ones(len(keys)), 0.95)):
+        links = all_links(sets, weights)
+        assert len(links) > 50 and sum(class_of[ids[i]] == class_of[ids[j]] for i, j in links) >= least * len(links)
+
+
 def test_pairs_by_differences_lose_none(spark, monkeypatch):
     """A large group of edited copies without their origin: every similar pair of it that shares a band is found."""
     monkeypatch.setattr(near_dup, "HUBS", 1)
