@@ -1,2 +1,2 @@
 """Training-data operators: media columns, near-duplicates, personal data, licences, WARC, toxicity, BPE,
-secrets, nearest neighbours and source mixing. Nothing outside this subpackage imports it."""
+secrets, nearest neighbours, source mixing, vector codes, clusters and near-duplicates of vectors. Nothing outside this subpackage imports it."""

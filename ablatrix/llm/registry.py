@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, licences, media, mixing, near_dup, pii, secret_scan, toxicity, warc
+from . import ann, bpe, clusters, licences, media, mixing, near_dup, pii, secret_scan, toxicity, vector_codes, vector_dups, warc
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,5 +15,10 @@ QUERIES = {
     "op8_secrets": secret_scan.op8_secrets,
     "op9_neighbours": ann.op9_neighbours,
     "op10_mixing": mixing.op10_mixing,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_clusters": clusters.op12_clusters,
+    "op13_vector_dups": vector_dups.op13_vector_dups,
 }
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.ORACLE, "op10_mixing": mixing.oracle(), "op11_vector_codes": vector_codes.oracle(), "op12_clusters": clusters.oracle(), "op13_vector_dups": vector_dups.oracle(),
+}
