@@ -88,22 +88,28 @@ def rotated(x: np.ndarray, turn: int) -> np.ndarray:
     return x
 
 
+def encoded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors: the code's bits, and the rows that Bucket reads: the bits packed, beyond BITS the signs of the rotated vector,
+    its 8-bit steps, f and the step."""
+    first = rotated(x, 0)
+    turns = [first, *(rotated(x, t) for t in range(1, -(-BITS // first.shape[1])))]
+    bits = np.concatenate([t > 0 for t in turns], axis=1)[:, :BITS]
+    f = np.abs(first).sum(axis=1) / math.sqrt(first.shape[1])
+    step = np.abs(first).max(axis=1) / 127
+    eighth = np.rint(first / step[:, None]).astype(np.int8).view(np.uint8)
+    signs = (first > 0).view(np.uint8)[:, : first.shape[1] if first.shape[1] > BITS else 0]
+    return bits, np.concatenate([np.packbits(bits, axis=1), signs, eighth, np.stack([f, step], axis=1).astype("f4").view(np.uint8)], axis=1)
+
+
 def codes(nodes: DataFrame, plan: Plan, kind: str) -> DataFrame:
-    """node, n, size, keys (of the bands) and code (the signs, the vector in 8-bit steps, f and the step, as bytes) of nodes."""
+    """node, n, size, keys (of the bands) and code of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(2).to_numpy()
             for size in np.unique(sizes).tolist():
                 part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                x = units(part.column(3).to_pylist(), size, kind)
-                first = rotated(x, 0)
-                turns = [first, *(rotated(x, t) for t in range(1, -(-BITS // width(size))))]
-                bits = np.concatenate([t > 0 for t in turns], axis=1)[:, :BITS]
-                f = np.abs(first).sum(axis=1) / math.sqrt(first.shape[1])
-                step = np.abs(first).max(axis=1) / 127
-                eighth = np.rint(first / step[:, None]).astype(np.int8)
-                blobs = np.concatenate([np.packbits(bits, axis=1), (first > 0).view(np.uint8) if first.shape[1] > BITS else np.zeros((len(x), 0), np.uint8), eighth.view(np.uint8), np.stack([f, step], axis=1).astype("f4").view(np.uint8)], axis=1)
+                bits, blobs = encoded(units(part.column(3).to_pylist(), size, kind))
                 keys = bits[:, plan.at].astype(np.int64) @ (1 << np.arange(plan.bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(list(keys), pa.list_(pa.int64())), pa.array([b.tobytes() for b in blobs], pa.binary())], names=["node", "n", "size", "keys", "code"])
 
