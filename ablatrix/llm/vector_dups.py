@@ -10,9 +10,9 @@
    unbiased. Of a pair of the asked similarity the part of y across x has a length of sin(angle) at most, so its estimate stays within
    `SURE` deviations of that length below. Pairs below this bound in one of both directions go; all others are computed again on the
    vectors in double precision. A pair is looked at only in the first band that it shares.
-5. Buckets of more than `BIG` nodes are cut into parts by hash, and each two parts meet in a task of their own. There vectors
-   come along, and tasks hand on each node's number of links and a spanning forest instead of pairs: a large group that is loose, so
-   that it isn't one node, costs comparisons, but no row per pair.
+5. To buckets of more than `WIDE` nodes the vectors come along, and tasks hand on each node's number of links and a spanning forest
+   instead of pairs. Of more than `BIG` nodes, they are cut into parts by hash, and each two parts meet in a task of their own. So a
+   large group of different vectors that are all linked costs comparisons, which its links can't be counted without, but no row a pair.
 6. Components of the links come from hooking and pointer jumping.
 
 Every row of the table is a vector of its own: rows with equal or null ids and repeated rows link if their vectors do. Vectors that are
@@ -35,7 +35,7 @@ from .near_dup import components
 from .vectors import floats, kind_of, mapped, whole_vectors, with_facts
 
 SIMILARITY = 0.95
-BITS, BUCKET, BIG, MISS = 512, 128, 2048, 1e-5
+BITS, BUCKET, WIDE, BIG, MISS = 512, 128, 256, 2048, 1e-5
 #: Standard deviations within which estimates are trusted.
 SURE = 5.0
 #: Least length of a rotated vector; shorter ones are padded.
@@ -165,7 +165,7 @@ def candidates(coded: DataFrame, nodes: DataFrame, plan: Plan, kind: str, space:
     """FOUND of all buckets."""
     rows = coded.select("size", F.posexplode("keys").alias("band", "key"), "node", "n", "code")
     counts = coded.select("size", F.posexplode("keys").alias("band", "key")).groupBy("size", "band", "key").count()
-    large = space.stored(counts.filter(F.col("count") > BIG).withColumn("parts", F.ceil(F.col("count") / BIG).cast("int")).drop("count"), "large")
+    large = space.stored(counts.filter(F.col("count") > WIDE).withColumn("parts", F.ceil(F.col("count") / BIG).cast("int")).drop("count"), "large")
     bucket = ["size", "band", "key"]
     some = large.limit(1).count() > 0
     small = rows.join(large, bucket, "left_anti") if some else rows
