@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions.text import is_test_path
-from .operators import evidence, reduce, report, search, stability
-from .plans import parse
-from .schema import STABLE_FAIL, STABLE_PASS
-from .sources import adapters, config
+from .operators import certificate, evidence, reduce, report, search, stability, variants
+from .plans import analyze, inverse, parse
+from .schema import APPLY_ERROR, STABLE_FAIL, STABLE_PASS
+from .sources import adapters, certificates, config
+from .sources.store import Store
 
 ORDER, BUDGET, PAIRS = 3, 20, 3
+#: Repetitions asked for; two are recorded.
+REPS = 3
+#: Hunks of a patch, and of a removal, of which outcomes are recorded.
+RECORDED, TOGETHER = 8, 3
 
 
 def _sets(spark, d):
@@ -108,22 +113,39 @@ def greedy_reduction(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("patch_id", F.size("removed_ids").alias("removed"), F.array_join("removed_ids", ",").alias("ids"))
 
 
+class _Green:
+    """What reports are made of: only patches whose candidate is stably green have one, and sufficient sets are searched only where the
+    baseline stably fails. Hunks are numbered for green patches alone, and hunks and searches are written once for all that read them."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        store = Store(spark)
+        self.sets = store.put(certificate.run_sets(adapters.runs(spark, d)), "sets")
+        self.classes = stability.patch_classes(self.sets).filter(F.col("candidate") == STABLE_PASS)
+        self.classes = store.put(self.classes, "classes")
+        self.results = store.put(adapters.mutation_results(spark, d, self.classes), "results")
+        fails = F.col("baseline").eqNullSafe(F.lit(STABLE_FAIL))
+        self.tried = store.put(_tried(self.results.join(self.classes.filter(fails), "patch_id", "left_semi")), "tried")
+        self.pairs = store.put(_pairs(self.results), "pairs")
+        self.patches = _patches(self.results).join(self.classes.select("patch_id", fails.alias("baseline_fails")), "patch_id")
+        self.summary = search.sufficient_summary(self.patches, self.tried, ORDER, BUDGET)
+
+
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    """Reports of the patches whose candidate is stably green; only where the baseline stably fails are sufficient sets searched."""
-    classes = stability.patch_classes(_sets(spark, d)).filter(F.col("candidate") == STABLE_PASS)
-    results = adapters.mutation_results(spark, d).join(classes.select("patch_id"), "patch_id", "left_semi")
-    fails = F.col("baseline").eqNullSafe(F.lit(STABLE_FAIL))
-    tried = _tried(results.join(classes.filter(fails).select("patch_id"), "patch_id", "left_semi"))
-    patches = _patches(results).join(classes.select("patch_id", fails.alias("baseline_fails")), "patch_id")
-    return report.reports(results, classes, search.sufficient_summary(patches, tried, ORDER, BUDGET), tried, _pairs(results))
+    g = _Green(spark, d)
+    return report.reports(g.results, g.classes, g.summary, g.tried, g.pairs)
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    g = _Green(spark, d)
+    return report.counts(g.results, g.classes, g.summary, g.tried, g.pairs)
 
 
 def report_summary(spark: SparkSession, d: str) -> DataFrame:
-    return report.report_counts(_reports(spark, d)).drop("certificate_id").withColumn("witness_ratio", F.round("witness_ratio", 6))
+    return _counts(spark, d).withColumn("witness_ratio", F.round("witness_ratio", 6))
 
 
 def gates(spark: SparkSession, d: str) -> DataFrame:
-    return report.gates(report.report_counts(_reports(spark, d)))
+    return report.gates(_counts(spark, d))
 
 
 def ci_outputs(spark: SparkSession, d: str) -> DataFrame:
@@ -176,21 +198,93 @@ def test_overlay(spark: SparkSession, d: str) -> DataFrame:
     return parse.test_overlay(parse.file_patches(adapters.patches(spark, d))).select("patch_id", F.length("overlay").cast("bigint").alias("chars"), F.sha2(F.col("overlay").cast("binary"), 256).alias("digest"))
 
 
-MARKERS = ((1, "package.json#test"), (1, "tests"), (1, "pyproject.toml"), (2, "go.mod"), (2, "build.gradle.kts"), (2, "build.gradle"), (3, "README"), (4, "Cargo.toml"), (4, "package.json#typecheck"), (4, "package.json#test"))
-SETTINGS = ((1, None, None), (2, None, 5), (3, 7, 5), (4, 0, None))
+def suggested_commands(spark: SparkSession, d: str) -> DataFrame:
+    return config.suggestions(adapters.markers(spark, d))
+
+
+def config_precedence(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.settings(spark, d).select("case_id", config.picked(F.col("given"), F.col("configured"), F.lit(2)).alias("value"))
 
 
-def _values(spark: SparkSession, rows, names: str) -> DataFrame:
-    text = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)} AS t({names})")
+def missing_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate, baseline and each hunk's ablation, three repetitions each, against the recorded runs."""
+    hunks = adapters.mutation_results(spark, d).select("patch_id", "mut_ord")
+    planned = variants.whole(hunks.select("patch_id").distinct()).union(variants.ablations(hunks))
+    rows = variants.missing(planned, adapters.runs(spark, d), REPS)
+    return rows.select(*variants.KEYS, F.array_join(F.transform("reps", lambda r: r.cast("string")), ",").alias("reps"))
 
 
-def suggested_commands(spark: SparkSession, d: str) -> DataFrame:
-    return config.suggestions(_values(spark, MARKERS, "repo, marker"))
+def greedy_recorded(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy reduction from recorded outcomes: of all sets of up to three of a patch's first eight hunks."""
+    results = adapters.mutation_results(spark, d)
+    few = results.filter(F.col("mut_ord") < RECORDED).select("patch_id", F.col("mut_ord").alias("idx"), F.least("n", F.lit(RECORDED)).alias("n"), F.struct("mut_ord", "weight").alias("unit"))
+    every = search.combinations(few, TOGETHER, RECORDED**TOGETHER)
+    outcomes = variants.combined(every, "greedy", F.when(adapters.member_total() % 3 != 0, STABLE_PASS).otherwise(STABLE_FAIL).alias("classification"))
+    rows = reduce.greedy_recorded(results, outcomes)
+    text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+    return rows.select("patch_id", text("removed").alias("ords"), F.array_join("removed_ids", ",").alias("ids"), text("missing").alias("missing"))
 
 
-def config_precedence(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, SETTINGS, "case_id, given, configured").select("case_id", config.picked(F.col("given"), F.col("configured"), F.lit(2)).alias("value"))
+def inverse_patches(spark: SparkSession, d: str) -> DataFrame:
+    """The diffs of patches() turned round."""
+    rows = inverse.inverse_patches(parse.file_patches(adapters.patches(spark, d)))
+    return rows.select("patch_id", F.length("inverse").cast("bigint").alias("chars"), F.sha2(F.col("inverse").cast("binary"), 256).alias("digest"))
+
+
+def patch_states(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each order's diff: hunks under lib/ and in tests are left out; of recorded runs, two timeouts count as a failure,
+    and every fifth patch's tests don't apply to its base."""
+    changes, runs = adapters.changes(spark, d), adapters.runs(spark, d)
+    counts = parse.ignored_counts(parse.file_patches(changes.select("patch_id", "diff_text")), ignore_globs=["lib/*"])
+    ends = stability.patch_classes(_sets(spark, d)).withColumns({"baseline": F.when(F.col("patch_id") % 5 == 0, APPLY_ERROR).otherwise(F.col("baseline")), "overlay_error": F.lit("patch does not apply")})
+    failures = runs.groupBy("patch_id").agg(F.count_if("timed_out").alias("late")).filter("late > 1").select("patch_id", F.lit("out of time").alias("failure"))
+    return analyze.states_of(changes.join(counts.select("patch_id", "mutations"), "patch_id", "left"), ends, failures)
+
+
+def production_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Sufficient sets where hunks of returned items are tests: they are analysed, but never searched."""
+    rows = adapters.mutation_results(spark, d).withColumn("path", F.when(F.col("flag") == "R", "tests/R.py").otherwise(F.col("path")))
+    w = Window.partitionBy("patch_id")
+    units = rows.filter(~is_test_path(F.col("path"))).withColumns({"idx": F.row_number().over(w.orderBy("mut_ord")) - 1, "n": F.count("*").over(w)})
+    units = units.select("patch_id", "idx", "n", F.struct("id", "label", "weight").alias("unit"))
+    tried = search.sufficient_search(units, search.computed(adapters.subset_class(adapters.member_total())), ORDER, BUDGET).filter("status is not null")
+    return tried.select("patch_id", "ord", "rank", "key", F.array_join("members.id", ",").alias("ids"), "status")
+
+
+def _certificates(spark: SparkSession, d: str) -> DataFrame:
+    """Whole reports (patch_id, certificate_id, report) of the green patches; ablations of a patch's first two hunks are recorded."""
+    g = _Green(spark, d)
+    text = lambda x: F.lit(x)
+    heads = g.classes.join(g.patches.select("patch_id"), "patch_id").select(
+        "patch_id", text("2026-01-01T00:00:00+00:00").alias("generated_at"), F.concat(text("repositories/"), F.col("patch_id")).alias("repo"), text("main").alias("base_ref"), F.sha1(F.concat(text("base"), F.col("patch_id"))).alias("base_sha"),
+        text("HEAD").alias("candidate_ref"), F.sha1(F.concat(text("candidate"), F.col("patch_id"))).alias("candidate_sha"), text("make test").alias("test_command"),
+        F.struct(F.lit(2).alias("stability_runs"), F.lit(ORDER).alias("max_subset_order"), F.lit(BUDGET).alias("max_subset_runs"), F.lit(PAIRS).alias("max_interaction_runs")).alias("config"), F.lit(0).alias("ignored"),
+        F.array().cast("array<string>").alias("test_files"), F.struct(text("tables").alias("source")).alias("environment"),
+    )
+    numbered = lambda rows: rows.withColumn("members", F.transform("members", lambda m: F.struct(F.lit(0).alias("mut_ord"), m["id"].alias("id"), m["label"].alias("label"))))
+    told = lambda rows: rows.withColumn("enabled", F.lit(True))
+    removable = g.patches.select("patch_id").join(g.results.filter("flag = 'R'").groupBy("patch_id").agg(F.count("*").alias("n")), "patch_id", "left").fillna(0, ["n"])
+    pairs = told(search.interaction_summary(removable, g.pairs, PAIRS))
+    results = g.results.withColumns({"apply_error": F.lit(None).cast("string"), "patch": F.lit(""), "kind": F.lit("hunk")})
+    return certificate.reports(heads, results, g.sets, told(g.summary), numbered(g.tried), pairs, numbered(g.pairs))
+
+
+def certificate_searches(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of both searches in whole reports, in their order: inconclusive sets come before sufficient ones."""
+    rows = _certificates(spark, d)
+    of = lambda name: rows.select("patch_id", F.lit(name).alias("search"), F.posexplode(f"report.{name}_search.results").alias("place", "r"))
+    return of("sufficient").union(of("interaction")).select("patch_id", "search", "place", F.array_join("r.mutation_ids", ",").alias("ids"), F.col("r.status").alias("status"))
+
+
+def certificate_hunks(spark: SparkSession, d: str) -> DataFrame:
+    """The hunks of whole reports, with their roles."""
+    rows = certificates.hunks(_certificates(spark, d))
+    return rows.select("patch_id", "mut_ord", "id", "path", "additions", "deletions", "line", "end_line", "status", "classification", F.round("runtime_s", 4).alias("runtime_s"), "role", "in_minimal_sufficient_set")
+
+
+def certificate_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The runs that whole reports hold."""
+    return certificates.runs(_certificates(spark, d)).select("patch_id", "variant_kind", "variant_key", "rep", "returncode", F.round("duration_s", 4).alias("duration_s"), "timed_out")
 
 
 QUERIES = {
@@ -198,7 +292,7 @@ QUERIES = {
     for f in (
         run_stability, contrast_matrix, rejected_patches, mutation_status, ablation_results, witness_summary, sufficient_sets, search_summary, mutual_backup_pairs, interaction_summary, mutation_roles,
         surplus_mutations, greedy_reduction, report_summary, gates, ci_outputs, report_markdown, certificate_id, annotations, file_blocks, hunk_ranges, mutation_ids, test_path_flags,
-        ignored_mutations, test_overlay, suggested_commands, config_precedence,
+        ignored_mutations, test_overlay, suggested_commands, config_precedence, missing_variants, greedy_recorded, inverse_patches, patch_states, production_sets, certificate_searches, certificate_hunks, certificate_runs,
     )
 }
 
@@ -264,11 +358,6 @@ _PATHS = """p AS (SELECT doc_id AS patch_id, CASE doc_id % 6 WHEN 0 THEN 'src/'
   || CASE doc_id % 5 WHEN 0 THEN '.spec.ts' WHEN 1 THEN '_test.py' ELSE '.py' END AS path FROM documents)"""
 
 
-def _values_sql(rows, names: str) -> str:
-    text = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names}))"
-
-
 _SECTION = "CASE WHEN {n} > 0 THEN chr(10) || chr(10) || '## {title}' || chr(10) || chr(10) || {text} ELSE '' END"
 
 ORACLE_SQL = {
@@ -308,6 +397,28 @@ ORACLE_SQL = {
     "test_path_flags": f"WITH {_PATHS}, q AS (SELECT *, patch_id % 6 IN (1, 2, 4) OR patch_id % 5 < 2 AS is_test FROM p) SELECT patch_id, path, is_test, is_test OR patch_id % 6 = 3 AS is_test_globbed FROM q",
     "ignored_mutations": f"WITH {_HUNKS}, u AS (SELECT *, CASE WHEN structural THEN 1 ELSE hunks END AS units FROM f) SELECT patch_id, sum(CASE WHEN flag = 'A' THEN units ELSE 0 END)::BIGINT AS mutations, sum(CASE WHEN flag = 'A' THEN 0 ELSE units END)::BIGINT AS ignored, CASE WHEN bool_or(flag = 'R') THEN 'tests/R.py' ELSE '' END AS test_files FROM u GROUP BY patch_id",
     "test_overlay": f"WITH {_HUNKS}, g AS (SELECT patch_id, coalesce(string_agg(header || body, '' ORDER BY file_ord) FILTER (flag = 'R'), '') AS overlay FROM f GROUP BY patch_id) SELECT patch_id, length(overlay) AS chars, sha256(overlay) AS digest FROM g",
-    "suggested_commands": f"SELECT m.repo, min(r.place) AS place, r.command FROM {_values_sql(MARKERS, 'repo, marker')} m JOIN {_values_sql([(i, *x) for i, x in enumerate(config.SUGGESTIONS)], 'place, marker, command')} r ON m.marker = r.marker GROUP BY m.repo, r.command",
-    "config_precedence": f"SELECT case_id, coalesce(given, configured, 2) AS value FROM {_values_sql(SETTINGS, 'case_id, given, configured')} s",
+    "suggested_commands": f"SELECT m.repo, min(r.place)::INT AS place, r.command FROM (SELECT DISTINCT concat_ws('/', source, lang) AS repo, {list(adapters.MARKERS)}[doc_id % {len(adapters.MARKERS)} + 1] AS marker FROM documents) m JOIN (VALUES {', '.join(str((i, *x)) for i, x in enumerate(config.SUGGESTIONS))}) r(place, marker, command) ON m.marker = r.marker GROUP BY m.repo, r.command",
+    "config_precedence": "SELECT o_orderkey AS case_id, coalesce(CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 7 END, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 5 END, 2) AS value FROM orders",
+    "missing_variants": f"""WITH {_MUT}, planned AS (SELECT DISTINCT patch_id, kind AS variant_kind, '' AS variant_key, slot FROM m, (VALUES ('candidate', 0), ('baseline', 1)) k(kind, slot) UNION ALL SELECT patch_id, 'ablate', mut_ord::VARCHAR, mut_ord + 2 FROM m)
+  SELECT patch_id, variant_kind, variant_key, string_agg(rep::VARCHAR, ',' ORDER BY rep) AS reps FROM planned, range({REPS}) r(rep) LEFT JOIN events e ON slot < 4 AND rep < 2 AND e.event_id = patch_id * 8 + slot * 2 + rep WHERE e.event_id IS NULL GROUP BY ALL""",
+    "greedy_recorded": f"""WITH RECURSIVE {_MUT}, o AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY CASE status WHEN 'unwitnessed' THEN 0 WHEN 'witnessed' THEN 2 ELSE 1 END, mut_ord) AS pos FROM m),
+  g AS (SELECT patch_id, 0::BIGINT AS pos, 0::BIGINT AS total, []::INT[] AS ords, []::VARCHAR[] AS ids, NULL::INT[] AS missing FROM o WHERE pos = 1
+  UNION ALL SELECT patch_id, pos, CASE WHEN taken THEN asked ELSE total END, CASE WHEN taken THEN ords || [mut_ord] ELSE ords END, CASE WHEN taken THEN ids || [id] ELSE ids END, CASE WHEN known OR missing IS NOT NULL THEN missing ELSE ords || [mut_ord] END
+    FROM (SELECT *, known AND asked % 3 <> 0 AS taken FROM (SELECT g.patch_id, o.pos, g.total, g.ords, g.ids, g.missing, o.mut_ord, o.id, g.total + o.weight AS asked, o.mut_ord < {RECORDED} AND len(g.ords) < {TOGETHER} AS known FROM g JOIN o ON o.patch_id = g.patch_id AND o.pos = g.pos + 1)))
+  SELECT g.patch_id, array_to_string(ords, ',') AS ords, array_to_string(ids, ',') AS ids, array_to_string(missing, ',') AS missing FROM g JOIN (SELECT patch_id, max(pos) AS last FROM o GROUP BY patch_id) l ON l.patch_id = g.patch_id AND l.last = g.pos""",
+    "inverse_patches": f"""WITH {_HUNKS}, b AS (SELECT t.patch_id, t.flag, any_value(header) AS header, string_agg('@@ -' || new_start || CASE WHEN new_count = 1 THEN '' ELSE ',' || new_count END || ' +' || old_start || CASE WHEN old_count = 1 THEN '' ELSE ',' || old_count END || ' @@ ' || context || chr(10)
+    || repeat('-new' || chr(10), new_count) || repeat('+old' || chr(10), old_count) || ' same' || chr(10), '' ORDER BY t.hunk_ord) AS body FROM t JOIN f ON f.patch_id = t.patch_id AND f.flag = t.flag GROUP BY t.patch_id, t.flag),
+  i AS (SELECT patch_id, string_agg(replace(replace(replace(header, '100644', 'x'), '100755', '100644'), 'x', '100755') || body, '' ORDER BY flag) AS inverse FROM b GROUP BY patch_id) SELECT patch_id, length(inverse) AS chars, sha256(inverse) AS digest FROM i""",
+    "patch_states": f"""WITH {_RUNS}, a AS (SELECT l_orderkey AS patch_id, count(*) FILTER (l_returnflag = 'A') AS kept FROM lineitem GROUP BY l_orderkey), late AS (SELECT patch_id FROM runs GROUP BY patch_id HAVING count(*) FILTER (timed_out) > 1),
+  s AS (SELECT o_orderkey AS patch_id, candidate, CASE WHEN o_orderstatus = 'P' THEN 'unreadable' WHEN a.patch_id IS NULL THEN 'no-changes' WHEN kept = 0 THEN 'nothing-left' WHEN late.patch_id IS NOT NULL THEN 'failed' WHEN candidate IS DISTINCT FROM 'stable-pass' THEN 'candidate-not-green'
+    WHEN o_orderkey % 5 = 0 THEN 'tests-do-not-apply' ELSE 'analysed' END AS state FROM orders LEFT JOIN a ON a.patch_id = o_orderkey LEFT JOIN late ON late.patch_id = o_orderkey LEFT JOIN cls ON cls.patch_id = o_orderkey)
+  SELECT patch_id, state, CASE state WHEN 'unreadable' THEN 'no such repository' WHEN 'no-changes' THEN 'no changes to analyse' WHEN 'nothing-left' THEN 'nothing is left to analyse after filtering' WHEN 'failed' THEN 'out of time'
+    WHEN 'candidate-not-green' THEN 'candidate is not stably green: ' || coalesce(candidate, 'not recorded') WHEN 'tests-do-not-apply' THEN 'test changes don''t apply to the base: patch does not apply' END AS reason FROM s""",
+    "production_sets": f"WITH {_MUT},\nprod AS (SELECT * REPLACE ((row_number() OVER (PARTITION BY patch_id ORDER BY mut_ord) - 1)::INT AS mut_ord, count(*) OVER (PARTITION BY patch_id) AS n) FROM m WHERE flag <> 'R'),\n{_TRIED.replace('FROM m', 'FROM prod').replace('JOIN m ', 'JOIN prod ')} SELECT patch_id, ord, rank, key, ids, status FROM tried WHERE status IS NOT NULL",
+    "certificate_searches": _REPORT + """SELECT patch_id, search, (row_number() OVER (PARTITION BY patch_id, search ORDER BY good, rank) - 1)::INT AS place, ids, status FROM (SELECT patch_id, 'sufficient' AS search, status = 'sufficient' AS good, rank, ids, status FROM tried WHERE status IS NOT NULL
+  UNION ALL SELECT patch_id, 'interaction', FALSE, rank, ids, status FROM pairs WHERE status IS NOT NULL)""",
+    "certificate_hunks": _REPORT + """SELECT m.patch_id, mut_ord, id, path, additions, deletions, line, end_line, status, sets.c AS classification, round(sets.total, 4) AS runtime_s, CASE status WHEN 'witnessed' THEN 'essential-under-selected-evidence' WHEN 'unwitnessed' THEN 'individually-removable-under-selected-evidence' ELSE 'inconclusive' END AS role,
+  EXISTS (SELECT 1 FROM suff_ids x WHERE x.patch_id = m.patch_id AND x.id = m.id) AS in_minimal_sufficient_set FROM m LEFT JOIN sets ON sets.patch_id = m.patch_id AND sets.slot = m.mut_ord + 2 AND mut_ord < 2""",
+    "certificate_runs": _REPORT + """SELECT patch_id, CASE slot WHEN 0 THEN 'candidate' WHEN 1 THEN 'baseline' ELSE 'ablate' END AS variant_kind, CASE WHEN slot < 2 THEN '' ELSE (slot - 2)::VARCHAR END AS variant_key, rep, CASE WHEN value > 250 THEN NULL WHEN event_type IN ('error', 'view') THEN 1 ELSE 0 END AS returncode,
+  round(value, 4) AS duration_s, value > 250 AS timed_out FROM (SELECT event_id // 8 AS patch_id, (event_id % 8) // 2 AS slot, (event_id % 2)::INT AS rep, value, event_type FROM events) e JOIN (SELECT patch_id, count(*) AS n FROM m GROUP BY patch_id) k USING (patch_id) WHERE slot < 2 + n""",
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schema import INCONCLUSIVE, UNWITNESSED, WITNESSED
+from ..schema import INCONCLUSIVE, STABLE_PASS, UNWITNESSED, WITNESSED
 
 
 def removal_rank(status: Column) -> Column:
@@ -29,19 +30,41 @@ def greedy_reduction(results: DataFrame, weight: Column, stays_green: Callable[[
     return ordered.select("patch_id", F.aggregate("items", start, step, lambda acc: acc["ids"]).alias("removed_ids"))
 
 
+def fold(ords: list[int], classes: dict[int, str]) -> tuple[list[int], list[int] | None]:
+    """The places in ords of what comes off, and those of the first set of hunks without a record (null: none), after which the fold
+    goes on as if that had failed. classes: by set of mut_ords, as the number whose bits they are."""
+    taken, held, unknown = [], 0, None
+    for place, ord_ in enumerate(ords):
+        asked = held | 1 << ord_
+        if asked in classes:
+            if classes[asked] == STABLE_PASS:
+                taken.append(place)
+                held = asked
+        elif unknown is None:
+            unknown = [*taken, place]
+    return taken, unknown
+
+
 def greedy_recorded(results: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """As greedy_reduction(), from recorded outcomes. outcomes: patch_id, variant_key (comma-joined sorted mut_ords), classification.
+    """patch_id, removed (mut_ords in order of removal), removed_ids, missing: as greedy_reduction(), from recorded outcomes.
 
-    A removal without a record is not taken."""
+    outcomes: patch_id, variant_key (comma-joined mut_ords, in any order), classification. A removal without a record is not taken;
+    `missing` has the mut_ords of the first one, in order of removal, or is null. Each patch's outcomes are read into a
+    dictionary once, so that a patch costs as many look-ups as it has hunks."""
     item = F.struct(removal_rank(F.coalesce("status", F.lit(INCONCLUSIVE))).alias("rank"), "mut_ord", "id")
     ordered = results.groupBy("patch_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    green = outcomes.filter("classification = 'stable-pass'").groupBy("patch_id").agg(F.collect_set("variant_key").alias("green"))
-    rows = ordered.join(green, "patch_id", "left").withColumn("green", F.coalesce("green", F.expr("cast(array() as array<string>)")))
-    start = F.expr("struct(cast(array() as array<int>) as ords, cast(array() as array<string>) as ids)")
-
-    def step(acc, x):
-        ords = F.array_sort(F.concat(acc["ords"], F.array(x["mut_ord"].cast("int"))))
-        key = F.array_join(F.transform(ords, lambda i: i.cast("string")), ",")
-        return F.when(F.array_contains(F.col("green"), key), F.struct(ords.alias("ords"), F.concat(acc["ids"], F.array(x["id"])).alias("ids"))).otherwise(acc)
-
-    return rows.select("patch_id", F.aggregate("items", start, step, lambda acc: acc["ids"]).alias("removed_ids"))
+    known = outcomes.groupBy("patch_id").agg(F.collect_list("variant_key").alias("keys"), F.collect_list(F.coalesce("classification", F.lit(""))).alias("classes"))
+    rows = ordered.join(known, "patch_id", "left")
+    rows = rows.select("patch_id", F.transform("items", lambda x: x["mut_ord"]).alias("ords"), F.transform("items", lambda x: x["id"]).alias("ids"), "keys", "classes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for ords, ids, keys, classes in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                taken, unknown = fold(ords, {sum(1 << int(i) for i in k.split(",")): c for k, c in zip(keys or (), classes or ()) if k})
+                for column, value in zip(out, ([ords[i] for i in taken], [ids[i] for i in taken], unknown and [ords[i] for i in unknown])):
+                    column.append(value)
+            types = pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], names=["patch_id", "removed", "removed_ids", "missing"])
+
+    return rows.mapInArrow(run, "patch_id bigint, removed array<int>, removed_ids array<string>, missing array<int>")

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.canonical import canonical
 from ..functions.text import escape_data, escape_property
-from ..schema import CONTRASTS, UNWITNESSED, WITNESSED
+from ..schema import CONTRASTS, MUTUAL_BACKUP, SUFFICIENT, UNWITNESSED, WITNESSED
+from .evidence import witness_summary
 
-# The format of certificates and of the texts in them.
+# The prefix of certificates.
 CERTIFICATE_PREFIX = "dw2_"
+# Texts of reports.
 ICONS = {WITNESSED: "✅ witnessed", UNWITNESSED: "⚠️ unwitnessed", "inconclusive": "❔ inconclusive"}
 MESSAGES = {
-    UNWITNESSED: ("warning", "no causal witness", "Selected evidence stays green when this hunk is removed. Review for scope creep, redundancy, or missing tests."),
-    "inconclusive": ("notice", "inconclusive", "No stable causal claim could be made for this hunk."),
+    UNWITNESSED: ("warning", "no causal witness", "The evidence passes without this hunk. It may be superfluous, or lack a test."),
+    "inconclusive": ("notice", "inconclusive", "Runs without this hunk disagreed, ran out of time, or could not be made."),
 }
-SURPLUS_TEXT = "These hunks were individually removable and are absent from every minimal sufficient set found in an exhaustive search at that cardinality:"
-LIMITS_TEXT = "Causal evidence holds only with respect to the selected command and execution environment. An unwitnessed hunk may still be desirable for another requirement; it is a review signal, not an automatic deletion order."
+SURPLUS_TEXT = "All sets of this size were tried; none that suffices needs these hunks, and each can go alone:"
+LIMITS_TEXT = "Each status says what one command did in one environment with and without a hunk. It says nothing on what that command does not check: a hunk without a witness may serve another purpose, so look at it before it goes."
 
 
 def annotations(results: DataFrame) -> DataFrame:
@@ -83,6 +81,20 @@ def report_counts(report: DataFrame) -> DataFrame:
     )
 
 
+def counts(results: DataFrame, classes: DataFrame, summary: DataFrame, tried: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What report_counts() says but for the certificate, from aggregates alone: no list of hunks or sets is made."""
+    n = lambda rows, name: rows.groupBy("patch_id").agg(F.count("*").alias(name))
+    sets = tried.filter(F.col("status") == SUFFICIENT)
+    ids = sets.select("patch_id", F.explode("members.id").alias("id")).distinct()
+    left = results.filter(F.col("status") == UNWITNESSED).select("patch_id", "id").join(ids, ["patch_id", "id"], "left_anti")
+    rows = witness_summary(results).join(classes.select("patch_id", "contrast"), "patch_id", "left").join(summary.select("patch_id", "found_order", "exhaustive"), "patch_id", "left")
+    for part in (n(sets, "sufficient_sets"), n(pairs.filter(F.col("status") == MUTUAL_BACKUP), "mutual_backup_pairs"), n(left, "_left")):
+        rows = rows.join(part, "patch_id", "left")
+    rows = rows.fillna(0, ["sufficient_sets", "mutual_backup_pairs", "_left"])
+    surplus = F.when(F.coalesce("exhaustive", F.lit(False)) & (F.col("sufficient_sets") > 0), F.col("_left")).otherwise(F.lit(0)).cast("bigint")
+    return rows.withColumn("surplus", surplus).drop("exhaustive", "_left")
+
+
 def gates(counts: DataFrame) -> DataFrame:
     """patch_id, gate_contrast, gate_all_witnessed, gate_no_surplus (true: passed), exit_code with all gates required."""
     g = counts.select(
@@ -132,19 +144,12 @@ def markdown(report: DataFrame) -> DataFrame:
     return report.select("patch_id", F.concat(F.array_join(F.array(*head), "\n"), sets, backups, surplus, end).alias("markdown"))
 
 
-@F.pandas_udf(T.StringType())
-def _certificate(reports_: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Sorted keys, compact separators, non-ASCII kept: the bytes must be those of Python's json."""
-    for part in reports_:
-        yield part.map(lambda x: CERTIFICATE_PREFIX + hashlib.sha256(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:20])
-
-
 def _hashed(text: Column) -> Column:
     return F.concat(F.lit(CERTIFICATE_PREFIX), F.substring(F.sha2(text.cast("binary"), 256), 1, 20))
 
 
 def certificate_ids(report: DataFrame) -> DataFrame:
-    """patch_id, certificate_id: a hash of each report's canonical JSON, over all columns as they are, written by Python's json, whose
-    floats and escapes differ from to_json's. reports() has one over document(), which stays in the JVM."""
-    fields = sorted(c for c in report.columns if c not in ("patch_id", "certificate_id"))
-    return report.select("patch_id", _certificate(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).alias("certificate_id"))
+    """patch_id, certificate_id: a hash of each report's canonical JSON, over all columns as they are. reports() has one over document(),
+    whose fractions have fixed digits."""
+    fields = [c for c in report.columns if c not in ("patch_id", "certificate_id")]
+    return report.select("patch_id", _hashed(canonical(F.struct(*fields), report.select(*fields).schema)).alias("certificate_id"))

@@ -58,16 +58,19 @@ def combinations(units: DataFrame, max_order: int, budget: int, min_order: int =
     return out
 
 
-def sufficient_search(units: DataFrame, evaluate: Evaluate, max_order: int = 3, budget: int = 32) -> DataFrame:
-    """The combinations tried: those of combinations() with class, found_order (of the patch) and status.
-
-    Orders past the first with a stable pass are not tried. status: sufficient, inconclusive, or null (failed, or didn't apply)."""
-    rows = evaluate(combinations(units, max_order, budget))
+def tried(rows: DataFrame) -> DataFrame:
+    """Of combinations with their class, those up to the first order with a stable pass: with found_order (of the patch) and status:
+    sufficient, inconclusive, or null (failed, or didn't apply)."""
     found = F.min(F.when(F.col("class") == STABLE_PASS, F.col("ord"))).over(Window.partitionBy("patch_id"))
     rows = rows.withColumn("found_order", found).filter(F.col("found_order").isNull() | (F.col("ord") <= F.col("found_order")))
     return rows.withColumn("status", F.when(F.col("class") == STABLE_PASS, SUFFICIENT).when(F.col("class").isin(FLAKY, TIMEOUT), INCONCLUSIVE))
 
 
+def sufficient_search(units: DataFrame, evaluate: Evaluate, max_order: int = 3, budget: int = 32) -> DataFrame:
+    """The combinations tried: those of combinations() with class, found_order and status."""
+    return tried(evaluate(combinations(units, max_order, budget)))
+
+
 NOTES = {
     "no-contrast": "Skipped: sufficiency requires a stable-failing base with candidate tests overlaid.",
     "no-production": "Skipped: no production mutations to search.",
@@ -95,12 +98,16 @@ def sufficient_summary(patches: DataFrame, tried: DataFrame, max_order: int = 3,
     return rows.select("patch_id", F.lit(budget).alias("budget"), "attempted", "found_order", F.coalesce(F.col("_at") == size, F.lit(False)).alias("exhaustive"), "missing_outcomes", note.alias("note"))
 
 
-def interaction_search(units: DataFrame, evaluate: Evaluate, budget: int = 20) -> DataFrame:
-    """Pairs of individually removable units that were tried. status: mutual-backup, inconclusive, or null."""
-    rows = evaluate(combinations(units, 2, budget, min_order=2))
+def tried_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs with their class, with status: mutual-backup, inconclusive, or null."""
     return rows.withColumn("status", F.when(F.col("class") == STABLE_FAIL, MUTUAL_BACKUP).when(F.col("class").isin(FLAKY, TIMEOUT), INCONCLUSIVE))
 
 
+def interaction_search(units: DataFrame, evaluate: Evaluate, budget: int = 20) -> DataFrame:
+    """Pairs of individually removable units that were tried."""
+    return tried_pairs(evaluate(combinations(units, 2, budget, min_order=2)))
+
+
 def interaction_summary(patches: DataFrame, tried: DataFrame, budget: int = 20) -> DataFrame:
     """patches: patch_id, n (removable units). found_order is 2 if any row exists; exhaustive means that all pairs were tried."""
     sums = tried.groupBy("patch_id").agg(F.count("*").alias("attempted"), F.count("status").alias("_rows"))

@@ -18,6 +18,7 @@ OUTCOMES = "patch_id bigint, variant_key string, classification string"
 # Names of classes, states and roles, as in the report format (schema version 2).
 STABLE_PASS, STABLE_FAIL, FLAKY, TIMEOUT = "stable-pass", "stable-fail", "flaky", "timeout"
 APPLY_ERROR = "apply-error"
+CANDIDATE, BASELINE, ABLATE, SUBSET, PAIR, GREEDY = "candidate", "baseline", "ablate", "subset", "pair", "greedy"
 WITNESSED, UNWITNESSED, INCONCLUSIVE = "witnessed", "unwitnessed", "inconclusive"
 SUFFICIENT, MUTUAL_BACKUP = "sufficient", "mutual-backup"
 ROLES = {
@@ -27,6 +28,9 @@ ROLES = {
 }
 CONTRASTS = ("base-fail_candidate-pass", "base-pass_candidate-pass", "base-inconclusive_candidate-pass", "candidate-not-stable-green")
 
+#: What can become of a change, in the order in which it is decided.
+STATES = ("unreadable", "no-changes", "nothing-left", "failed", "candidate-not-green", "tests-do-not-apply", "analysed")
+
 
 @dataclass(frozen=True)
 class Config:

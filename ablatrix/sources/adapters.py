@@ -25,13 +25,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey")
-    return read(spark, sf_dir, "lineitem").withColumns({"mut_ord": F.row_number().over(w.orderBy(*FULL_KEY)) - 1, "n": F.count("*").over(w)})
+def _numbered(spark: SparkSession, sf_dir: str, only: DataFrame | None) -> DataFrame:
+    w, rows = Window.partitionBy("l_orderkey"), read(spark, sf_dir, "lineitem")
+    if only is not None:
+        rows = rows.join(only.select(F.col("patch_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return rows.withColumns({"mut_ord": F.row_number().over(w.orderBy(*FULL_KEY)) - 1, "n": F.count("*").over(w)})
 
 
-def mutation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem: a patch an order, a hunk a line item, with the class of its ablation.
+def mutation_results(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """lineitem: a patch an order, a hunk a line item, with the class of its ablation. only: patches to keep, before they are numbered.
 
     patch_id, mut_ord, n, id, path, label, additions, deletions, line, end_line, flag, weight, classification, status, runtime_s."""
     from ..operators.stability import status
@@ -40,7 +42,7 @@ def mutation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(flag == "A", "src/A.py").when(flag == "N", "lib/N.py").otherwise("core/R.py")
     class_ = F.when(flag == "A", "stable-fail").when(flag == "R", "stable-pass").when(F.col("l_linestatus") == "F", "flaky").otherwise("timeout")
     name = F.concat(F.col("l_orderkey").cast("string"), F.char(F.lit(0)), F.col("mut_ord").cast("string"))
-    return _numbered(spark, sf_dir).select(
+    return _numbered(spark, sf_dir, only).select(
         F.col("l_orderkey").alias("patch_id"), "mut_ord", "n", F.substring(F.sha2(name.cast("binary"), 256), 1, 10).alias("id"), path.alias("path"),
         F.concat(path, F.lit(" hunk "), F.col("mut_ord") + 1, F.lit("/"), F.col("n")).alias("label"),
         F.col("l_quantity").cast("int").alias("additions"), F.col("l_linenumber").alias("deletions"), F.col("l_suppkey").cast("int").alias("line"),
@@ -94,3 +96,26 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.element_at(F.array(*map(F.lit, ("src/", "tests/", "Lib/Spec/", "checks/", "pkg/test_", "web/"))), (d % 6 + 1).cast("int"))
     end = F.when(d % 5 == 0, ".spec.ts").when(d % 5 == 1, "_test.py").otherwise(".py")
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("patch_id"), F.concat(folder, F.coalesce("source", F.lit("")), F.lit("_"), F.coalesce("lang", F.lit("")), end).alias("path"))
+
+
+#: What marks a kind of project, and what marks none.
+MARKERS = ("package.json#test", "tests", "pyproject.toml", "go.mod", "build.gradle.kts", "build.gradle", "README", "Cargo.toml", "package.json#typecheck", "pom.xml", "pytest.ini", "LICENSE")
+
+
+def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: repo (a source and language), marker. Texts are not read."""
+    marker = F.element_at(F.array(*map(F.lit, MARKERS)), (F.col("doc_id") % len(MARKERS) + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("repo"), marker.alias("marker"))
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders: case_id, given, configured, either of which can be null."""
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("case_id"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey") % 7).alias("given"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 5).alias("configured")
+    )
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders and their diffs: patch_id, error (of open orders), diff_text (null without line items)."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("patch_id"), F.when(F.col("o_orderstatus") == "P", "no such repository").alias("error"))
+    return rows.join(patches(spark, sf_dir), "patch_id", "left")

@@ -1,8 +1,9 @@
-"""Git as a source of diffs and sandboxes: driver-side scans, and worktrees for live evaluation inside tasks."""
+"""Git as a source of diffs and sandboxes, read and made inside tasks: diffs of changes, worktrees for live evaluation."""
 
 from __future__ import annotations
 
 import contextlib
+import json
 import os
 import shutil
 import subprocess
@@ -10,7 +11,15 @@ import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+#: The candidate that stands for the state of the worktree, in any case.
+WORKTREE = "WORKTREE"
+CHANGE = "patch_id bigint, repo string, base string, candidate string"
+#: What a change's diff adds to it; with an error the others are null.
+FOUND = "root string, base_sha string, candidate_sha string, diff_text string, error string"
 
 
 class GitError(RuntimeError):
@@ -37,12 +46,14 @@ def version() -> str:
 
 
 def snapshot_worktree(repo: str | Path) -> str:
-    """An unreachable commit of all files that aren't ignored, staged or not, made through an index of its own; needs no identity."""
+    """An unreachable commit of all files that aren't ignored, staged or not, made through an index of its own; needs no identity.
+    It bears the date of HEAD, so that equal worktrees are the same commit."""
     root = repo_root(repo)
-    who = {f"GIT_{x}_{y}": z for x in ("AUTHOR", "COMMITTER") for y, z in (("NAME", "snapshot"), ("EMAIL", "snapshot@localhost"))}
+    head = resolve(root, "HEAD")
+    date = git(root, "show", "-s", "--format=%cI", head).stdout.strip()
+    who = {f"GIT_{x}_{y}": z for x in ("AUTHOR", "COMMITTER") for y, z in (("NAME", "snapshot"), ("EMAIL", "snapshot@localhost"), ("DATE", date))}
     with tempfile.TemporaryDirectory() as folder:
         env = {**who, "GIT_INDEX_FILE": f"{folder}/index"}
-        head = resolve(root, "HEAD")
         git(root, "read-tree", head, env=env)
         git(root, "add", "--all", env=env)
         tree = git(root, "write-tree", env=env).stdout.strip()
@@ -54,9 +65,67 @@ def diff_text(repo: str | Path, base: str, candidate: str) -> str:
     return git(repo, "diff", "--no-color", "--no-ext-diff", "--find-renames", "--binary", "--unified=3", base, candidate).stdout
 
 
-def patches(spark: SparkSession, triples: list[tuple[int, str, str, str]]) -> DataFrame:
-    """patch_id, diff_text of (patch_id, repo, base, candidate)."""
-    return spark.createDataFrame([(i, diff_text(r, b, c)) for i, r, b, c in triples], "patch_id bigint, diff_text string")
+def read_change(repo: str, base: str, candidate: str | None) -> tuple[str | None, ...]:
+    """FOUND of a change; candidate: a ref, or null or WORKTREE for a snapshot of the worktree."""
+    try:
+        root = str(repo_root(repo))
+        base_sha = resolve(root, base)
+        candidate_sha = snapshot_worktree(root) if candidate is None or candidate.upper() == WORKTREE else resolve(root, candidate)
+        return root, base_sha, candidate_sha, diff_text(root, base_sha, candidate_sha), None
+    except (GitError, OSError, TypeError) as e:
+        return None, None, None, None, str(e)
+
+
+def diffs(changes: DataFrame) -> DataFrame:
+    """changes (CHANGE and any further columns) with FOUND, read in tasks: the repositories must be in reach of all executors."""
+    names = changes.columns
+    found = T.StructType.fromDDL(FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [read_change(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("repo", "base", "candidate")))]
+            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(found))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *found.names])
+
+    return changes.mapInArrow(run, T.StructType([*changes.schema.fields, *found.fields]))
+
+
+class ChangePartition(InputPartition):
+    def __init__(self, change: list):
+        self.change = change
+
+
+class ChangeReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.changes = json.loads(options["changes"]) if "changes" in options else [[0, options["repo"], options["base"], options.get("candidate")]]
+
+    def partitions(self) -> list[ChangePartition]:
+        return [ChangePartition(c) for c in self.changes]
+
+    def read(self, partition: ChangePartition) -> Iterator[tuple]:
+        patch_id, repo, base, candidate = partition.change
+        yield (patch_id, repo, base, candidate, *read_change(repo, base, candidate))
+
+
+class ChangeSource(DataSource):
+    """format("git_changes"): a row (CHANGE, FOUND) for each change, each read in a task of its own. Options: `repo`, `base` and, but for the
+    worktree, `candidate` of one change; or `changes`, a JSON list of [patch_id, repo, base, candidate]."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_changes"
+
+    def schema(self) -> str:
+        return f"{CHANGE}, {FOUND}"
+
+    def reader(self, schema: T.StructType) -> ChangeReader:
+        return ChangeReader(dict(self.options))
+
+
+def patches(spark: SparkSession, changes: list[tuple[int, str, str, str | None]]) -> DataFrame:
+    """CHANGE and FOUND of (patch_id, repo, base, candidate)."""
+    spark.dataSource.register(ChangeSource)
+    return spark.read.format("git_changes").option("changes", json.dumps(changes)).load()
 
 
 def saved_patches(spark: SparkSession, path: str) -> DataFrame:

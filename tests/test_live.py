@@ -1,14 +1,17 @@
 """Live evaluation in temporary repositories."""
 
+import hashlib
 import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from ablatrix import cli
+from ablatrix.operators import certificate, report as report_
 from ablatrix.plans.analyze import AnalysisError, analyze
 from ablatrix.schema import Config
-from ablatrix.sources import git
+from ablatrix.sources import certificates, git
 from ablatrix.sources.live import Command, run_command
 
 
@@ -29,6 +32,12 @@ def repo(tmp_path):
     return tmp_path / "r"
 
 
+def certificate_id(report):
+    """The hash of a report, by Python's json."""
+    stable = {k: v for k, v in report.items() if k not in ("generated_at", "certificate_id")}
+    return "dw2_" + hashlib.sha256(json.dumps(stable, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:20]
+
+
 PAD = "\n".join(f"# line {i}" for i in range(12))
 
 
@@ -36,7 +45,7 @@ def calc(a, b, c):
     return f"A = {a}\n{PAD}\nB = {b}\n{PAD}\nC = {c}\n"
 
 
-def test_core_and_surplus(spark, repo, tmp_path):
+def test_core_and_surplus(spark, repo, tmp_path, capsys):
     base = commit(repo, {"calc.py": calc(0, 0, 0), "tests/test_calc.py": "print('none')\n"}, "base")
     commit(repo, {"calc.py": calc(1, 1, 1), "tests/test_calc.py": "import calc\nassert calc.A and calc.B\n"}, "candidate")
     command = Command(str(repo), "PYTHONDONTWRITEBYTECODE=1 PYTHONPATH=. python tests/test_calc.py", 60, 2)
@@ -49,8 +58,12 @@ def test_core_and_surplus(spark, repo, tmp_path):
     assert report["certificate_id"].startswith("dw2_")
     path = tmp_path / "c.json"
     path.write_text(json.dumps(report))
-    assert cli.main(["show", str(path)]) == 0 and "66.7%" in cli.render(report)
-    assert len(cli.annotation_lines(report)) == 1 and cli.outputs(report)["minimal_sufficient_order"] == "2"
+    assert report["certificate_id"] == certificate_id(report) and set(certificates.REQUIRED) <= set(report)
+    assert cli.main(["show", str(path)]) == 0 and "66.7%" in capsys.readouterr().out
+    good, bad = certificates.read(spark, str(path))
+    flat = certificate.rendered(good)
+    assert bad.isEmpty() and report_.annotations(flat.select("patch_id", F.inline("results"))).count() == 1
+    assert {r.key: r.value for r in report_.ci_outputs(report_.report_counts(flat)).collect()}["minimal_sufficient_order"] == "2"
     assert subprocess.run(["git", "worktree", "list"], cwd=repo, capture_output=True, text=True).stdout.count("\n") == 1
 
 
@@ -107,11 +120,11 @@ def test_prove_reads_lists_of_settings(spark, repo, capsys, monkeypatch):
     monkeypatch.setattr(cli, "_save", lambda path, text: None)
     seen = {}
 
-    def analyze_(spark_, command, base, candidate, config, parallel):
-        seen.update(globs=config.test_globs, shared=command.shared)
+    def analyze_(spark_, changes, config, parallel):
+        seen.update(globs=config.test_globs, shared=changes.first().shared)
         raise ValueError("enough")
 
-    monkeypatch.setattr("ablatrix.plans.analyze.analyze", analyze_)
+    monkeypatch.setattr("ablatrix.plans.analyze.analyze_many", analyze_)
     for key in ("share", "shared_paths"):
         commit(repo, {"cache/x": "", ".evidence.toml": f'[evidence]\ntest = "true"\ntest_glob{"s" * (key != "share")} = ["t/*"]\n{key} = ["cache"]\n'}, key)
         assert cli.main(["prove", "--repo", str(repo)]) == 2 and "enough" in capsys.readouterr().err
