@@ -16,10 +16,11 @@ component of links.
    copies costs one comparison a member. Components of these links come from hooking and pointer jumping.
 4. Rest: in bands whose members are not all in one component, nodes go whose weights and whose weights shared with other components
    rule out any further link, and further hubs are tried.
-5. What is left is joined on differences from the hub: of two linked nodes of which one isn't linked to the hub, the other shares
-   about half of its own differences from the hub with it or more. So each node looks, from its rarest shared difference on, only
-   as long as what remains could be enough. No pair of candidates stays undecided, and neither pairs within a component nor all
-   pairs of a group are ever made.
+5. What is left is joined on differences from a centre of each hub's nodes: how much of their differences two similar nodes share has
+   an exact lower bound. Differences with the same holders are one unit, and a node whose bound takes several units asks for
+   up to three at once, so that letters of one form, alike but for what was filled in, meet only if they agree on several fillings. No
+   pair of candidates stays undecided. Nodes of more than 15 shared units ask for single ones: in large groups of such nodes,
+   different texts that are all nearly similar, pairs can still grow faster than texts.
 6. Comparisons join the two texts' shingle vectors and compute the weighted Jaccard similarity exactly.
 
 A link of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9994 at 0.8, 0.9999986 at 0.9.
@@ -60,6 +61,8 @@ ROWS_OF_DRAWS = 1 << 12
 SLACK = 1 + 1e-6
 #: Rounds over what the first hubs leave: all but the last with one more hub a band, the last by differences.
 HUBS = 3
+#: Units that are asked for at once, and the units of a node up to which they are (so that it has 575 codes at most).
+TOGETHER, NARROW = 3, 15
 LONG_WORD = 256
 LETTER = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -321,14 +324,28 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / (total - shared) if total > shared else 1.0
 
 
-def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Keys and weights of what a has more of than b and, with inverted keys, less of; the weights of a and of b."""
+def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Keys, amounts and weights of what a has more of than b and, with inverted keys, less of; the weights of a and of b."""
     every, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
     more = np.bincount(at, np.concatenate([a[1], -b[1]]), len(every))
     some = more != 0
     idf = weights(every)
     wa, wb = (float((np.bincount(part, n, len(every)) * idf).sum()) for part, n in ((at[: len(a[0])], a[1]), (at[len(a[0]) :], b[1])))
-    return np.where(more[some] > 0, every[some], ~every[some]), np.abs(more[some]) * idf[some], wa, wb
+    amounts = np.abs(more[some])
+    return np.where(more[some] > 0, every[some], ~every[some]), amounts.astype(np.int64), amounts * idf[some], wa, wb
+
+
+def moved(vector: tuple[np.ndarray, np.ndarray], keys: np.ndarray, amounts: np.ndarray) -> bytes:
+    """The vector with what the keys of a difference say added or, for those of the inverted keys, taken away."""
+    counts = dict(zip(vector[0].tolist(), vector[1].tolist()))
+    inverted = ~keys
+    for k, other, n in zip(keys.tolist(), inverted.tolist(), amounts.tolist()):
+        if other in counts:
+            counts[other] -= n
+        else:
+            counts[k] = counts.get(k, 0) + n
+    held = sorted((k, n) for k, n in counts.items() if n > 0)
+    return np.repeat(np.array([k for k, _ in held], np.uint64), [n for _, n in held]).tobytes()
 
 
 def _with_vectors(pairs: DataFrame, vectors_: DataFrame) -> DataFrame:
@@ -432,38 +449,102 @@ def _hub_pairs(rest: DataFrame, turn: int, space: Workspace) -> DataFrame:
     return x.join(space.stored(hubs, "hubs"), "band").filter(_able()).select("a", "b", "ra", "rb").distinct()
 
 
-def _pairs_by_differences(rest: DataFrame, hubs: DataFrame, vectors_: DataFrame, weights, space: Workspace) -> DataFrame:
-    """a, b, ra, rb: what is left and may still be similar. hubs: the first hub of each band, with which all have been compared.
+def combinations(sizes: list[float], need: float, count: int) -> Iterator[tuple[int, ...]]:
+    """The places of `count` units that can be the first of a set of units (in this order) whose sizes add up to need or more."""
+    left = np.concatenate([np.cumsum(sizes[::-1])[::-1], [0.0]])
+
+    def go(start: int, held: float, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if len(chosen) == count:
+            yield chosen
+            return
+        for i in range(start, len(sizes)):
+            if held + left[i] < need:
+                return
+            yield from go(i + 1, held + sizes[i], (*chosen, i))
+
+    return go(0, 0.0, ())
+
+
+def requests(units: list[tuple[int, int, float]], need: float) -> tuple[list[int], list[int]]:
+    """Codes that a node asks for, and codes under which it is found. units: holders, fingerprint and size of each.
+
+    Two nodes meet if they share units of `need` or more. If the heaviest of a node's units show that this takes c units, it asks for
+    the c (at most `TOGETHER`) rarest of them at once. A node of more than `NARROW` units asks and is found by single ones only."""
+    units = sorted(units)
+    sizes, marks = [u[2] for u in units], [u[1] for u in units]
+    if sum(sizes) < need:
+        return [], []
+    count = int(np.searchsorted(np.cumsum(sorted(sizes, reverse=True)), need)) + 1
+    code = lambda c: hash((len(c), *(marks[i] for i in c))) & (1 << 63) - 1  # noqa: E731  of integers alone: the same in every process
+    made = lambda n: [code(c) for c in combinations(sizes, need, n)]
+    if len(units) > NARROW:
+        single = made(1)
+        return single, single
+    return made(min(count, TOGETHER)) if need > 0 else [], [c for n in range(1, TOGETHER + 1) for c in made(n)]
+
 
-    Let D be what a node has more or less of than the hub h, and W weights. x and y are similar if W(x - y) is at most
-    g (W(x) + W(y)) with g = (1 - s) / (1 + s), and W(x - y) = W(Dx) + W(Dy) - 2 W(what Dx and Dy share). Of a similar pair of which y
-    isn't similar to h, W(Dy) > g (W(y) + W(h)), so what they share weighs more than `need` = (W(Dx) + g (W(h) - W(x))) / 2.
-    x asks for its differences that some y of another component has as well, rarest first, as long as those from there on weigh `need`."""
+def _pairs_by_differences(rest: DataFrame, hubs: DataFrame, vectors_: DataFrame, weights, space: Workspace) -> DataFrame:
+    """a, b, ra, rb: what is left and may still be similar. hubs: the first hub of each band, around which its nodes are gathered.
+
+    A group's centre is its hub, with every difference that more than half of its nodes have made the centre's own. Let D be what a node
+    has more or less of than the centre, and W weights. x and y are similar if W(x - y) is at most g (W(x) + W(y)) with
+    g = (1 - s) / (1 + s), and W(x - y) = W(Dx) + W(Dy) - 2 W(what Dx and Dy share). With e = W(D) - g W, they must share (ex + ey) / 2.
+    Nodes with ex + e of the least node of at most 0 are similar to that one whatever they share. Any other x must share
+    `need` = (ex + least e) / 2 at least; see requests(). Differences with the same holders are one unit, so that a passage that
+    some nodes have instead of another counts once, however many shingles it has."""
     g = (1 - SIMILARITY) / (1 + SIMILARITY)
+    fields = "a bigint, hub bigint, e double, slack double, keys array<bigint>, amounts array<bigint>, sizes array<double>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["a", "b", "linked", "need", "keys", "sizes"], [pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                keys, sizes, wx, wh = difference(_counted(x.as_py()), _counted(y.as_py()), weights.value)
-                d, slack = float(sizes.sum()), 1e-6 * (wx + wh)
-                for column, value in zip(out, (a, b, d <= g * (wx + wh) - slack, (d + g * (wh - wx)) / 2 - slack, keys.view(np.int64), sizes)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+    def apart(rows: DataFrame) -> DataFrame:
+        """rows: a, hub, x, y (vectors). fields."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[list] = [[] for _ in range(7)]
+                for a, hub, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                    keys, amounts, sizes, wx, wc = difference(_counted(x.as_py()), _counted(y.as_py()), weights.value)
+                    for column, value in zip(out, (a, hub, float(sizes.sum()) - g * wx, 1e-6 * (wx + wc), keys.view(np.int64), amounts, sizes)):
+                        column.append(value)
+                types = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["a", "hub", "e", "slack", "keys", "amounts", "sizes"])
+
+        return rows.select("a", "hub", "x", "y").mapInArrow(tidy(run), fields)
 
     nodes = rest.select(F.col("node").alias("a"), "root", "weight", "most").distinct()
-    pairs = rest.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    apart = _with_vectors(pairs, vectors_).select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint, linked boolean, need double, keys array<bigint>, sizes array<double>")
-    rows = apart.join(nodes, "a").withColumn("d", F.explode(F.arrays_zip("keys", "sizes"))).select(F.col("b").alias("hub"), F.col("d.keys").alias("key"), "a", "root", "weight", "most", "linked", "need", F.col("d.sizes").alias("size"))
-    rows = space.stored(rows, "differences")
-    holders = rows.groupBy("hub", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.when(~F.col("linked"), 1)).alias("n")).filter("low <> high and n > 0")
-    rows = space.stored(rows.join(space.stored(holders.select("hub", "key", "n"), "holders"), ["hub", "key"]), "differences")
-    rarest = Window.partitionBy("hub", "a").orderBy(F.desc("n"), F.desc("key"))  # sums of an element and all that are less rare
-    ask = rows.withColumn("left", F.sum("size").over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(F.col("left") * SLACK >= F.col("need"))
-    ask = space.stored(ask.select("hub", "key", "a", F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("most").alias("ma")), "asking")
-    have = rows.filter(~F.col("linked")).select("hub", "key", F.col("a").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("most").alias("mb"))
-    met = ask.join(have, ["hub", "key"]).filter(_able())
+    pairs = space.stored(rest.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), "hub").distinct(), "gathered")
+    of = lambda k, c: vectors_.select(F.col("node").alias(k), F.col("vector").alias(c))
+    own = pairs.join(of("a", "x"), "a")
+    first = apart(own.join(of("hub", "y"), "hub")).select("hub", F.explode(F.arrays_zip("keys", "amounts")).alias("d"))
+    shared = first.groupBy("hub", F.col("d.keys").alias("key"), F.col("d.amounts").alias("amount")).agg(F.count("*").alias("n"))
+    common = shared.join(pairs.groupBy("hub").agg(F.count("*").alias("m")), "hub").filter(F.col("n") * 2 > F.col("m"))
+    common = common.groupBy("hub").agg(F.collect_list("key").alias("keys"), F.collect_list("amount").alias("amounts"))
+    changed = pairs.select("hub").distinct().join(of("hub", "y"), "hub").join(common, "hub", "left")
+
+    def centre(columns):
+        return columns[0], [moved(_counted(v), np.array(k or [], np.int64).view(np.uint64), np.array(n or [], np.int64)) for v, k, n in zip(*columns[1:])]
+
+    centres = space.stored(map_rows(changed.select("hub", "y", "keys", "amounts"), "hub bigint, y binary", centre, CHUNK, 1), "centres")
+    rows = space.stored(apart(own.join(centres, "hub")).drop("amounts").join(nodes, "a"), "differences")
+    least = space.stored(rows.groupBy("hub").agg(F.min_by("a", "e").alias("to"), F.min_by("root", "e").alias("to_root"), F.min("e").alias("least")), "least")
+    rows = rows.join(least, "hub")
+    sure = rows.filter((F.col("e") + F.col("least") <= F.col("slack")) & (F.col("root") != F.col("to_root"))).select("a", F.col("to").alias("b"), F.col("root").alias("ra"), F.col("to_root").alias("rb"))
+    each = rows.withColumn("need", (F.col("e") + F.col("least")) / 2 - F.col("slack")).withColumn("d", F.explode(F.arrays_zip("keys", "sizes")))
+    each = space.stored(each.select("hub", F.col("d.keys").alias("key"), "a", "root", "need", F.col("d.sizes").alias("size")), "differences")
+    mark = lambda seed: F.bit_xor(F.xxhash64("a", F.lit(seed)))
+    holders = each.groupBy("hub", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), mark(1).alias("mark")).filter("low <> high")
+    held = each.join(space.stored(holders.select("hub", "key", "n", "mark"), "holders"), ["hub", "key"])
+    units = held.groupBy("hub", "a", "need", "n", "mark").agg(F.sum("size").alias("size")).groupBy("hub", "a", "need").agg(F.collect_list("n").alias("n"), F.collect_list("mark").alias("mark"), F.collect_list("size").alias("size"))
+
+    def told(columns):
+        out: list[list] = [[], [], [], []]
+        for hub, a, need, *lists in zip(*columns):
+            for column, value in zip(out, (hub, a, *requests(list(zip(*lists)), need))):
+                column.append(value)
+        return out
+
+    codes = space.stored(map_rows(units, "hub bigint, a bigint, asks array<bigint>, has array<bigint>", told), "codes").join(nodes, "a")
+    side = lambda c, k: codes.select("hub", F.explode(c).alias("code"), F.col("a").alias(k), F.col("root").alias(f"r{k}"), F.col("weight").alias(f"w{k}"), F.col("most").alias(f"m{k}"))
+    met = side("asks", "a").join(side("has", "b"), ["hub", "code"]).filter(_able()).select("a", "b", "ra", "rb").union(sure.select("a", "b", "ra", "rb"))
     turned = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
     return met.select(pick("a", "b"), pick("b", "a"), pick("ra", "rb"), pick("rb", "ra")).distinct()

@@ -131,14 +131,57 @@ def test_pairs_by_differences_lose_none(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def letters(n, seed=5):
+    """Letters of one form: seven fixed parts of 47 words, and between them six slots of three words, each from 50 values."""
+    rng = random.Random(seed)
+    parts = [" ".join(f"p{i}w{j}" for j in range(47)) for i in range(7)]
+    slot = lambda i, v: " ".join(f"s{i}v{v}x{j}" for j in range(3))
+    return [" ".join([parts[0], *(x for i in range(6) for x in (slot(i, rng.randrange(50)), parts[i + 1]))]) for _ in range(n)]
+
+
+def test_letters_of_one_form_are_not_all_compared(spark, monkeypatch):
+    """Pairs tested stay below the number of texts, and classes equal brute force's."""
+    counted, plain = {}, near_dup._pairs_by_differences
+
+    def counting(*args):
+        found = plain(*args)
+        counted["pairs"] = found.count()
+        return found
+
+    monkeypatch.setattr(near_dup, "_pairs_by_differences", counting)
+    for n in (400, 1600):
+        texts = letters(n)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+        assert counted["pairs"] <= n
+        if n == 400:
+            want, _ = brute_classes(texts, near_dup.inverse_document_frequencies(docs))
+            assert [got[i] for i in range(n)] == want
+
+
+def test_requests_meet_whatever_is_shared():
+    """Of random units, each two nodes that share what they need meet by a code that one asks for and the other has."""
+    rng = random.Random(3)
+    for case in range(400):
+        pool = [(rng.randint(2, 9), rng.getrandbits(60), rng.choice([0.5, 1.0, 4.0])) for _ in range(rng.choice([6, 12, 40]))]
+        x, y = (rng.sample(pool, rng.randint(1, min(len(pool), rng.choice([5, 15, 30])))) for _ in range(2))
+        shared = sum(u[2] for u in set(x) & set(y))
+        if shared:
+            need_x, need_y = (rng.choice([1.0, rng.random(), -1.0]) * shared for _ in range(2))
+            (ask_x, has_x), (ask_y, has_y) = near_dup.requests(x, need_x), near_dup.requests(y, need_y)
+            if max(need_x, need_y) > 0:
+                assert set(ask_x) & set(has_y) or set(ask_y) & set(has_x), case
+
+
 def test_differences_from_a_hub():
     weights = near_dup.Weights(np.zeros(1 << near_dup.SLOTS, bool), np.zeros(0, np.uint64), np.zeros(0, np.float32), 2.0)
     rng = np.random.default_rng(3)
     draw = lambda: np.unique(rng.integers(0, 40, 30).astype(np.uint64), return_counts=True)
     for _ in range(50):
         x, y, h = draw(), draw(), draw()
-        one, other = (dict(zip(k.tolist(), s.tolist())) for k, s, *_ in (near_dup.difference(z, h, weights) for z in (x, y)))
-        _, sizes, wx, wy = near_dup.difference(x, y, weights)
+        one, other = (dict(zip(k.tolist(), s.tolist())) for k, _, s, *_ in (near_dup.difference(z, h, weights) for z in (x, y)))
+        keys, amounts, sizes, wx, wy = near_dup.difference(x, y, weights)
+        assert near_dup.moved(y, keys, amounts) == np.repeat(x[0], x[1]).tobytes()
         shared = sum(min(one[k], other[k]) for k in one.keys() & other.keys())
         assert sizes.sum() == pytest.approx(sum(one.values()) + sum(other.values()) - 2 * shared)
         assert near_dup.weighted_jaccard(x, y, weights) == pytest.approx((wx + wy - sizes.sum()) / (wx + wy + sizes.sum()))
