@@ -4,7 +4,8 @@ Texts and templates are normalised to lower-case runs of letters and digits. For
 overlap o (multisets), Dice = 2 o / (a + b). A window reaches `DICE` only if a lies between b DICE / (2 - DICE) and
 b (2 - DICE) / DICE, and if the text holds at least b DICE / (2 - DICE) of the template's bigrams at all. The second bound leaves
 few candidate templates per text, the first limits windows. Best windows start and end at a bigram of the template, so for each such
-start the best end is found by one pass over the template's bigrams within the bound; no window of the whole text is left out.
+start the best end is found from a table of the template's bigrams within the bound, made for many starts at once; starts are tried in
+strides first, and left out where a bound on their neighbours shows that none reaches DICE. No window of the whole text is left out.
 Of overlapping windows the one with the higher Dice stays (then the longer template, the earlier start, the template's name).
 
 Null texts count as empty and hold no licences; texts of fewer than two words have no bigrams. Rows may repeat, each is scanned alone;
@@ -13,6 +14,7 @@ only doc_id and text are read, so further columns can't clash. Spans are code po
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -24,6 +26,8 @@ from .common import map_rows, table
 
 DICE = 0.8
 WORD = re.compile(r"[^\W_]+")
+#: Starts of a stride, and cells of a table of windows that is held at once.
+STRIDE, CELLS = 8, 1 << 20
 
 # Wording of usual licence notices and of short licences.
 TEMPLATES = {
@@ -103,11 +107,12 @@ class LicenceScanner:
         found = []
         for k in np.flatnonzero(overlap * (2 - self.dice) >= self.dice * self.sizes - 1e-9):
             found += [(-d, -int(self.sizes[k]), a, self.names[k], b) for a, b, d in self._windows(k, at, grams)]
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # apart from each other, in order
         out = []
         for d, _, a, name, b in sorted(found):
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
+            i = bisect.bisect_left(taken, (a, b))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                taken.insert(i, (a, b))
                 out.append((name, a, b, -d))
         if not out:
             return []
@@ -122,40 +127,60 @@ class LicenceScanner:
         return [(owner[m.start()], owner[m.end() - 1] + 1) for m in WORD.finditer("".join(c.lower() for c in text))]
 
     def _windows(self, k: int, at: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, float]]:
-        """(first word, word after the last, Dice) of the best window from each start that reaches the threshold."""
+        """(first word, word after the last, Dice) of the best window from each start that reaches the threshold.
+
+        A bigram counts towards the overlap of a window unless the window holds as many of it before as the template has: `full` is
+        the place of the last start with which it doesn't. The best Dice from one start exceeds that from a start before by a factor of
+        at most exp(words between / size), so starts are first tried in strides, and only near those that come close each by each."""
         want, size = self.counts[k], int(self.sizes[k])
         at = at[want[grams[at]] > 0]
-        hits, most = grams[at].tolist(), size * (2 - self.dice) / self.dice + 1e-9
-        at, out = at.tolist(), []
-        for i, start in enumerate(at):
-            seen: Counter = Counter()
-            overlap, best = 0, (0.0, 0)
-            for j in range(i, len(at)):
-                length = at[j] - start + 1
-                if length > most:
-                    break
-                g = hits[j]
-                seen[g] += 1
-                if seen[g] <= want[g]:
-                    overlap += 1
-                    best = max(best, (2 * overlap / (length + size), -at[j]))
-            if best[0] >= self.dice - 1e-12:
-                out.append((start, -best[1] + 2, best[0]))
-        return out
-
-
-_SCANNERS: dict[tuple, LicenceScanner] = {}
+        n, most = len(at), int(size * (2 - self.dice) / self.dice + 1e-9)
+        order = np.argsort(grams[at], kind="stable")
+        mine = grams[at][order]
+        first = np.searchsorted(mine, mine)
+        before = np.arange(n) - want[mine]
+        full = np.full(n, -1)
+        full[order] = np.where(before >= first, order[np.maximum(before, 0)], -1)
+
+        def best(starts: np.ndarray, more: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+            """The best Dice from each start over windows of most + more bigrams, and the place of its first end."""
+            dice, end = np.zeros(len(starts)), np.zeros(len(starts), int)
+            ends = np.searchsorted(at, at[starts] + most + more)  # windows end before this place
+            wide = int((ends - starts).max())
+            rows = max(1, CELLS // wide)
+            for s in range(0, len(starts), rows):
+                own = starts[s : s + rows, None]
+                to = own + np.arange(wide)
+                inside = to < ends[s : s + rows, None]
+                to = np.minimum(to, n - 1)
+                counted = (full[to] < own) & inside
+                values = np.where(counted, 2 * np.cumsum(counted, axis=1) / (at[to] - at[own] + 1 + size), 0.0)
+                place = values.argmax(axis=1)
+                dice[s : s + rows], end[s : s + rows] = values[np.arange(len(place)), place], to[np.arange(len(place)), place]
+            return dice, end
+
+        coarse = np.arange(0, n, STRIDE)
+        between = at[np.minimum(coarse + STRIDE, n) - 1] - at[coarse]
+        reached, _ = best(coarse, np.minimum(between, most))
+        close = (between > most) | (reached * np.exp(between / size) >= self.dice - 1e-9)
+        starts = np.flatnonzero(np.repeat(close, np.minimum(STRIDE, n - coarse)))
+        if not len(starts):
+            return []
+        dice, end = best(starts)
+        ok = dice >= self.dice - 1e-12
+        return list(zip(at[starts[ok]].tolist(), (at[end[ok]] + 2).tolist(), dice[ok].tolist()))
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:
     """doc_id and licences array<struct<template, start, end, dice>> of every whole text."""
     plain = tuple(sorted((TEMPLATES if templates is None else templates).items()))
 
+    made: list[LicenceScanner] = []  # each task makes its own
+
     def run(columns):
-        key = plain, dice
-        if key not in _SCANNERS:
-            _SCANNERS[key] = LicenceScanner(dict(plain), dice)
-        scan = _SCANNERS[key].scan
+        if not made:
+            made.append(LicenceScanner(dict(plain), dice))
+        scan = made[0].scan
         return columns[0], [[{"template": m.template, "start": m.start, "end": m.end, "dice": m.dice} for m in scan(t or "")] for t in columns[1]]
 
     return map_rows(docs.select("doc_id", "text"), "doc_id bigint, licences array<struct<template:string,start:int,end:int,dice:double>>", run, size_column=1)

@@ -1,6 +1,7 @@
 """Licence scans against all windows."""
 
 import random
+import time
 from collections import Counter
 
 from ablatrix.llm import licences
@@ -69,6 +70,37 @@ def test_notices_in_running_text():
     assert scanner.scan("the rights of all are reserved under the law") == []
 
 
+def test_long_texts_of_notices():
+    """A megabyte of notices and of licence texts each take a few seconds at most."""
+    scanner = licences.LicenceScanner(licences.TEMPLATES)
+    for name in ("mit-notice", "mit-text"):
+        text = licences.TEMPLATES[name] + " in between\n"
+        n = 1_000_000 // len(text)
+        start = time.process_time()
+        found = scanner.scan(text * n)
+        assert time.process_time() - start < 8, name
+        assert [m.template for m in found].count(name) == n
+
+
+def test_long_templates_against_all_windows():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    templates = {"a": " ".join(rng.choice(words) for _ in range(120)), "b": " ".join(rng.choice(words) for _ in range(40))}
+    scanner, hits = licences.LicenceScanner(templates), 0
+    for _ in range(25):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice([*templates.values(), " ".join(rng.choice(words) for _ in range(50))]).split()
+            for _ in range(rng.randint(0, 12)):
+                part[rng.randrange(len(part))] = rng.choice([*words, "x"])
+            parts.append(" ".join(part))
+        text = " ".join(parts)
+        got = [(m.template, *words_at(text, m), m.dice) for m in scanner.scan(text)]
+        assert got == brute(text, templates, licences.DICE)
+        hits += len(got)
+    assert hits > 15
+
+
 def test_many_words_and_none():
     assert licences.LicenceScanner({}).scan("all rights reserved") == []
     templates = {f"t{k}": " ".join(f"w{k}x{i}" for i in range(60)) for k in range(200)}
