@@ -291,14 +291,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         run_stability, contrast_matrix, rejected_patches, mutation_status, ablation_results, witness_summary, sufficient_sets, search_summary, mutual_backup_pairs, interaction_summary, mutation_roles,
-        surplus_mutations, greedy_reduction, report_summary, gates, ci_outputs, report_markdown, certificate_id, annotations, file_blocks, hunk_ranges, mutation_ids, test_path_flags,
+        surplus_mutations, greedy_reduction, report_summary, gates, ci_outputs, report_markdown, certificate_id, report_certificate_id, annotations, file_blocks, hunk_ranges, mutation_ids, test_path_flags,
         ignored_mutations, test_overlay, suggested_commands, config_precedence, missing_variants, greedy_recorded, inverse_patches, patch_states, production_sets, certificate_searches, certificate_hunks, certificate_runs,
     )
 }
 
-#: Queries without SQL: the bytes hashed are those of Python's json, and the tests compare with it.
-UNCHECKED = {"report_certificate_id": report_certificate_id}
-
 # ---------------------------------------------------------------- SQL
 
 _RUNS = """runs AS (SELECT event_id // 8 AS patch_id, (event_id % 8) // 2 AS slot, value, value > 250 AS timed_out, CASE WHEN value > 250 THEN FALSE ELSE event_type NOT IN ('error', 'view') END AS ok FROM events),
@@ -344,6 +341,9 @@ _CERTIFIED = f"""cert AS (SELECT patch_id, 'dw2_' || substr(sha256('{{"backups":
   || '],"search":{{"exhaustive":' || coalesce(exhaustive, FALSE) || ',"found_order":' || coalesce(found_order::VARCHAR, 'null') || '}},"sufficient_sets":[' || {_QUOTED.format(rows='tried', status='sufficient')}
   || '],"summary":{{"inconclusive":' || inconclusive || ',"mutations":' || mutations || ',"unwitnessed":' || unwitnessed || ',"witness_ratio":' || coalesce('"' || printf('%.6f', witness_ratio) || '"', 'null') || ',"witnessed":' || witnessed || '}},"surplus":['
   || coalesce((SELECT string_agg('"' || id || '"', ',' ORDER BY id) FROM surp z WHERE z.patch_id = cnt.patch_id), '') || ']}}'), 1, 20) AS certificate_id FROM cnt)"""
+# whole rows of reports as JSON: fractions of two digits and ratios are laid out alike by both
+_ROWS = """coalesce((SELECT string_agg('{{"additions":' || additions || ',"deletions":' || deletions || ',"end_line":' || end_line || ',"id":"' || id || '","label":"' || label || '","line":' || line || ',"mut_ord":' || mut_ord || ',"path":"' || path || '","runtime_s":' || runtime_s || ',"status":"' || status || '"}}', ',' ORDER BY mut_ord) FROM {rows} z WHERE z.patch_id = cnt.patch_id), '')"""
+_SETS = """coalesce((SELECT '[' || string_agg('{{"members":[' || (SELECT string_agg('{{"id":"' || y.id || '","label":"' || y.label || '","weight":' || y.weight || '}}', ',' ORDER BY y.mut_ord) FROM m y WHERE y.patch_id = z.patch_id AND list_contains(string_split(z.ids, ','), y.id)) || '],"rank":' || rank || '}}', ',' ORDER BY rank) || ']' FROM {rows} z WHERE z.patch_id = cnt.patch_id AND z.status = '{status}'), 'null')"""
 _REPORT = f"WITH {_RUNS},\n{_REPORTED},\n{_TRIED.replace('FROM m', 'FROM failing').replace('JOIN m ', 'JOIN failing ')},\n{_PAIRS},\n{_SURPLUS},\n{_COUNTS},\n{_CERTIFIED}\n"
 _HUNKS = """h AS (SELECT l_orderkey AS patch_id, l_returnflag AS flag, CASE l_returnflag WHEN 'A' THEN 'src/A.py' WHEN 'N' THEN 'lib/N.py' ELSE 'tests/R.py' END AS path,
   (row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1)::INT AS hunk_ord, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS hunks,
@@ -378,6 +378,9 @@ ORACLE_SQL = {
     "gates": _REPORT + "SELECT patch_id, coalesce(contrast = 'base-fail_candidate-pass', FALSE) AS gate_contrast, unwitnessed = 0 AND inconclusive = 0 AS gate_all_witnessed, surplus = 0 AS gate_no_surplus, CASE WHEN coalesce(contrast = 'base-fail_candidate-pass', FALSE) AND unwitnessed = 0 AND inconclusive = 0 AND surplus = 0 THEN 0 ELSE 1 END AS exit_code FROM cnt",
     "ci_outputs": _REPORT + "SELECT patch_id, unnest(['certificate_id', 'contrast', 'witnessed', 'unwitnessed', 'inconclusive', 'witness_ratio', 'minimal_sufficient_order', 'surplus_candidate_hunks']) AS key, unnest([certificate_id, coalesce(contrast, ''), witnessed::VARCHAR, unwitnessed::VARCHAR, inconclusive::VARCHAR, CASE WHEN witness_ratio IS NULL THEN '' ELSE printf('%.6f', witness_ratio) END, coalesce(found_order::VARCHAR, ''), surplus::VARCHAR]) AS value FROM cnt JOIN cert USING (patch_id)",
     "certificate_id": _REPORT + "SELECT patch_id, certificate_id FROM cert",
+    "report_certificate_id": _REPORT + f"""SELECT patch_id, 'dw2_' || substr(sha256('{{"backups":' || {_SETS.format(rows='pairs', status='mutual-backup')} || ',"baseline":' || coalesce('"' || baseline || '"', 'null') || ',"candidate":"' || candidate || '","contrast":"' || contrast || '","exhaustive":' || coalesce(exhaustive, FALSE)
+  || ',"found_order":' || coalesce(found_order::VARCHAR, 'null') || ',"inconclusive":' || inconclusive || ',"mutations":' || mutations || ',"results":[' || {_ROWS.format(rows='m')} || '],"sufficient_sets":' || {_SETS.format(rows='tried', status='sufficient')} || ',"surplus":[' || {_ROWS.format(rows='surp')}
+  || '],"unwitnessed":' || unwitnessed || ',"witness_ratio":' || coalesce(witness_ratio::VARCHAR, 'null') || ',"witnessed":' || witnessed || '}}'), 1, 20) AS certificate_id FROM cnt""",
     "report_markdown": _REPORT + f"""SELECT patch_id, concat_ws(chr(10), '# Evidence certificate', '', '**Certificate:** `' || certificate_id || '`  ', '**Contrast:** `' || coalesce(contrast, '') || '`  ', '**Candidate stability:** `' || coalesce(candidate, '') || '`  ', '**Baseline stability:** `' || coalesce(baseline, '') || '`', '',
   '## Evidence summary', '', '- Witnessed hunks: **' || witnessed || '**', '- Unwitnessed hunks: **' || unwitnessed || '**', '- Inconclusive hunks: **' || inconclusive || '**',
   CASE WHEN witness_ratio IS NULL THEN '- Witness ratio: n/a' ELSE '- Witness ratio: **' || printf('%.1f', witness_ratio * 100) || '%**' END,
