@@ -198,6 +198,13 @@ def test_overlay(spark: SparkSession, d: str) -> DataFrame:
     return parse.test_overlay(parse.file_patches(adapters.patches(spark, d))).select("patch_id", F.length("overlay").cast("bigint").alias("chars"), F.sha2(F.col("overlay").cast("binary"), 256).alias("digest"))
 
 
+def binary_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files and mutations of diffs two thirds of which are binary."""
+    files = parse.file_patches(adapters.page_patches(spark, d))
+    units = parse.mutations(files).select("patch_id", "kind", "label", "line", "end_line", "additions", "deletions")
+    return files.select("patch_id", "path", "structural", "binary", F.size("hunks").alias("hunks")).join(units, "patch_id")
+
+
 def suggested_commands(spark: SparkSession, d: str) -> DataFrame:
     return config.suggestions(adapters.markers(spark, d))
 
@@ -292,7 +299,7 @@ QUERIES = {
     for f in (
         run_stability, contrast_matrix, rejected_patches, mutation_status, ablation_results, witness_summary, sufficient_sets, search_summary, mutual_backup_pairs, interaction_summary, mutation_roles,
         surplus_mutations, greedy_reduction, report_summary, gates, ci_outputs, report_markdown, certificate_id, report_certificate_id, annotations, file_blocks, hunk_ranges, mutation_ids, test_path_flags,
-        ignored_mutations, test_overlay, suggested_commands, config_precedence, missing_variants, greedy_recorded, inverse_patches, patch_states, production_sets, certificate_searches, certificate_hunks, certificate_runs,
+        ignored_mutations, test_overlay, suggested_commands, config_precedence, missing_variants, greedy_recorded, inverse_patches, patch_states, production_sets, certificate_searches, certificate_hunks, certificate_runs, binary_files,
     )
 }
 
@@ -424,4 +431,6 @@ ORACLE_SQL = {
   EXISTS (SELECT 1 FROM suff_ids x WHERE x.patch_id = m.patch_id AND x.id = m.id) AS in_minimal_sufficient_set FROM m LEFT JOIN sets ON sets.patch_id = m.patch_id AND sets.slot = m.mut_ord + 2 AND mut_ord < 2""",
     "certificate_runs": _REPORT + """SELECT patch_id, CASE slot WHEN 0 THEN 'candidate' WHEN 1 THEN 'baseline' ELSE 'ablate' END AS variant_kind, CASE WHEN slot < 2 THEN '' ELSE (slot - 2)::VARCHAR END AS variant_key, rep, CASE WHEN value > 250 THEN NULL WHEN event_type IN ('error', 'view') THEN 1 ELSE 0 END AS returncode,
   round(value, 4) AS duration_s, value > 250 AS timed_out FROM (SELECT event_id // 8 AS patch_id, (event_id % 8) // 2 AS slot, (event_id % 2)::INT AS rep, value, event_type FROM events) e JOIN (SELECT patch_id, count(*) AS n FROM m GROUP BY patch_id) k USING (patch_id) WHERE slot < 2 + n""",
+    "binary_files": """SELECT page_id AS patch_id, 'pages/' || page_id || '.html' AS path, page_id % 3 < 2 AS structural, page_id % 3 < 2 AS binary, CASE WHEN page_id % 3 < 2 THEN 0 ELSE 1 END AS hunks, CASE WHEN page_id % 3 < 2 THEN 'binary' ELSE 'hunk' END AS kind,
+  'pages/' || page_id || '.html' || CASE WHEN page_id % 3 < 2 THEN ' (file-level/structural)' ELSE ' hunk 1/1' END AS label, 1 AS line, 1 AS end_line, CASE WHEN page_id % 3 < 2 THEN 0 ELSE 1 END AS additions, CASE WHEN page_id % 3 < 2 THEN 0 ELSE 1 END AS deletions FROM pages""",
 }

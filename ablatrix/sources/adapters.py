@@ -119,3 +119,14 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders and their diffs: patch_id, error (of open orders), diff_text (null without line items)."""
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("patch_id"), F.when(F.col("o_orderstatus") == "P", "no such repository").alias("error"))
     return rows.join(patches(spark, sf_dir), "patch_id", "left")
+
+
+def page_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages: a diff of one file each: by turns a summary of binary files, a binary patch, or a text hunk. The pages are not read."""
+    p, kind = F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html")), F.col("page_id") % 3
+    head = F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\nindex 1111111..2222222 100644\n"))
+    body = (
+        F.when(kind == 0, F.concat(F.lit("Binary files a/"), p, F.lit(" and b/"), p, F.lit(" differ\n"))).when(kind == 1, F.lit("GIT binary patch\nliteral 1\nIcmZPo\n\nliteral 1\nIcmZPo\n\n"))
+        .otherwise(F.concat(F.lit("--- a/"), p, F.lit("\n+++ b/"), p, F.lit("\n@@ -1 +1 @@\n-old\n+new\n")))
+    )
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("patch_id"), F.concat(head, body).alias("diff_text"))
