@@ -2,7 +2,7 @@
 
 A combination's place in the sequence (order, then lexicographic) is a closed form of its indexes, so the budget prunes prefixes
 before each self-join: per patch at most about budget + n rows exist at a level, and neither a window nor a sort ranks them. All
-joins are on patch_id, so one exchange serves every level."""
+joins are on patch_id, so no level needs another partitioning than the one before."""
 
 from __future__ import annotations
 
