@@ -215,7 +215,7 @@ def config_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 def missing_variants(spark: SparkSession, d: str) -> DataFrame:
     """Candidate, baseline and each hunk's ablation, three repetitions each, against the recorded runs."""
-    hunks = adapters.mutation_results(spark, d).select("patch_id", "mut_ord")
+    hunks = adapters.hunks(spark, d)
     planned = variants.whole(hunks.select("patch_id").distinct()).union(variants.ablations(hunks))
     rows = variants.missing(planned, adapters.runs(spark, d), REPS)
     return rows.select(*variants.KEYS, F.array_join(F.transform("reps", lambda r: r.cast("string")), ",").alias("reps"))

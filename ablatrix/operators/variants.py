@@ -35,11 +35,11 @@ def combined(combinations: DataFrame, kind: str, *more: str | Column) -> DataFra
 def missing(planned: DataFrame, recorded: DataFrame, reps: int) -> DataFrame:
     """The planned variants that lack any of the repetitions 0 to reps - 1, with those they lack (`reps`, sorted).
 
-    recorded: KEYS, rep and, where variants can fail as a whole, apply_error and failure: such a row stands for all repetitions. All
-    joins are on the keys by which the gaps are then gathered."""
-    need = planned.select(*KEYS).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    recorded: KEYS, rep and, where variants can fail as a whole, apply_error and failure: such a row stands for all repetitions. Both
+    sides meet once, by KEYS: a row a variant on either, however many repetitions."""
     ended = [c for c in ("apply_error", "failure") if c in recorded.columns]
-    if ended:
-        need = need.join(recorded.filter(F.coalesce(*ended).isNotNull()).select(*KEYS), list(KEYS), "left_anti")
-    gaps = need.join(recorded.select(*KEYS, "rep"), [*KEYS, "rep"], "left_anti").groupBy(*KEYS).agg(F.array_sort(F.collect_list("rep")).alias("reps"))
-    return planned.join(gaps, list(KEYS))
+    over = F.bool_or(F.coalesce(*ended).isNotNull()) if ended else F.lit(False)
+    have = recorded.groupBy(*KEYS).agg(F.collect_set("rep").alias("_have"), over.alias("_over"))
+    reps_ = F.array_except(F.sequence(F.lit(0), F.lit(reps - 1)), F.coalesce("_have", F.array().cast("array<int>")))
+    rows = planned.join(have, list(KEYS), "left").filter(~F.coalesce("_over", F.lit(False))).withColumn("reps", reps_).filter(F.size("reps") > 0)
+    return rows.drop("_have", "_over")
