@@ -104,7 +104,7 @@ def mutation_roles(spark: SparkSession, d: str) -> DataFrame:
 
 def surplus_mutations(spark: SparkSession, d: str) -> DataFrame:
     results = adapters.mutation_results(spark, d)
-    return search.surplus(results, _ids(_tried(results)), _summary(results).filter("exhaustive")).select("patch_id", "mut_ord", "id", "label")
+    return search.surplus_of(results, _tried(results), ORDER).select("patch_id", "mut_ord", "id", "label")
 
 
 def greedy_reduction(spark: SparkSession, d: str) -> DataFrame:

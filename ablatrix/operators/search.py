@@ -123,3 +123,16 @@ def surplus(results: DataFrame, sufficient_ids: DataFrame, exhaustive: DataFrame
     sufficient_ids: distinct (patch_id, id). exhaustive: patch_id of such patches."""
     rows = results.filter("status = 'unwitnessed'").join(exhaustive.select("patch_id"), "patch_id", "left_semi")
     return rows.join(sufficient_ids, ["patch_id", "id"], "left_anti")
+
+
+def surplus_of(results: DataFrame, tried: DataFrame, max_order: int = 3) -> DataFrame:
+    """surplus(), from the search itself, made once: combinations are counted where they lie by patch, and of patches whose search was
+    exhaustive only the sufficient ones are gathered, of which such a patch has at least one."""
+    n, size = F.col("n"), F.lit(None).cast("bigint")
+    for k in range(1, max_order + 1):
+        size = F.when(F.col("found_order") == k, binomial(n, k)).otherwise(size)
+    at = F.count_if(F.col("ord") == F.col("found_order")).over(Window.partitionBy("patch_id"))
+    found = tried.withColumn("_at", at).filter((F.col("status") == SUFFICIENT) & (F.col("_at") == size))
+    patches = found.groupBy("patch_id").agg(F.flatten(F.collect_list("members.id")).alias("_used"))
+    rows = results.filter("status = 'unwitnessed'").join(patches, "patch_id")
+    return rows.filter(~F.array_contains("_used", F.col("id"))).select(*results.columns)
