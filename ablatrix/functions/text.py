@@ -55,13 +55,13 @@ def matches_any(path: Column, globs: Iterable[str]) -> Column:
     return found
 
 
+#: In either case of ASCII letters, which no other letter but the Kelvin sign has as its small one.
+TEST_PATH = r"(?i)(?:^|/)(?:(?:tests?|__tests__|specs?)(?:/|\z)|(?:conftest\.py|pytest\.ini)\z|test_[^/]*\z)|_test\.py\z|\.(?:test|spec)\.[^/]*\z"
+
+
 def is_test_path(path: Column, extra_globs: Iterable[str] = ()) -> Column:
-    """Lower-cased components name tests, or the file name does, or the path as written matches an extra glob."""
-    parts = F.split(F.lower(path), "/")
-    name = F.element_at(parts, -1)
-    folders = F.array(*[F.lit(x) for x in ("test", "tests", "__tests__", "spec", "specs")])
-    built_in = F.arrays_overlap(parts, folders) | name.isin("conftest.py", "pytest.ini") | name.startswith("test_") | name.endswith("_test.py") | name.contains(".test.") | name.contains(".spec.")
-    return built_in | matches_any(path, extra_globs)
+    """Components name tests in either case, or the file name does, or the path as written matches an extra glob."""
+    return path.rlike(TEST_PATH) | matches_any(path, extra_globs)
 
 
 def binomial(n: Column, k: int) -> Column:

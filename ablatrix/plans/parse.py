@@ -16,6 +16,11 @@ from ..functions.text import is_test_path, matches_any
 STRUCTURAL = ("new file mode ", "deleted file mode ", "old mode ", "new mode ", "rename from ", "rename to ", "copy from ", "copy to ", "GIT binary patch", "Binary files ")
 BINARY = ("GIT binary patch", "Binary files ")
 LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
+#: Line ends besides \n; most diffs have none and are read without expressions for them.
+ODD_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+FIRST_LINE = rf"(?s)\A(.+?)(?:{LINE_END}|\z)"
+#: Where a hunk starts: at the start of a line, whatever ends the one before.
+HUNK_START = rf"(?=@@ )(?<=[\n{ODD_ENDS}])"
 RANGE = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 
 # A shell's words: plain runs, escaped characters, double and single quotes. Possessive, so that long lines need no stack.
@@ -35,7 +40,8 @@ def _words(line: Column) -> Column:
 
     pieces = lambda w: F.transform(F.regexp_extract_all(w, F.lit(rf"(?s)[^\"'\\]++|{PIECE}"), 0), piece)
     read = lambda w: F.when(w.rlike(r"""["'\\]"""), F.array_join(pieces(w), "")).otherwise(w)
-    return F.when(line.rlike(WHOLE), F.transform(F.regexp_extract_all(line, F.lit(WORD), 0), read)).otherwise(F.split(line, f"(?U){BLANKS}"))
+    plain = ~line.rlike(r"""["'\\]""")
+    return F.when(plain, F.regexp_extract_all(line, F.lit(r"[^ \t\r\n]+"), 0)).when(line.rlike(WHOLE), F.transform(F.regexp_extract_all(line, F.lit(WORD), 0), read)).otherwise(F.split(line, f"(?U){BLANKS}"))
 
 
 def _any_of(block: Column, markers: Iterable[str]) -> Column:
@@ -49,37 +55,43 @@ def file_patches(patches: DataFrame, test_globs: Iterable[str] = ()) -> DataFram
     """patch_id, file_ord, path, old_path, raw, header, hunks, structural, binary, is_test: a row per file of each diff.
 
     A null or blank diff has no files. What stands before the first file is dropped."""
-    blocks = F.filter(F.split(F.coalesce("diff_text", F.lit("")), "(?md)(?=^diff --git )"), lambda b: b.startswith("diff --git "))
-    # Generators hold what is read often, so that lines and words are made once.
-    lines = lambda b: F.filter(F.split(b, LINE_END), lambda x: x != "")
-    files = patches.select("patch_id", F.posexplode(F.transform(blocks, lambda b: F.struct(b.alias("raw"), lines(b).alias("lines")))).alias("file_ord", "_file"))
-    files = files.select("patch_id", "file_ord", F.col("_file.raw").alias("raw"), F.col("_file.lines").alias("_lines"))
-    files = files.withColumn("_starts", F.filter(F.transform("_lines", lambda x, i: F.when(x.startswith("@@ "), i)), lambda i: i.isNotNull()))
-    n = F.size("_lines")
-    first = F.when(F.size("_starts") > 0, F.element_at("_starts", 1)).otherwise(n)
-
-    def hunk(lines):
-        header = F.regexp_replace(F.element_at(lines, 1), r"\n+\z", "")
-        count = lambda sign: F.size(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
-        numbers = F.split(F.regexp_replace(F.regexp_extract(header, RANGE, 0), RANGE, "$1,$2,$3,$4"), ",")
-        return F.struct(header.alias("header"), F.array_join(lines, "").alias("text"), count("+").alias("additions"), count("-").alias("deletions"), numbers.alias("numbers"))
+    mark = "diff --git "
+    found = patches.select("patch_id", F.when(F.startswith("diff_text", F.lit(mark)), 0).otherwise(1).alias("_before"), F.posexplode(F.split(F.coalesce("diff_text", F.lit("")), f"(?md)(?=^{mark})")).alias("_place", "raw"))
+    files = found.filter(F.col("raw").startswith(mark)).select("patch_id", (F.col("_place") - F.col("_before")).alias("file_ord"), "raw", F.col("raw").rlike(f"[{ODD_ENDS}]").alias("_odd"))
+    raw, odd = F.col("raw"), F.col("_odd")
+    # Cut at a mark where the block has none: splitting at an expression costs more than all the rest.
+    marked = F.split(F.replace(raw, F.lit("\n@@ "), F.lit("\n\x01@@ ")), "\x01")
+    files = files.withColumn("_parts", F.when(odd | raw.contains("\x01"), F.split(raw, HUNK_START)).otherwise(marked))
+
+    def counted(text, header, ended):
+        # a hunk's own line is its first, so that all counted ones follow a line end
+        shorter = lambda sign: F.octet_length(ended) - F.octet_length(F.replace(ended, F.lit(f"\n{sign}"), F.lit("\n")))
+        count = lambda sign: (shorter(sign) - F.call_function("div", shorter(sign * 3), F.lit(3))).cast("int")
+        numbers = F.split(F.regexp_replace(header, f"{RANGE}(?s:.*)", "$1,$2,$3,$4"), ",")
+        return F.struct(header.alias("header"), text.alias("text"), count("+").alias("additions"), count("-").alias("deletions"), numbers.alias("numbers"))
+
+    def odd_hunk(text):
+        header = F.regexp_replace(F.regexp_extract(text, FIRST_LINE, 1), r"\n+\z", "")
+        return counted(text, header, F.translate(text, ODD_ENDS, "\n" * len(ODD_ENDS)))  # as many lines of each sign
 
     def ranged(h):
         number = lambda i: F.get(h["numbers"], F.lit(i))
-        count = lambda i: F.when(number(i) == "", F.lit(1)).otherwise(F.coalesce(number(i).try_cast("int"), F.when(number(i).isNotNull(), F.lit(1))))
+        read = ~number(0).startswith("@")  # else its header has no ranges
+        count = lambda i: F.when(~read, None).when(number(i) == "", F.lit(1)).otherwise(F.coalesce(number(i).try_cast("int"), F.lit(1)))
         return F.struct(
             *[h[f].alias(f) for f in ("header", "text", "additions", "deletions")],
-            number(0).try_cast("int").alias("old_start"), count(1).alias("old_count"), number(2).try_cast("int").alias("new_start"), count(3).alias("new_count"),
+            number(0).try_cast("int").alias("old_start"), count(1).alias("old_count"), F.when(read, number(2).try_cast("int")).alias("new_start"), count(3).alias("new_count"),
         )
 
-    parts = F.transform("_starts", lambda start, i: F.slice("_lines", start + 1, F.coalesce(F.get("_starts", i + 1), n) - start))
-    files = files.withColumn("hunks", F.transform(F.transform(parts, hunk), ranged)).withColumn("header", F.array_join(F.slice("_lines", 1, first), ""))
-    line = F.regexp_replace(F.element_at("_lines", 1), rf"(?U){BLANKS}\z|\A{BLANKS}", "")
-    words = files.withColumn("_words", F.explode(F.array(_words(line))))
+    texts = F.slice("_parts", F.lit(2), F.size("_parts"))
+    hunks = F.when(odd, F.transform(texts, odd_hunk)).otherwise(F.transform(texts, lambda t: counted(t, F.substring_index(t, "\n", 1), t)))
+    files = files.withColumn("hunks", F.transform(hunks, ranged)).withColumn("header", F.element_at("_parts", 1))
+    first = F.when(odd, F.regexp_extract(raw, FIRST_LINE, 1)).otherwise(F.substring_index(raw, "\n", 1))
+    line = F.regexp_replace(first, rf"(?U){BLANKS}\z|\A{BLANKS}", "")
+    words = files.withColumn("_line", line).withColumn("_words", F.explode(F.array(_words(F.col("_line")))))
     whole = F.size("_words") >= 4
     old_path, path = (F.regexp_replace(F.get("_words", F.lit(i)), f"^{side}/", "") for i, side in ((2, "a"), (3, "b")))
     files = words.withColumn("old_path", F.when(whole, old_path)).withColumn("path", F.when(whole, path).otherwise("<unknown>"))
-    raw = F.col("raw")
     return files.select(
         "patch_id",
         "file_ord",
@@ -110,7 +122,7 @@ def file_mutations(files: DataFrame, include_tests: bool = False, ignore_globs:
     )
 
     def part(h, i):
-        context = F.regexp_replace(F.substring_index(h["header"], "@@", -1), r"^\s+|\s+\z", "")
+        context = F.btrim(F.substring_index(h["header"], "@@", -1), F.lit(" \t\n\x0b\f\r"))
         label = F.concat(F.col("path"), F.lit(" hunk "), i + 1, F.lit("/"), F.size("hunks"), F.when(context != "", F.concat(F.lit(" — "), context)).otherwise(F.lit("")))
         count = F.when(F.coalesce(h["new_count"], F.lit(0)) == 0, F.lit(1)).otherwise(h["new_count"])
         return F.struct(
