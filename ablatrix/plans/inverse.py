@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Stands at the start of a line where no line of a diff has it.
 MARK = "\x01"
+#: Both sides' paths change places.
+BOTH = (r'^--- ("?)a/(.*)\n\+\+\+ ("?)b/(.*)$', "--- $3a/$4\n+++ $1b/$2")
 LINE = r"[^\n]*+\n(?:\\[^\n]*+\n)?"
 
 
@@ -28,17 +30,23 @@ def header(text: Column) -> Column:
         rest, (r"^old mode (\d+)\nnew mode (\d+)$", "old mode $2\nnew mode $1"), (r"^rename from (.*)\nrename to (.*)$", "rename from $2\nrename to $1"),
         (r"^index ([0-9a-f]+)\.\.([0-9a-f]+)", "index $2..$1"), (r"^new file mode ", f"{MARK}mode "), (r"^deleted file mode ", "new file mode "), (f"^{MARK}mode ", "deleted file mode "),
     )
-    both = _replaced(rest, (r'^--- ("?)a/(.*)\n\+\+\+ ("?)b/(.*)$', "--- $3a/$4\n+++ $1b/$2"))
+    both = _replaced(rest, BOTH)
     made, gone = _replaced(rest, (r'^--- /dev/null\n\+\+\+ ("?)b/(.*)$', "--- $1a/$2\n+++ /dev/null")), _replaced(rest, (r'^--- ("?)a/(.*)\n\+\+\+ /dev/null$', "--- /dev/null\n+++ $1b/$2"))
     swapped = F.when(rest.contains("\n--- /dev/null\n"), made).when(rest.contains("\n+++ /dev/null\n"), gone).otherwise(both)
+    rare = F.lit(False)  # most blocks have nothing but two paths to change
+    for marker in ("mode ", "rename ", "index ", "/dev/null", "GIT binary patch", MARK):
+        rare = rare | text.contains(marker)
+    plain = F.concat(F.substring_index(text, "\n", 1), _replaced(F.substring(text, F.instr(text, "\n"), F.length(text)), BOTH))
     binary = F.regexp_replace(swapped, r"(?s)(\nGIT binary patch\n)(.*?\n)\n(.*?\n)\n", "$1$3\n$2\n")
-    return F.concat(first, binary)
+    return F.when(rare, F.concat(first, binary)).otherwise(plain)
 
 
 def body(lines: Column) -> Column:
     """The lines of a hunk after its header: signs change, and what is taken off stands before what is added, as git has it."""
-    flipped = _replaced(lines, (r"^\+", MARK), (r"^-", "+"), (f"^{MARK}", "-"))
-    return _replaced(flipped, (rf"((?:^\+{LINE})++)((?:^-{LINE})++)", "$2$1"))
+    flipped = F.concat(F.lit("\n"), lines)
+    for old, new in (("+", MARK), ("-", "+"), (MARK, "-")):
+        flipped = F.replace(flipped, F.lit(f"\n{old}"), F.lit(f"\n{new}"))
+    return _replaced(F.substring(flipped, F.lit(2), F.length(flipped)), (rf"((?:^\+{LINE})++)((?:^-{LINE})++)", "$2$1"))
 
 
 def hunk(h: Column) -> Column:
