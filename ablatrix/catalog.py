@@ -226,7 +226,8 @@ def greedy_recorded(spark: SparkSession, d: str) -> DataFrame:
     results = adapters.mutation_results(spark, d)
     few = results.filter(F.col("mut_ord") < RECORDED).select("patch_id", F.col("mut_ord").alias("idx"), F.least("n", F.lit(RECORDED)).alias("n"), F.struct("mut_ord", "weight").alias("unit"))
     every = search.combinations(few, TOGETHER, RECORDED**TOGETHER)
-    outcomes = variants.combined(every, "greedy", F.when(adapters.member_total() % 3 != 0, STABLE_PASS).otherwise(STABLE_FAIL).alias("classification"))
+    # a hunk's index is its mut_ord, so that keys are those of variants
+    outcomes = every.select("patch_id", F.col("key").alias("variant_key"), F.when(adapters.member_total() % 3 != 0, STABLE_PASS).otherwise(STABLE_FAIL).alias("classification"))
     rows = reduce.greedy_recorded(results, outcomes)
     text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
     return rows.select("patch_id", text("removed").alias("ords"), F.array_join("removed_ids", ",").alias("ids"), text("missing").alias("missing"))

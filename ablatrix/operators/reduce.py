@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import INCONCLUSIVE, STABLE_PASS, UNWITNESSED, WITNESSED
@@ -30,14 +32,14 @@ def greedy_reduction(results: DataFrame, weight: Column, stays_green: Callable[[
     return ordered.select("patch_id", F.aggregate("items", start, step, lambda acc: acc["ids"]).alias("removed_ids"))
 
 
-def fold(ords: list[int], classes: dict[int, str]) -> tuple[list[int], list[int] | None]:
+def fold(ords: list[int], green: dict[int, bool]) -> tuple[list[int], list[int] | None]:
     """The places in ords of what comes off, and those of the first set of hunks without a record (null: none), after which the fold
-    goes on as if that had failed. classes: by set of mut_ords, as the number whose bits they are."""
+    goes on as if that had failed. green: by set of mut_ords, as the number whose bits they are, whether that passed."""
     taken, held, unknown = [], 0, None
     for place, ord_ in enumerate(ords):
         asked = held | 1 << ord_
-        if asked in classes:
-            if classes[asked] == STABLE_PASS:
+        if asked in green:
+            if green[asked]:
                 taken.append(place)
                 held = asked
         elif unknown is None:
@@ -50,18 +52,26 @@ def greedy_recorded(results: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     outcomes: patch_id, variant_key (comma-joined mut_ords, in any order), classification. A removal without a record is not taken;
     `missing` has the mut_ords of the first one, in order of removal, or is null. Each patch's outcomes are read into a
-    dictionary once, so that a patch costs as many look-ups as it has hunks."""
+    dictionary once, so that a patch costs as many look-ups as it has hunks; keys that patches share are parsed once a batch."""
     item = F.struct(removal_rank(F.coalesce("status", F.lit(INCONCLUSIVE))).alias("rank"), "mut_ord", "id")
     ordered = results.groupBy("patch_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    known = outcomes.groupBy("patch_id").agg(F.collect_list("variant_key").alias("keys"), F.collect_list(F.coalesce("classification", F.lit(""))).alias("classes"))
+    passed = F.coalesce(F.col("classification") == STABLE_PASS, F.lit(False))
+    known = outcomes.filter("variant_key <> ''").groupBy("patch_id").agg(F.collect_list("variant_key").alias("keys"), F.collect_list(passed).alias("passed"))
     rows = ordered.join(known, "patch_id", "left")
-    rows = rows.select("patch_id", F.transform("items", lambda x: x["mut_ord"]).alias("ords"), F.transform("items", lambda x: x["id"]).alias("ids"), "keys", "classes")
+    rows = rows.select("patch_id", F.transform("items", lambda x: x["mut_ord"]).alias("ords"), F.transform("items", lambda x: x["id"]).alias("ids"), "keys", "passed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
-            for ords, ids, keys, classes in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                taken, unknown = fold(ords, {sum(1 << int(i) for i in k.split(",")): c for k, c in zip(keys or (), classes or ()) if k})
+            keys = batch.column(3).flatten().dictionary_encode()
+            sets = [sum(1 << int(i) for i in k.split(",")) for k in keys.dictionary.to_pylist()]
+            green = list(zip((sets[i] for i in keys.indices.to_numpy().tolist()), batch.column(4).flatten().to_numpy(zero_copy_only=False).tolist()))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy()).tolist()
+            flat = [batch.column(i).flatten().to_pylist() for i in (1, 2)]
+            last = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy()).tolist()
+            for start, end, a, b in zip([0, *ends], ends, [0, *last], last):
+                ords, ids = flat[0][a:b], flat[1][a:b]
+                taken, unknown = fold(ords, dict(green[start:end]))
                 for column, value in zip(out, ([ords[i] for i in taken], [ids[i] for i in taken], unknown and [ords[i] for i in unknown])):
                     column.append(value)
             types = pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32())
