@@ -341,6 +341,38 @@ def test_neighbours_effort_grows():
     assert large.k > small.k and large.beam == 2 * small.beam
 
 
+def test_neighbours_effort_grows_slowly():
+    """Lists and the beam grew with roots of the table; at sixteen times as many nodes a meeting cost four times as much, the beam was fourfold."""
+    large = ann.Effort(16 * ann.BASE)
+    assert large.k <= 1.3 * ann.K and large.degree <= 1.3 * ann.DEGREE and large.beam <= 3 * ann.BEAM and large.expand <= 3 * ann.EXPAND
+
+
+def test_vectors_go_to_a_bucket_once():
+    """However many nodes of a bucket a vector is sent to; a node that all others list went out once for each of them."""
+    x = vectors(50, 8, 4)
+    rng = np.random.default_rng(9)
+    to, who = np.concatenate([np.arange(700), rng.integers(0, 700, 300)]), np.concatenate([np.zeros(700, int), rng.integers(0, 50, 300)])
+    sent = ann._letters(to, who, 16 << 32, 7, {"member": np.arange(50), "data": x}, {"at": to})
+    assert sorted(sent.column("key").to_pylist()) == [(16 << 32) + b for b in range(7)]
+    members, at = ann._flat(sent, "member", np.int64), ann._flat(sent, "at", np.int64)
+    assert len(members) == len({(t % 7, w) for t, w in zip(to.tolist(), who.tolist())}) and (members == 0).sum() == 7
+    place = ann._places(sent, "member", 8)
+    assert sorted(zip(at.tolist(), members[place].tolist())) == sorted(zip(to.tolist(), who.tolist()))
+    assert (ann._flat(sent, "data", x.dtype, 4)[place] == x[members[place]]).all()
+
+
+def test_neighbours_of_one_large_cluster(spark, monkeypatch):
+    """Many small buckets, and a cluster of so many blocks' size that it is dealt out."""
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    monkeypatch.setattr(ann, "ROWS", 100)
+    x = np.concatenate([vectors(600, 10, 6), 5 + 1e-3 * vectors(900, 11, 6)]).astype(np.float32)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"), every=25).collect():
+        got[r.query_id].append(r.vec_id)
+    assert all(len(v) == len(set(v)) == 10 for v in got.values()) and len(got) == 60
+    assert sum(len(set(got[q]) & {v for v, _ in exact(np.arange(1500), x, q)}) for q in got) >= 0.95 * 600
+
+
 def test_neighbours_odd_rows(spark):
     x = vectors(60, 2, 4).tolist()
     rows = [(i, v) for i, v in enumerate(x)] + [(100, x[3]), (200, x[3]), *[(1000 + i, x[3]) for i in range(40)], (300, None), (400, [0.0] * 4), (500, [float("nan"), 1.0, 1.0, 1.0]), (600, [None, 1.0, 1.0, 1.0])]
