@@ -48,7 +48,7 @@ RERANK = 48
 #: The share of entries that may be left unsent when the descent ends.
 SETTLED = 0.001
 #: The nodes up to which the figures above hold, and the shares by which lists and the beam grow with every fourfold beyond.
-BASE, LISTS, WIDTH = 51_282, 0.125, 1.0
+BASE, LISTS, WIDTH = 51_282, 0.25, 1.0
 #: Nodes of a bucket, about: their vectors, lists and beams are moved and worked on together.
 ROWS = 2048
 
